@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import mixing, packing, quality, simhash, token_counts, token_files
+from chronoweave.llm import line_dedup, mixing, packing, quality, simhash, token_counts, token_files
 from chronoweave.llm.common import table, written
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -34,5 +38,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_token_files, op5_token_counts, op7_simhash, op8_packing, op9_quality)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_mixing, op4_token_files, op5_token_counts, op7_simhash, op8_packing, op9_quality)}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL}

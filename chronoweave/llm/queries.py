@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import line_dedup, mixing, packing, quality, simhash, token_counts, token_files
+from chronoweave.llm import context_tree, line_dedup, mixing, nn_descent, packing, quality, rank_aggregation, simhash, token_counts, token_files
 from chronoweave.llm.common import table, written
 
 
@@ -13,6 +13,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_rank_aggregation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_aggregation.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(written(token_counts.histogram(table(spark, sf_dir, "documents")), "histogram"))
 
 
+def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(quality.remainder(F.col("doc_id"), 5) == 1, F.lit(False))
+    return context_tree.scores(docs, context_tree.Model(docs.where(~held_out))).withColumn("held_out", held_out)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
@@ -38,5 +48,15 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_mixing, op4_token_files, op5_token_counts, op7_simhash, op8_packing, op9_quality)}
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL}
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_rank_aggregation, op3_mixing, op4_token_files, op5_token_counts,
+        op6_context_tree, op7_simhash, op8_packing, op9_quality, op10_nn_descent,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_rank_aggregation": rank_aggregation.SQL}

@@ -161,6 +161,11 @@ def places(fps: DataFrame, groups: list[tuple[list[int], int]]) -> DataFrame:
     return fps.select("fp", F.explode(F.concat(*ways)).alias("w")).select("w.part", "w.place", "fp", "w.visits")
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits; counted unsigned, as numpy counts the bits of an absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def _forest(fps: np.ndarray, visits: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Edges that connect what a run links: pairs within most bits, at least one of them at its own place."""
     edges, own = [], visits == 0
@@ -173,7 +178,7 @@ def _forest(fps: np.ndarray, visits: np.ndarray, most: int) -> list[tuple[int, i
         while front:
             k = front.pop()
             rest = np.flatnonzero(waiting & own) if visits[k] else np.flatnonzero(waiting)
-            near = rest[np.bitwise_count(fps[rest] ^ fps[k]) <= most]
+            near = rest[apart(fps[rest], fps[k]) <= most]
             waiting[near] = False
             edges += [(int(fps[k]), int(fps[j])) for j in near if fps[j] != fps[k]]
             front += near.tolist()
@@ -194,7 +199,7 @@ def _compared(most: int, small: int = 48):
             rows = rows[run[rows] == run[rows + shift]]
             if not len(rows):
                 break
-            near = rows[(visits[rows] == 0) & (np.bitwise_count(fps[rows] ^ fps[rows + shift]) <= most)]
+            near = rows[(visits[rows] == 0) & (apart(fps[rows], fps[rows + shift]) <= most)]
             a.append(fps[near])
             b.append(fps[near + shift])
         a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))

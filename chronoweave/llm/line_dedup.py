@@ -57,30 +57,26 @@ def _chunk(lines: Column, bounds: Column, k: Column) -> Column:
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """doc_id and removed: the numbers of the chunks to remove from each document that has any.
 
-    Rounds of grouping move hashes and numbers only; texts move for chunks whose hash is repeated.
+    Chunks' bytes move once, to count them by hash and bytes; equal ones are counted by task before. A
+    hash that stands for one run of bytes only is safe to remove by: the rest works on hashes and numbers.
     """
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines, bounds = F.col("lines"), F.col("bounds")
 
-    def described(b: Column, i: Column) -> Column:
+    def described(_: Column, i: Column) -> Column:
         own = _chunk(lines, bounds, i)
-        return F.struct(i.alias("n"), F.size(own).alias("size"), F.exists(own, lambda x: F.length(F.trim(x)) > 0).alias("some"), F.xxhash64(F.array_join(own, "\n")).alias("hash"))
+        return F.struct(i.alias("n"), F.size(own).alias("size"), F.exists(own, lambda x: F.length(F.trim(x)) > 0).alias("some"), F.array_join(own, "\n").alias("chunk"))
 
     each = with_chunks(raw, "text", "lines", "bounds").select("doc_id", F.explode(F.transform("bounds", described)).alias("c"))
-    each = common.written(each.where((F.col("c.size") > 1) & F.col("c.some")).select("doc_id", "c.n", "c.hash"), "line-chunks")
-    # The first place of each repeated hash; null ids come last.
+    each = each.where((F.col("c.size") > 1) & F.col("c.some")).select("doc_id", "c.n", F.xxhash64("c.chunk").alias("hash"), "c.chunk")
+    places = common.written(each.select("doc_id", "n", "hash"), "line-places")
+    same = each.groupBy("hash", "chunk").agg(F.count("*").alias("places"))
+    same = same.groupBy("hash").agg(F.count("*").alias("variants"), F.sum("places").alias("places")).where("variants = 1 AND places > 1").select("hash")
+    # The first place of each repeated chunk; null ids come last.
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("n").alias("n"))
-    groups = each.groupBy("hash").agg(F.count("*").alias("places"), F.min(place).alias("first")).where("places > 1").select("hash", "first")
-    marked = each.join(groups, "hash").groupBy("doc_id").agg(F.collect_set(F.struct("n", "hash", "first")).alias("marked"))
-    marked = common.written(marked, "line-marked")
-    texts = with_chunks(raw.join(marked.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of"))), "text", "lines", "bounds")
-    texts = texts.select("doc_id", "lines", "bounds", F.explode("marked").alias("m"))
-    texts = texts.select("doc_id", "m.n", "m.hash", "m.first", F.array_join(_chunk(lines, bounds, F.col("m.n")), "\n").alias("chunk"))
-    texts = common.written(texts, "line-texts")
+    firsts = common.written(places.groupBy("hash").agg(F.min(place).alias("first")).join(same, "hash", "left_semi"), "line-firsts")
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("n") == F.col("first.n"))
-    firsts = texts.where(is_first).groupBy("hash").agg(F.min("chunk").alias("kept"))
-    same = texts.where(~is_first).join(firsts, "hash").where(F.col("chunk") == F.col("kept"))
-    return same.groupBy("doc_id").agg(F.collect_set("n").alias("removed"))
+    return places.join(firsts, "hash").where(~is_first).groupBy("doc_id").agg(F.collect_set("n").alias("removed"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -94,7 +90,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     out = docs.drop("chunks", "removed_chunks", "removed_lines")
     lines, bounds, removed, of = common.fresh(out, "lines", "bounds", "removed", "of")
     gone = repeated_chunks(docs).select(F.col("doc_id").alias(of), F.col("removed").alias(removed))
-    own = out.join(gone, out.doc_id.cast("long").eqNullSafe(gone[of]), "left").drop(of)
+    own = out.join(gone.hint("merge"), out.doc_id.cast("long").eqNullSafe(gone[of]), "left").drop(of)
     own = with_chunks(own, "text", lines, bounds)
     row, ends = F.col(removed), F.col(bounds)
     kept = F.filter(F.transform(ends, lambda _, i: F.when(~F.array_contains(row, i), F.array_join(_chunk(F.col(lines), ends, i), "\n"))), lambda c: c.isNotNull())
@@ -116,8 +112,8 @@ hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) % {PRIME} A
 rolled AS (SELECT *, (coalesce(lag(h) OVER w, 0) % {PRIME} * {FACTOR} + h) % {PRIME} AS r FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 ended AS (SELECT *, i = total - 1 OR coalesce(r < lag(r) OVER w AND r < lead(r) OVER w, false) AS ends FROM rolled WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 numbered AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM ended),
-chunk AS (SELECT doc_id, n, count(*) AS size, string_agg(line, chr(10) ORDER BY i) AS chunk, bool_or(length(trim(line, ' ')) > 0) AS some FROM numbered GROUP BY doc_id, n),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY chunk, size > 1 AND some ORDER BY doc_id, n) > 1 AND size > 1 AND some AS gone FROM chunk)
+chunk AS (SELECT doc_id, n, count(*) AS size, string_agg(line, chr(10) ORDER BY i) AS chunk, bool_or(length(trim(line, ' ')) > 0) AS filled FROM numbered GROUP BY doc_id, n),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY chunk, size > 1 AND filled ORDER BY doc_id, n) > 1 AND size > 1 AND filled AS gone FROM chunk)
 SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '') AS text, count(*) AS chunks,
   count(*) FILTER (WHERE gone) AS removed_chunks, CAST(coalesce(sum(size) FILTER (WHERE gone), 0) AS BIGINT) AS removed_lines
 FROM ranked GROUP BY doc_id

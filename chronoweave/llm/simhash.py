@@ -28,26 +28,42 @@ BLOCK_ROWS = 1 << 16
 SEED = 42
 
 
-def fingerprint(text: bytes | None, shingle: int) -> int:
-    """The SimHash of a text as a signed 64-bit integer; 0 without words."""
-    import xxhash
-
+def _shingles(text: bytes | None, shingle: int) -> list[memoryview]:
+    """All runs of shingle words, with single blanks between; of fewer words the one run there is."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
-    joined, digest = memoryview(b" ".join(words)), xxhash.xxh64_intdigest
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+        return []
+    joined = memoryview(b" ".join(words))
     if len(words) <= shingle:
-        starts, ends = [0], [len(joined)]
-    else:
-        starts, ends = [0, *(ends[:-shingle] + 1).tolist()], ends[shingle - 1 :].tolist()
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], dtype="<u8")
+        return [joined]
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    return [joined[a:b] for a, b in zip([0, *(ends[:-shingle] + 1).tolist()], ends[shingle - 1 :].tolist(), strict=True)]
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed 64-bit integer; 0 without any."""
     ones = np.zeros(BITS, dtype=np.int64)
     for k in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes)).view("<i8")[0])
 
 
+def fingerprint(text: bytes | None, shingle: int) -> int:
+    """The SimHash of a text's shingles, repeats included, by XXH64."""
+    import xxhash
+
+    return _majority(np.array([xxhash.xxh64_intdigest(x, SEED) for x in _shingles(text, shingle)], dtype="<u8"))
+
+
+def sketch(text: bytes | None, shingle: int, probe: int) -> tuple[int, int, int]:
+    """Three fingerprints: of the different runs of probe words, and of the shingles by two halves of a 128-bit hash."""
+    import xxhash
+
+    near = _majority(np.array([xxhash.xxh64_intdigest(x, SEED) for x in {x.tobytes() for x in _shingles(text, probe)}], dtype="<u8"))
+    both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x, SEED) for x in _shingles(text, shingle)]), dtype="<u8").reshape(-1, 2)
+    return near, _majority(np.ascontiguousarray(both[:, 0])), _majority(np.ascontiguousarray(both[:, 1]))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, fp of docs (doc_id, text). A null or wordless text has 0; fewer words than a shingle are one shingle."""
 
@@ -58,6 +74,17 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "doc_id long, fp long")
 
 
+def sketches(docs: DataFrame, shingle: int, probe: int) -> DataFrame:
+    """doc_id, fp, s1, s2 of docs (doc_id, text)."""
+
+    def run(batches):
+        for batch in batches:
+            made = [sketch(t.as_py(), shingle, probe) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([m[k] for m in made], pa.int64()) for k in range(3)]], ["doc_id", "fp", "s1", "s2"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "doc_id long, fp long, s1 long, s2 long")
+
+
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -151,14 +178,14 @@ def _place(part: int, at: Column):
 
 
 def places(fps: DataFrame, groups: list[tuple[list[int], int]]) -> DataFrame:
-    """part, place, fp, visits (0: its own place) of each fingerprint."""
+    """part, place, visits (0: its own place) and the columns of fps, for each place of a fingerprint."""
     ways = []
     for k, (bits, t) in enumerate(groups):
         mask = sum(1 << b for b in bits)
         flips = [sum(1 << b for b in c) for r in range(t + 1) for c in combinations(bits, r)]
         at = F.col("fp").bitwiseAND(F.lit(signed(mask)))
         ways.append(F.transform(F.array(*[F.lit(signed(f)) for f in flips]), _place(k, at)))
-    return fps.select("fp", F.explode(F.concat(*ways)).alias("w")).select("w.part", "w.place", "fp", "w.visits")
+    return fps.select(*fps.columns, F.explode(F.concat(*ways)).alias("w")).select("w.part", "w.place", "w.visits", *fps.columns)
 
 
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -166,68 +193,78 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))
 
 
-def _forest(fps: np.ndarray, visits: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Edges that connect what a run links: pairs within most bits, at least one of them at its own place."""
-    edges, own = [], visits == 0
-    waiting = np.ones(len(fps), dtype=bool)
-    for seed in range(len(fps)):
+def _forest(rows: np.ndarray, linked) -> list[tuple[int, int]]:
+    """Edges that connect what a run's links connect: each row is compared with those not reached before."""
+    edges, own = [], rows[:, VISITS] == 0
+    waiting = np.ones(len(rows), dtype=bool)
+    for seed in range(len(rows)):
         if not waiting[seed]:
             continue
         waiting[seed] = False
         front = [seed]
         while front:
             k = front.pop()
-            rest = np.flatnonzero(waiting & own) if visits[k] else np.flatnonzero(waiting)
-            near = rest[apart(fps[rest], fps[k]) <= most]
+            rest = np.flatnonzero(waiting & own) if rows[k, VISITS] else np.flatnonzero(waiting)
+            near = rest[linked(rows[rest], rows[k : k + 1])]
             waiting[near] = False
-            edges += [(int(fps[k]), int(fps[j])) for j in near if fps[j] != fps[k]]
+            edges += [(int(rows[k, NODE]), int(rows[j, NODE])) for j in near]
             front += near.tolist()
     return edges
 
 
-def _compared(most: int, small: int = 48):
+#: Columns of a row: its run, whether it visits, its fingerprint, its node, and the fingerprints that a link is held against.
+RUN, VISITS, PRINT, NODE, CHECKED = slice(0, 4), 4, 5, 6, (7, 8)
+
+
+def _compared(most: int, most_checked: int, small: int = 48):
     """Reads rows sorted by run (part, place, block pair), and yields edges that connect each run's links."""
 
-    def linked(keys: np.ndarray, fps: np.ndarray, visits: np.ndarray):
-        starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
-        sizes = np.diff(np.append(starts, len(fps)))
+    def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        near = apart(a[:, PRINT], b[:, PRINT]) <= most
+        return near if most_checked >= 2 * BITS else near & (sum(apart(a[:, k], b[:, k]).astype(np.int64) for k in CHECKED) <= most_checked)
+
+    def edges_of(rows: np.ndarray):
+        starts = np.flatnonzero(np.append(True, (rows[1:, RUN] != rows[:-1, RUN]).any(1)))
+        sizes = np.diff(np.append(starts, len(rows)))
         run = np.repeat(np.arange(len(starts)), sizes)
-        a, b = [], []
-        rows = np.flatnonzero((sizes <= small)[run] & (sizes > 1)[run])
+        pairs = [np.zeros((0, 2), dtype=np.int64)]
+        at = np.flatnonzero((sizes <= small)[run] & (sizes > 1)[run] & (rows[:, VISITS] == 0))
         for shift in range(1, small):
-            rows = rows[rows + shift < len(fps)]
-            rows = rows[run[rows] == run[rows + shift]]
-            if not len(rows):
+            at = at[at + shift < len(rows)]
+            at = at[run[at] == run[at + shift]]
+            if not len(at):
                 break
-            near = rows[(visits[rows] == 0) & (apart(fps[rows], fps[rows + shift]) <= most)]
-            a.append(fps[near])
-            b.append(fps[near + shift])
-        a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
+            near = at[linked(rows[at], rows[at + shift])]
+            pairs.append(np.column_stack([rows[near, NODE], rows[near + shift, NODE]]))
         for k in np.flatnonzero(sizes > small):
-            s = slice(starts[k], starts[k] + sizes[k])
-            if edges := np.array(_forest(fps[s], visits[s], most), dtype=np.int64).reshape(-1, 2).T.tolist():
-                a, b = np.append(a, np.array(edges[0], dtype=np.int64)), np.append(b, np.array(edges[1], dtype=np.int64))
-        keep = a != b
-        return pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], ["a", "b"])
+            pairs.append(np.array(_forest(rows[starts[k] : starts[k] + sizes[k]], linked), dtype=np.int64).reshape(-1, 2))
+        found = np.concatenate(pairs)
+        found = found[found[:, 0] != found[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     def run(batches):
         held = None
         for batch in batches:
             rows = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)])
             rows = rows if held is None else np.concatenate([held, rows])
-            last = np.flatnonzero((rows[:, :4] != rows[-1, :4]).any(1))
+            last = np.flatnonzero((rows[:, RUN] != rows[-1, RUN]).any(1))
             cut = last[-1] + 1 if len(last) else 0
             if cut:
-                yield linked(rows[:cut, :4], rows[:cut, 5], rows[:cut, 4])
+                yield edges_of(rows[:cut])
             held = rows[cut:]
         if held is not None and len(held):
-            yield linked(held[:, :4], held[:, 5], held[:, 4])
+            yield edges_of(held)
 
     return run
 
 
-def links(fps: DataFrame, most: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints fps (fp), all within most bits, that connect whatever such links connect."""
+def links(nodes: DataFrame, most: int = 4, block_rows: int = BLOCK_ROWS, most_checked: int = 2 * BITS) -> DataFrame:
+    """Edges (a, b) between nodes (fp, and node, s1, s2) that connect whatever links connect.
+
+    A link: fingerprints fp within most bits, and s1 and s2 together within most_checked.
+    """
+    fps = nodes if "node" in nodes.columns else nodes.select("fp", F.col("fp").alias("node"), F.lit(0).cast("long").alias("s1"), F.lit(0).cast("long").alias("s2"))
+    fps = fps.select("fp", "node", "s1", "s2")
     n, both = bit_statistics(fps)
     rows = places(fps, plan(n, both, most))
     # Where many fingerprints share a place, its rows are dealt into blocks and each pair of blocks is compared.
@@ -238,12 +275,12 @@ def links(fps: DataFrame, most: int = 4, block_rows: int = BLOCK_ROWS) -> DataFr
     else:
         rows = rows.join(crowded, (F.col("part") == F.col("p")) & (F.col("place") == F.col("q")), "left")
         blocks = F.coalesce("blocks", F.lit(1))
-        own = F.pmod(F.xxhash64("fp"), blocks).cast("long")
+        own = F.pmod(F.xxhash64("node"), blocks).cast("long")
         rows = rows.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long")))})
-        spread = rows.select("part", "place", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "visits", "fp")
-    spread = spread.select(F.col("part").cast("long"), "place", "x", "y", F.col("visits").cast("long"), "fp")
+        spread = rows.select("part", "place", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "visits", "fp", "node", "s1", "s2")
+    spread = spread.select(F.col("part").cast("long"), "place", "x", "y", F.col("visits").cast("long"), "fp", "node", "s1", "s2")
     dealt = spread.repartition("part", "place", "x", "y").sortWithinPartitions("part", "place", "x", "y", "visits")
-    return dealt.mapInArrow(_compared(most), "a long, b long")
+    return dealt.mapInArrow(_compared(most, most_checked), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -254,9 +291,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4, block_rows
     component's least id, null where it has no other. Other columns are ignored; an empty table gives no rows.
     """
     own = common.written(fingerprints(docs, shingle), "simhash-docs")
-    nodes = common.written(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
-    found = components(common.written(links(nodes, most, block_rows), "simhash-links"))
-    rooted = nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    nodes = common.written(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes").withColumn("node", F.col("fp"))
+    least = _least(nodes, links(nodes.select("fp"), most, block_rows))
+    return own.join(nodes.join(least, "node").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def _least(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node and component_id, the least first of all nodes reachable."""
+    found = components(common.written(edges, "simhash-links"))
+    rooted = nodes.join(found.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     rooted = common.written(rooted, "simhash-roots")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return own.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, probe: int = 2, most: int = 9, most_checked: int = 26, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """doc_id and component_id as near_duplicates(), for texts whose shingles have a similarity of about 0.8 or more.
+
+    Shingles of five words change five times as fast as words do: at a similarity of 0.8 their fingerprints
+    differ in 10 of 64 bits and more, too many to probe. Candidates are probed by the fingerprint of the
+    different runs of probe words, where such texts differ in most bits or fewer, and verified by 128 bits over
+    the shingles: 0.8 is 19 bits on the average, 26 about one and a half deviations more.
+    """
+    own = common.written(sketches(docs, shingle, probe), "simhash-docs")
+    key = ["fp", "s1", "s2"]
+    nodes = common.written(own.groupBy(*key).agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64(*key)), "simhash-nodes")
+    least = _least(nodes, links(nodes, most, block_rows, most_checked))
+    return own.join(nodes.join(least, "node").select(*key, "component_id"), key).select("doc_id", "component_id")

@@ -17,16 +17,11 @@ SEASONS = {"SP": (3, 20, 6, 20), "SU": (6, 21, 9, 21), "FA": (9, 22, 12, 20), "W
 PARTS = {"H1": (1, 6), "H2": (7, 12), "Q1": (1, 3), "Q2": (4, 6), "Q3": (7, 9), "Q4": (10, 12)}
 HOURS = {"MO": (4, 7), "MI": (8, 11), "AF": (12, 15), "EV": (16, 19), "NI": (20, 23), "DT": (0, 3)}
 
-# The forms a value can have, tried in this order.
-YEAR = r"(\d{1,4}X{0,3})"
-FORMS = {
-    "date": rf"^{YEAR}(?:-(\d\d|XX)(?:-(\d\d|XX))?)?$",
-    "time": rf"^{YEAR}-(\d\d|XX)-(\d\d|XX)T(?:(\d\d)(?::(\d\d)(?::(\d\d))?)?|(MO|MI|AF|EV|NI|DT))?.*$",
-    "week": rf"^{YEAR}-W(\d\d|XX)(?:-(?:WE|\d|X))?$",
-    "week_time": rf"^{YEAR}-W(\d\d|XX)-(?:WE|\d|X)T(?:(\d\d)(?::(\d\d)(?::(\d\d))?)?|(MO|MI|AF|EV|NI|DT))?$",
-    "season": rf"^{YEAR}-(SP|SU|FA|WI)$",
-    "part": rf"^{YEAR}-([HQ])([1-4X])$",
-}
+# All forms of a value that has a range: year; month and day, week, season, or half or quarter; clock or part of a day.
+FORM = (
+    r"^(\d{1,4})X{0,3}(?:-(?:(\d\d|XX)(?:-(\d\d|XX))?|W(\d\d|XX)(?:-(?:WE|\d|X))?|(SP|SU|FA|WI)|([HQ][1-4X])))?"
+    r"(?:T(?:(\d\d)(?::(\d\d)(?::(\d\d))?)?|(MO|MI|AF|EV|NI|DT))?.*)?$"
+)
 WEEKS_A_MONTH = 4.33
 
 
@@ -57,34 +52,24 @@ def _moment(year: Column, month: Column, day: Column, hour: Column, minute: Colu
 
 def span(value: Column, compat: bool = True) -> Span:
     """The range of a value; null for durations, sets, references and values of no known form."""
-    form = F.lit(None).cast("string")
-    for name, pattern in reversed(FORMS.items()):
-        form = F.when(F.regexp_like(value, F.lit(pattern)), F.lit(name)).otherwise(form)
-
-    def group(name: str, k: int) -> Column:
-        return F.regexp_extract(value, FORMS[name], k)
-
-    digits = F.regexp_extract(value, r"^(\d{1,4})", 1)
-    year_low, year_high = _int(F.rpad(digits, 4, "0")), _int(F.rpad(digits, 4, "9"))
-    dated = F.when(form == "date", group("date", 2)).when(form == "time", group("time", 2))
-    month = _int(dated)
-    week = _int(F.when(form == "week", group("week", 2)).when(form == "week_time", group("week_time", 2)))
+    def group(k: int) -> Column:
+        return F.regexp_extract(value, FORM, k)
+
+    year_low, year_high = _int(F.rpad(group(1), 4, "0")), _int(F.rpad(group(1), 4, "9"))
+    month, day, week, season, part = _int(group(2)), _int(group(3)), _int(group(4)), group(5), group(6)
     by_week = F.when(week.isNotNull(), F.ceil(F.least(F.lit(12.0), week / WEEKS_A_MONTH)).cast("int"))
-    season = F.when(form == "season", group("season", 2))
-    part = F.when(form == "part", F.concat(group("part", 2), group("part", 3)))
     month_low = F.coalesce(month, by_week, _from(SEASONS, season, 0), _from(PARTS, part, 0))
     month_high = F.coalesce(month, by_week, _from(SEASONS, season, 2), _from(PARTS, part, 1))
-    day = _int(F.when(form == "date", group("date", 3)).when(form == "time", group("time", 3)))
     day_low, day_high = F.coalesce(day, _from(SEASONS, season, 1)), F.coalesce(day, _from(SEASONS, season, 3))
-    clock = {k: _int(F.when(form == "time", group("time", 4 + k)).when(form == "week_time", group("week_time", 3 + k))) for k in range(3)}
-    named = F.when(form == "time", group("time", 7)).when(form == "week_time", group("week_time", 6))
+    clock, named = {k: _int(group(7 + k)) for k in range(3)}, group(10)
     low_month = F.coalesce(month_low, F.lit(2 if compat else 1))
     high_month = F.coalesce(month_high, F.lit(12))
     high_year = year_high if compat else year_high + F.when(season == "WI", 1).otherwise(0)
     last_day = F.lit(28) if compat else F.dayofmonth(F.last_day(F.make_date(high_year, high_month, F.lit(1))))
     low = _moment(year_low, low_month, F.coalesce(day_low, F.lit(1)), F.coalesce(clock[0], _from(HOURS, named, 0), F.lit(0)), F.coalesce(clock[1], F.lit(0)), F.coalesce(clock[2], F.lit(0)))
     high = _moment(high_year, high_month, F.coalesce(day_high, last_day), F.coalesce(clock[0], _from(HOURS, named, 1), F.lit(23)), F.coalesce(clock[1], F.lit(59)), F.coalesce(clock[2], F.lit(59)))
-    ok = form.isNotNull() & (F.coalesce(month, F.lit(1)).between(1, 12))
+    # A clock needs a day or a week before it.
+    ok = F.regexp_like(value, F.lit(FORM)) & F.coalesce(month, F.lit(1)).between(1, 12) & (~value.contains("T") | (group(3) != "") | (group(4) != ""))
     return Span(F.when(ok, low), F.when(ok, high))
 
 
@@ -104,15 +89,29 @@ def ordered(low1: Column, high1: Column, low2: Column, high2: Column) -> Column:
     )
 
 
+def spanned(rows, value: str = "value", compat: bool = True):
+    """rows with low and high, the range of column value: worked out once for each value, before values meet in pairs."""
+    own = span(F.col(value), compat)
+    return rows.withColumns({"low": own.low, "high": own.high})
+
+
+def _related(type1: Column, value1: Column, a: Span, type2: Column, value2: Column, b: Span) -> Column:
+    place = lambda v: F.when(v == "PAST_REF", -1).when(v == "FUTURE_REF", 1).otherwise(0)
+    by_place = F.when(place(value1) < place(value2), "BEFORE").when(place(value1) > place(value2), "AFTER")
+    either_present = (value1 == "PRESENT_REF") | (value2 == "PRESENT_REF")
+    related = F.when(either_present, F.lit(None)).when(is_reference(value1) | is_reference(value2), by_place).otherwise(ordered(a.low, a.high, b.low, b.high))
+    return F.when(type1.isin("DATE", "TIME") & type2.isin("DATE", "TIME"), related)
+
+
+def related_columns() -> Column:
+    """As ordered_values(), on the columns type, value, low and high of both sides of a pair."""
+    c = F.col
+    return _related(c("type1"), c("value1"), Span(c("low1"), c("high1")), c("type2"), c("value2"), Span(c("low2"), c("high2")))
+
+
 def ordered_values(type1: Column, value1: Column, type2: Column, value2: Column, compat: bool = True) -> Column:
     """The relation of two dates or times; past and future references are placed around the present, PRESENT_REF nowhere."""
-    place = lambda v: F.when(v == "PAST_REF", -1).when(v == "FUTURE_REF", 1)
-    a, b = span(value1, compat), span(value2, compat)
-    p1, p2 = F.coalesce(place(value1), F.lit(0)), F.coalesce(place(value2), F.lit(0))
-    referred = is_reference(value1) | is_reference(value2)
-    by_place = F.when(p1 < p2, "BEFORE").when(p1 > p2, "AFTER")
-    either_present = (value1 == "PRESENT_REF") | (value2 == "PRESENT_REF")
-    return F.when(type1.isin("DATE", "TIME") & type2.isin("DATE", "TIME"), F.when(either_present, F.lit(None)).when(referred, by_place).otherwise(ordered(a.low, a.high, b.low, b.high)))
+    return _related(type1, value1, span(value1, compat), type2, value2, span(value2, compat))
 
 
 def _field(value: Column, k: int) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.maths import ratio
 from chronoweave.functions.relations import canonical
-from chronoweave.operators.closure import closure
+from chronoweave.operators.closure import closure, written
 
 LINK = ["doc", "id1", "id2", "relation"]
 
@@ -76,10 +76,11 @@ def run(corpus: Corpus, sieves: list[tuple[str, Sieve]], close: bool = True) ->
         made = without_repeats(made.select(*LINK).withColumn("ordinal", F.lit(0)), "ordinal").select(*LINK)
         kept = made if current is None else without_conflicts(made, current)
         kept = kept.select(*LINK, F.lit(False).alias("closed"), F.lit(name).alias("origin"))
-        every = kept if current is None else current.unionByName(kept)
-        if close:
+        # A table after each sieve: plans don't grow with the cascade.
+        every = written(kept if current is None else current.unionByName(kept))
+        if close and not every.where(F.col("origin") == name).isEmpty():
             inferred = closure(every.select(*LINK)).where("closed")
-            every = every.unionByName(without_conflicts(inferred, every).select(*LINK, F.lit(True).alias("closed"), F.lit(name).alias("origin")))
+            every = written(every.unionByName(without_conflicts(inferred, every).select(*LINK, F.lit(True).alias("closed"), F.lit(name).alias("origin"))))
         current = every
     return current
 

@@ -19,7 +19,7 @@ COMPOSED = sorted({r for row in COMPOSITION for r in row})
 SCHEMA = "doc string, id1 string, id2 string, relation string, closed boolean"
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """A table in the cluster's shared folder, to cut the growing plan."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="chronoweave-")
@@ -44,7 +44,7 @@ def closure(links: DataFrame) -> DataFrame:
     rules = F.broadcast(composition(spark))  # always 17 rows
     given = canonical(links.where("id1 IS NOT NULL AND id2 IS NOT NULL AND id1 <> id2"))
     known = given.groupBy("doc", "lo", "hi").agg(F.min(F.struct("id1", "id2", "relation")).alias("l"))
-    known = _written(known.select("doc", "l.id1", "l.id2", "l.relation", F.lit(False).alias("closed"), F.lit(0).alias("round")))
+    known = written(known.select("doc", "l.id1", "l.id2", "l.relation", F.lit(False).alias("closed"), F.lit(0).alias("round")))
     turn = 0
     while True:
         edges = _both_ways(known.where(F.col("relation").isin(*COMPOSED)).select("doc", "id1", "id2", "relation"))
@@ -56,10 +56,10 @@ def closure(links: DataFrame) -> DataFrame:
         found = found.groupBy("doc", "lo", "hi").agg(F.min("rel").alias("relation"))
         pairs = known.select("doc", F.least("id1", "id2").alias("lo"), F.greatest("id1", "id2").alias("hi"))
         added = found.join(pairs, ["doc", "lo", "hi"], "left_anti")
-        added = _written(added.select("doc", F.col("lo").alias("id1"), F.col("hi").alias("id2"), "relation", F.lit(True).alias("closed"), F.lit(turn + 1).alias("round")))
+        added = written(added.select("doc", F.col("lo").alias("id1"), F.col("hi").alias("id2"), "relation", F.lit(True).alias("closed"), F.lit(turn + 1).alias("round")))
         if added.isEmpty():
             return known.drop("round")
-        known, turn = _written(known.unionByName(added)), turn + 1
+        known, turn = written(known.unionByName(added)), turn + 1
 
 
 def closure_in_order(links: DataFrame) -> DataFrame:

@@ -82,10 +82,13 @@ def adjacent_verb_timex(c: Corpus, between: int = 2, before: bool = True, after:
 
 def time_time(c: Corpus, compat: bool = True) -> DataFrame:
     """Pairs of time expressions, creation times first, by their values' ranges."""
-    text = pairs.same_or_next(c.timexes).select("doc", "id1", "id2", "type1", "value1", "type2", "value2")
-    made = c.dcts.select("doc", F.col("id").alias("id1"), F.coalesce(F.col("type") if "type" in c.dcts.columns else F.lit(None), F.lit("DATE")).alias("type1"), F.col("value").alias("value1"))
-    made = made.join(c.timexes.select("doc", F.col("id").alias("id2"), F.col("type").alias("type2"), F.col("value").alias("value2")), "doc")
-    return _links(text.unionByName(made), tx.ordered_values(F.col("type1"), F.col("value1"), F.col("type2"), F.col("value2"), compat))
+    times = tx.spanned(c.timexes, "value", compat)
+    columns = ["doc", *[f"{n}{k}" for k in (1, 2) for n in ("id", "type", "value", "low", "high")]]
+    text = pairs.same_or_next(times).select(*columns)
+    side = lambda df, k: df.select("doc", *[F.col(n).alias(f"{n}{k}") for n in ("id", "type", "value", "low", "high")])
+    kind = F.coalesce(F.col("type"), F.lit("DATE")) if "type" in c.dcts.columns else F.lit("DATE")
+    made = side(tx.spanned(c.dcts, "value", compat).withColumn("type", kind), 1).join(side(times, 2), "doc")
+    return _links(text.unionByName(made.select(*columns)), tx.related_columns())
 
 
 def _by_tense_rules(c: Corpus, cls: str) -> DataFrame:

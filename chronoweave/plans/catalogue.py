@@ -108,9 +108,10 @@ SELECT l_orderkey, l_linenumber, CASE WHEN a = c AND b = d THEN 'SIMULTANEOUS' W
   WHEN (a < c AND b < d) OR (a > c AND b > d) THEN 'VAGUE' END AS relation FROM r""")
 def q06_timex_interval_order(spark, sf_dir):
     o, line = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
-    both = line.select("l_orderkey", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM-dd").alias("day")).join(o.select(F.col("o_orderkey").alias("l_orderkey"), F.date_format("o_orderdate", "yyyy-MM").alias("month")), "l_orderkey")
-    date = F.lit("DATE")
-    return both.select("l_orderkey", "l_linenumber", tx.ordered_values(date, F.col("month"), date, F.col("day")).alias("relation"))
+    day = tx.spanned(line.select("l_orderkey", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM-dd").alias("value2")), "value2").withColumnsRenamed({"low": "low2", "high": "high2"})
+    month = tx.spanned(o.select(F.col("o_orderkey").alias("l_orderkey"), F.date_format("o_orderdate", "yyyy-MM").alias("value1")), "value1").withColumnsRenamed({"low": "low1", "high": "high1"})
+    both = day.join(month, "l_orderkey").withColumns({"type1": F.lit("DATE"), "type2": F.lit("DATE")})
+    return both.select("l_orderkey", "l_linenumber", tx.related_columns().alias("relation"))
 
 
 def _values(o: DataFrame) -> DataFrame:

@@ -74,17 +74,6 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "doc_id long, fp long")
 
 
-def sketches(docs: DataFrame, shingle: int, probe: int) -> DataFrame:
-    """doc_id, fp, s1, s2 of docs (doc_id, text)."""
-
-    def run(batches):
-        for batch in batches:
-            made = [sketch(t.as_py(), shingle, probe) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([m[k] for m in made], pa.int64()) for k in range(3)]], ["doc_id", "fp", "s1", "s2"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "doc_id long, fp long, s1 long, s2 long")
-
-
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -302,18 +291,3 @@ def _least(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rooted = nodes.join(found.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     rooted = common.written(rooted, "simhash-roots")
     return rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
-
-
-def similar_documents(docs: DataFrame, shingle: int = 5, probe: int = 2, most: int = 9, most_checked: int = 26, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """doc_id and component_id as near_duplicates(), for texts whose shingles have a similarity of about 0.8 or more.
-
-    Shingles of five words change five times as fast as words do: at a similarity of 0.8 their fingerprints
-    differ in 10 of 64 bits and more, too many to probe. Candidates are probed by the fingerprint of the
-    different runs of probe words, where such texts differ in most bits or fewer, and verified by 128 bits over
-    the shingles: 0.8 is 19 bits on the average, 26 about one and a half deviations more.
-    """
-    own = common.written(sketches(docs, shingle, probe), "simhash-docs")
-    key = ["fp", "s1", "s2"]
-    nodes = common.written(own.groupBy(*key).agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64(*key)), "simhash-nodes")
-    least = _least(nodes, links(nodes, most, block_rows, most_checked))
-    return own.join(nodes.join(least, "node").select(*key, "component_id"), key).select("doc_id", "component_id")

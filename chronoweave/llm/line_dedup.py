@@ -54,43 +54,49 @@ def _chunk(lines: Column, bounds: Column, k: Column) -> Column:
     return F.slice(lines, start + 1, F.get(bounds, k) - start)
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id and removed: the numbers of the chunks to remove from each document that has any.
+    """doc_id, text_hash and removed: the numbers of the chunks to remove from each document that has any.
 
     Chunks' bytes move once, to count them by hash and bytes; equal ones are counted by task before. A
     hash that stands for one run of bytes only is safe to remove by: the rest works on hashes and numbers.
     """
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("text_hash"))
     lines, bounds = F.col("lines"), F.col("bounds")
 
     def described(_: Column, i: Column) -> Column:
         own = _chunk(lines, bounds, i)
         return F.struct(i.alias("n"), F.size(own).alias("size"), F.exists(own, lambda x: F.length(F.trim(x)) > 0).alias("some"), F.array_join(own, "\n").alias("chunk"))
 
-    each = with_chunks(raw, "text", "lines", "bounds").select("doc_id", F.explode(F.transform("bounds", described)).alias("c"))
-    each = each.where((F.col("c.size") > 1) & F.col("c.some")).select("doc_id", "c.n", F.xxhash64("c.chunk").alias("hash"), "c.chunk")
-    places = common.written(each.select("doc_id", "n", "hash"), "line-places")
+    each = with_chunks(raw, "text", "lines", "bounds").select("doc_id", "text_hash", F.explode(F.transform("bounds", described)).alias("c"))
+    each = each.where((F.col("c.size") > 1) & F.col("c.some")).select("doc_id", "text_hash", "c.n", F.xxhash64("c.chunk").alias("hash"), "c.chunk")
+    places = common.written(each.select("doc_id", "text_hash", "n", "hash"), "line-places")
     same = each.groupBy("hash", "chunk").agg(F.count("*").alias("places"))
     same = same.groupBy("hash").agg(F.count("*").alias("variants"), F.sum("places").alias("places")).where("variants = 1 AND places > 1").select("hash")
     # The first place of each repeated chunk; null ids come last.
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("n").alias("n"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"), F.col("n").alias("n"))
     firsts = common.written(places.groupBy("hash").agg(F.min(place).alias("first")).join(same, "hash", "left_semi"), "line-firsts")
-    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("n") == F.col("first.n"))
-    return places.join(firsts, "hash").where(~is_first).groupBy("doc_id").agg(F.collect_set("n").alias("removed"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("n") == F.col("first.n"))
+    return places.join(firsts, "hash").where(~is_first).groupBy("doc_id", "text_hash").agg(F.collect_set("n").alias("removed"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with repeated chunks taken out of text, and the columns chunks, removed_chunks and removed_lines.
 
-    The first place of a chunk, by doc_id (null last) and number, stays. Rows with the same doc_id are
-    one document and treated alike, so they all keep what is theirs. A null text stays null, with no
+    The first place of a chunk, by doc_id (null last), hash of the text and number, stays. Rows with the same
+    doc_id and text are one document and treated alike; different texts under one id, or without one, are
+    documents of their own. A null text stays null, with no
     chunks; an empty one is a chunk of one line, which is never removed; chunks of blank lines stay.
     Other columns, those named like the added ones too (which are replaced), are kept as they are.
     """
     out = docs.drop("chunks", "removed_chunks", "removed_lines")
-    lines, bounds, removed, of = common.fresh(out, "lines", "bounds", "removed", "of")
-    gone = repeated_chunks(docs).select(F.col("doc_id").alias(of), F.col("removed").alias(removed))
-    own = out.join(gone.hint("merge"), out.doc_id.cast("long").eqNullSafe(gone[of]), "left").drop(of)
+    lines, bounds, removed, of, hashed, of_text = common.fresh(out, "lines", "bounds", "removed", "of", "text_hash", "of_text")
+    gone = repeated_chunks(docs).select(F.col("doc_id").alias(of), F.col("text_hash").alias(of_text), F.col("removed").alias(removed))
+    out = out.withColumn(hashed, _text_hash())
+    own = out.join(gone.hint("merge"), out.doc_id.cast("long").eqNullSafe(gone[of]) & (out[hashed] == gone[of_text]), "left").drop(of, of_text, hashed)
     own = with_chunks(own, "text", lines, bounds)
     row, ends = F.col(removed), F.col(bounds)
     kept = F.filter(F.transform(ends, lambda _, i: F.when(~F.array_contains(row, i), F.array_join(_chunk(F.col(lines), ends, i), "\n"))), lambda c: c.isNotNull())

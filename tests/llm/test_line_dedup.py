@@ -72,3 +72,11 @@ def test_no_python_in_the_plan(spark):
 def test_many_equal_lines_are_one_chunk(spark, lines):
     df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines))], "doc_id long, text string")
     assert [(r.chunks, r.text) for r in line_dedup.deduplicated(df).orderBy("doc_id").collect()] == [(1, "\n".join(lines)), (1, "")]
+
+
+def test_rows_without_an_id_or_with_a_shared_one_keep_their_own_lines(spark):
+    text = lambda k: "\n".join(f"{k} line {j}" for j in range(12))
+    docs = [(1, text("a")), (None, text("a")), (None, text("b")), (7, text("a")), (7, text("c"))]
+    got = [(r.doc_id, r.text) for r in line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert {(1, text("a")), (None, text("b")), (7, text("c"))} <= set(got)
+    assert len(got) == 5 and [t for _, t in got].count(text("a")) == 1

@@ -5,6 +5,9 @@ A chunk ends after a line whose rolling hash is less than those of both its neig
 on a few lines around it alone, so that text put in or taken out elsewhere shifts no boundary, and
 chunks have two lines at least (but for a text's last). Chunks of several lines that stand somewhere
 before, in the order of doc_id and place, and equal byte for byte, are removed.
+
+Chunks at both edges of a repeated passage differ from those of its first place. without_repeats(), the
+pipeline's stage, also removes passages to their very edges; deduplicated() keeps to chunks, as its SQL has it.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from chronoweave.llm import common
 PRIME = (1 << 31) - 1
 FACTOR = 1_000_003
 ROLL = 2
+#: Words of a passage that goes wherever its chunks' boundaries lie.
+PASSAGE_WORDS = 50
 
 
 def line_hash(line: Column) -> Column:
@@ -109,6 +114,69 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     }).drop(lines, bounds, removed)
 
 
+def _spans(worded: Column) -> Column:
+    """First and last line (a, b) of the shortest passages that begin or end with each line; worded: i, w of the lines with words."""
+
+    def shortest(near: Column) -> Column:
+        start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"), F.lit(-1).alias("at"))
+        enough = lambda p: (p["words"] >= PASSAGE_WORDS) & (p["lines"] > 1)
+        found = F.aggregate(near, start, lambda p, x: F.when(enough(p), p).otherwise(F.struct((p["words"] + x["w"]).alias("words"), (p["lines"] + 1).alias("lines"), x["i"].alias("at"))))
+        return F.when(enough(found), found["at"])
+
+    def both(x: Column, u: Column) -> Column:
+        low = F.greatest(u - PASSAGE_WORDS, F.lit(0))
+        after, before = F.slice(worded, u + 1, F.lit(PASSAGE_WORDS + 1)), F.reverse(F.slice(worded, low + 1, u - low + 1))
+        return F.array(F.struct(x["i"].alias("a"), shortest(after).alias("b")), F.struct(shortest(before).alias("a"), x["i"].alias("b")))
+
+    spans = F.flatten(F.transform(worded, both))
+    return F.array_distinct(F.filter(spans, lambda s: s["a"].isNotNull() & s["b"].isNotNull()))
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and spans (a, b): first and last lines of what repeats an earlier passage.
+
+    A passage has two lines with words and PASSAGE_WORDS words at least. Any repeated one is covered by the
+    shortest ones that begin or end with each of its lines, so those alone are looked up, by 128 bits of MD5.
+    The first place stays, and so does what overlaps it in its own text.
+    """
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("text_hash"))
+    lines = raw.withColumn("lines", F.split("text", "\n", -1))
+    words = lambda x: F.size(F.filter(F.split(x, r"[\x20\t-\r]+", -1), lambda w: w != ""))
+    worded = lines.withColumn("worded", F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), words(x).alias("w"))), lambda s: s["w"] > 0))
+    spans = worded.withColumn("spans", _spans(F.col("worded")))
+    key = lambda s: F.unhex(F.md5(F.array_join(F.slice("lines", s["a"] + 1, s["b"] - s["a"] + 1), "\n")))
+    each = spans.select("doc_id", "text_hash", F.explode(F.transform("spans", lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), key(s).alias("key")))).alias("s"))
+    each = common.written(each.select("doc_id", "text_hash", "s.a", "s.b", "s.key"), "line-passages")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "a")
+    firsts = each.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    overlaps = own & (F.col("a") <= F.col("first.a") + F.col("b") - F.col("a"))
+    again = each.join(common.written(firsts, "line-passage-firsts"), "key").where(~overlaps)
+    return again.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with text freed of repeated chunks, as deduplicated() has them, and of repeated passages to their edges."""
+    columns = docs.columns
+    lines, bounds, removed, spans, hashed, row = common.fresh(docs, "lines", "bounds", "removed", "spans", "text_hash", "row_id")
+    chunks, passages = ("chunk_id", "chunk_hash", removed), ("passage_id", "passage_hash", spans)
+    out = docs.withColumns({hashed: _text_hash(), row: F.col("doc_id").cast("long")})
+    for (of, of_text, name), found in ((chunks, repeated_chunks(docs)), (passages, repeated_passages(docs))):
+        of, of_text = common.fresh(out, of, of_text)
+        found = found.toDF(of, of_text, name).hint("merge")
+        out = out.join(found, F.col(row).eqNullSafe(F.col(of)) & (F.col(hashed) == F.col(of_text)), "left").drop(of, of_text)
+    out = with_chunks(out, "text", lines, bounds)
+    ends = F.col(bounds)
+    of_chunks = F.transform(removed, lambda k: F.sequence(F.when(k > 0, F.get(ends, k - 1)).otherwise(0), F.get(ends, k) - 1))
+    of_passages = F.transform(spans, lambda s: F.sequence(s["a"], s["b"]))
+    none = F.array().cast("array<array<int>>")
+    gone = F.flatten(F.concat(F.coalesce(of_chunks, none), F.coalesce(of_passages, none)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    text = F.array_join(F.transform(kept, lambda i: F.get(F.col(lines), i)), "\n")
+    changed = F.col(removed).isNotNull() | F.col(spans).isNotNull()
+    return out.withColumn("text", F.when(changed, text).otherwise(F.col("text").cast("string"))).select(*columns)
+
+
 #: deduplicated() on table documents, in DuckDB's SQL.
 SQL = f"""
 WITH line AS (

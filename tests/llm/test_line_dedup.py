@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 
@@ -80,3 +81,40 @@ def test_rows_without_an_id_or_with_a_shared_one_keep_their_own_lines(spark):
     got = [(r.doc_id, r.text) for r in line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
     assert {(1, text("a")), (None, text("b")), (7, text("c"))} <= set(got)
     assert len(got) == 5 and [t for _, t in got].count(text("a")) == 1
+
+
+def brute_passages(docs):
+    """Lines (document, number) in a run of lines, two with words and 50 words in all, that stands at an earlier place not overlapping it."""
+    every = {d: t.split("\n") for d, t in docs}
+    seen, gone = {}, set()
+    for d in sorted(every):
+        lines = every[d]
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines)):
+                own = lines[a : b + 1]
+                if own[0].split() and own[-1].split() and sum(len(x.split()) for x in own) >= 50:
+                    first = seen.setdefault(tuple(own), (d, b))
+                    if first[0] != d or a > first[1]:
+                        gone |= {(d, k) for k in range(a, b + 1)}
+    return gone
+
+
+def test_repeated_passages_go_to_their_edges(spark):
+    r = random.Random(8)
+    line = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    passages = [[line(r.choice([3, 12, 27, 40])) for _ in range(r.randint(2, 7))] for _ in range(12)]
+    docs = []
+    for k in range(50):
+        parts = [[line(r.randint(1, 20)) for _ in range(r.randint(0, 3))] + r.choice([[], [""], ["", " "]]) + r.choice(passages) for _ in range(r.randint(1, 3))]
+        docs.append((k, "\n".join(x for p in parts for x in p)))
+    docs += [(100, "\n".join(["a b c"] * 60)), (101, "x " * 80), (102, "x " * 80)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    spans = line_dedup.repeated_passages(df).collect()
+    want = brute_passages(docs)
+    assert {(s.doc_id, i) for s in spans for p in s.spans for i in range(p.a, p.b + 1)} == want and len(want) > 150
+    chunks = {d: t for d, t, *_ in brute(docs)}
+    got = {x.doc_id: x.text for x in line_dedup.without_repeats(df).collect()}
+    assert set(got) == set(dict(docs)) and got[101].strip() and got[102].strip()
+    left = {d: Counter(t.split("\n")) for d, t in chunks.items()}
+    assert all(not Counter(got[d].split("\n")) - left[d] or got[d] == "" for d in got)
+    assert sum(len(t) for t in got.values()) < sum(len(t) for t in chunks.values())

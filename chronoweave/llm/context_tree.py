@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm import common
 
-DEPTH = 4
+DEPTH = 6
 BLOCK_GRAMS = 1 << 20
 FREQUENT = 1 << 16
 #: Distinct words or grams that a task adds up before it hands them on.

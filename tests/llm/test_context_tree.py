@@ -131,3 +131,9 @@ def test_odd_tables(spark):
     got = context_tree.scores(docs, model).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens) for r in got) == [(1, 0, 0), (1, 0, 0), (2, 0, 0)]
     assert {round(r.score / math.log10(1 / 256)) for r in got} == {1, 3}
+
+
+def test_longer_contexts_beat_the_base_on_a_larger_table(spark):
+    rows = op6_context_tree(spark, "/root/testdata/sf0.01").where("held_out").collect()
+    print("held out", sum(r.n_tokens for r in rows), sum(r.score for r in rows), sum(r.base_score for r in rows))
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)

@@ -59,11 +59,11 @@ def head_spans(nodes: DataFrame) -> DataFrame:
     return leaf.join(nodes.select("doc", "sid", "node", "span_start", "span_end"), ["doc", "sid", "node"]).select("doc", "sid", "idx", "span_start", "span_end")
 
 
-def dependency_paths(deps: DataFrame, wanted: DataFrame, longest: int = 6) -> DataFrame:
+def dependency_paths(deps: DataFrame, wanted: DataFrame, longest: int | None = None) -> DataFrame:
     """doc, sid, from_idx, to_idx, path, length: the shortest path of dependencies, -> down and <- up.
 
     deps: doc, sid, reln, gov_idx, dep_idx; wanted: doc, sid, from_idx, to_idx. A sentence's graph is small
-    and is searched breadth first; paths beyond longest steps are left out.
+    and is searched breadth first to its end; paths beyond longest steps, if given, are left out.
     """
     edges = deps.groupBy("doc", "sid").agg(F.sort_array(F.collect_list(F.struct("gov_idx", "dep_idx", "reln"))).alias("edges"))
     asked = wanted.groupBy("doc", "sid").agg(F.collect_set(F.struct("from_idx", "to_idx")).alias("asked"))
@@ -81,7 +81,7 @@ def dependency_paths(deps: DataFrame, wanted: DataFrame, longest: int = 6) -> Da
                     seen, queue = {a["from_idx"]: ""}, deque([(a["from_idx"], 0)])
                     while queue and a["to_idx"] not in seen:
                         at, n = queue.popleft()
-                        for to, step in near.get(at, []) if n < longest else []:
+                        for to, step in near.get(at, []) if longest is None or n < longest else []:
                             if to not in seen:
                                 seen[to] = seen[at] + step
                                 queue.append((to, n + 1))

@@ -232,3 +232,10 @@ def test_timeml(spark, tmp_path):
     assert {(r.id, r.sid, r.idx, r.cls, r.tense) for r in timeml.events(docs).collect()} == {("ei1", 0, 2, "REPORTING", "PAST"), ("ei2", 1, 2, "STATE", None)}
     assert [(r.id, r.sid, r.idx, r.len, r.value) for r in timeml.timexes(docs).collect()] == [("t1", 1, 3, 2, "1998-02-12")]
     assert [tuple(r) for r in timeml.creation_times(docs).collect()] == [("a", "t0", "DATE", "1998-02-13")] and [(r.id1, r.id2, r.relation, r.link_type) for r in timeml.links(docs).collect()] == [("ei1", "t0", "SIMULTANEOUS", "et")]
+
+
+def test_paths_of_any_length(spark):
+    deps = spark.createDataFrame([("d", 0, "dep", k, k + 1) for k in range(12)], "doc string, sid int, reln string, gov_idx int, dep_idx int")
+    wanted = spark.createDataFrame([("d", 0, 0, 12)], "doc string, sid int, from_idx int, to_idx int")
+    assert [r.length for r in graphs.dependency_paths(deps, wanted).collect()] == [12]
+    assert graphs.dependency_paths(deps, wanted, longest=11).count() == 0

@@ -6,15 +6,18 @@ weight of a node against its children is that of context-tree weighting, from th
 training corpus: half its own estimate, half the product of what its children weigh. Texts begin after
 DEPTH zero bytes. A context not seen in training passes a decision on to the longest one seen.
 
-The corpus is gathered as counts of (DEPTH + 1)-grams and of words, added up by task before each
-shuffle. Weights are worked out in a shuffle by context, a depth at a time. Scoring looks grams up in
-blocks of at most BLOCK_GRAMS of the model, so that what is broadcast is bounded whatever the corpus.
+Texts are packed into shards. A shard hands its different (DEPTH + 1)-grams, with their counts in training
+texts, to the leaves of a trie of contexts, two bytes at first and longer where a leaf would hold more than
+LEAF_GRAMS. All longer contexts of a leaf's grams are inside the leaf, so a task weighs that part of the tree
+by itself; the few shorter ones are weighed and mixed by sums over (context, node). Each leaf then answers
+every shard with the logarithms of its grams, and the shard adds them up by text. The model never passes
+through the driver, and each text is read twice whatever the corpus.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
+from collections.abc import Iterator
 from math import lgamma, log
 
 import numpy as np
@@ -24,344 +27,568 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm import common
 
-DEPTH = 6
-BLOCK_GRAMS = 1 << 20
-FREQUENT = 1 << 16
-#: Distinct words or grams that a task adds up before it hands them on.
+DEPTH = 8
+#: Bytes of context that a leaf has at least, and at most.
+SHORTEST, LONGEST = 2, 6
+#: Grams of a leaf, added up over shards, beyond which it is split by one more byte of context.
+LEAF_GRAMS = 1 << 22
+#: Bytes of text in a shard, and grams that are weighed at a time.
+SHARD_BYTES, BATCH_GRAMS = 12 << 20, 1 << 19
+#: Words whose counts are broadcast, and the length of the longest of them: a bound of 8 MB.
+FREQUENT, FREQUENT_BYTES = 1 << 16, 64
+#: Distinct words that a task adds up before it hands them on.
 FLUSH = 1 << 19
-CHUNK_BYTES = 4 << 20
 END = b"\xff"
-GRAM, WORD, DOCUMENT = 0, 1, 2
+#: Logarithms are handed back as 24-bit numbers of steps of 1 / STEPS: no byte is less likely than 10 ** -128.
+STEPS = 1 << 17
 
 
-def normal(text: bytes | None) -> tuple[list[bytes], bytes]:
-    """The words of a text, A-Z lower, and the bytes that the model scores: words with single spaces between, then END."""
-    words = (text or b"").lower().split()
-    return words, b" ".join(words) + END
+def normal(text: bytes | None) -> bytes:
+    """The bytes that the model scores: words, A-Z lower, with single spaces between, then END."""
+    return b" ".join((text or b"").lower().split()) + END
 
 
-def gram_keys(texts: list[bytes]) -> np.ndarray:
-    """The (DEPTH + 1)-gram that ends at each byte of each text, as an integer."""
-    letters = np.frombuffer(b"".join([b"\0" * DEPTH + t for t in texts]), dtype=np.uint8)
-    keys = letters.astype(np.uint64)
-    for back in range(1, DEPTH + 1):
-        keys[back:] |= letters[:-back].astype(np.uint64) << np.uint64(8 * back)
-    own = np.ones(len(letters), dtype=bool)
-    at = np.cumsum([0, *[DEPTH + len(t) for t in texts]])[:-1]
-    for k in range(DEPTH):
-        own[at + k] = False
-    return keys[own].view(np.int64)
+def words_of(body: bytes) -> list[bytes]:
+    return [w for w in body.removesuffix(END).split(b" ") if w]
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """kind, gram, word, n: how often each gram and word stands in docs (text), and how many documents there are."""
+def pieces(scored: bytes, depth: int, most: int) -> Iterator[tuple[bytes, bytes]]:
+    """A text's (context before, body) in pieces of about most bytes, cut after spaces."""
+    at = 0
+    while at < len(scored):
+        cut = scored.find(b" ", at + most - 1) + 1 if len(scored) - at > most else 0
+        end = cut or len(scored)
+        yield (b"\0" * depth + scored[max(0, at - depth) : at])[-depth:] if depth else b"", scored[at:end]
+        at = end
+
+
+def packed(docs: DataFrame, depth: int, shard_bytes: int) -> DataFrame:
+    """shard, texts, sizes, rows, ids, learns: shards of docs (doc_id, text, learns), one row each."""
+
+    def run(batches):
+        import zstandard
+        from pyspark import TaskContext
+
+        part, zip_ = TaskContext.get().partitionId() << 36, zstandard.ZstdCompressor(level=3)
+        held, size, row, shard = [], 0, 0, 0
+
+        def flush():
+            nonlocal shard, size
+            texts, sizes, rows, ids, learns = zip(*held, strict=True)
+            out = pa.RecordBatch.from_arrays([
+                pa.array([part | shard], pa.int64()), pa.array([zip_.compress(b"".join(texts))], pa.binary()), pa.array([sizes], pa.list_(pa.int32())),
+                pa.array([rows], pa.list_(pa.int64())), pa.array([ids], pa.list_(pa.int64())), pa.array([learns], pa.list_(pa.bool_())),
+            ], ["shard", "texts", "sizes", "rows", "ids", "learns"])
+            held.clear()
+            shard, size = shard + 1, 0
+            return out
+
+        for batch in batches:
+            for doc_id, text, learns in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                for before, body in pieces(normal(text.as_py()), depth, shard_bytes):
+                    held.append((before + body, len(body), part | row, doc_id, learns))
+                    size += len(body) + depth
+                    if size >= shard_bytes:
+                        yield flush()
+                row += 1
+        if held:
+            yield flush()
+
+    return docs.mapInArrow(run, "shard long, texts binary, sizes array<int>, rows array<long>, ids array<long>, learns array<boolean>")
+
+
+def _bodies(texts: bytes, sizes: list[int], depth: int) -> Iterator[bytes]:
+    at = 0
+    for size in sizes:
+        yield texts[at + depth : at + depth + size]
+        at += depth + size
+
+
+def word_counts(packs: DataFrame, depth: int) -> DataFrame:
+    """word, n over the training texts; a null word counts the texts themselves."""
 
     def run(batches):
-        words: Counter[bytes] = Counter()
-        grams, numbers, held, documents = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), [], 0
-
-        def settle():
-            nonlocal grams, numbers
-            if held:
-                keys, n = np.unique(gram_keys(held), return_counts=True)
-                both = np.concatenate([grams, keys])
-                grams, at = np.unique(both, return_inverse=True)
-                numbers = np.bincount(at, np.concatenate([numbers, n]), len(grams)).astype(np.int64)
-                held.clear()
-
-        def batch_of(kind, gram, word, n):
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.int32()), gram, word, pa.array(n, pa.int64())], ["kind", "gram", "word", "n"])
-
-        def word_rows():
-            out = batch_of(WORD, pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.binary()), list(words.values()))
+        import zstandard
+
+        words, unzip = Counter(), zstandard.ZstdDecompressor()
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
             words.clear()
             return out
 
-        size = 0
         for batch in batches:
-            for text in batch.column(0):
-                own, scored = normal(text.as_py())
-                words.update(own)
-                held.append(scored)
-                documents, size = documents + 1, size + len(scored)
-                if size >= CHUNK_BYTES:
-                    settle()
-                    size = 0
-                    if len(grams) >= FLUSH:
-                        yield batch_of(GRAM, pa.array(grams), pa.nulls(len(grams), pa.binary()), numbers)
-                        grams, numbers = grams[:0], numbers[:0]
+            for texts, sizes, learns in zip(*(batch.column(k) for k in range(3)), strict=True):
+                for body, learn in zip(_bodies(unzip.decompress(texts.as_py()), sizes.as_py(), depth), learns.as_py(), strict=True):
+                    if learn:
+                        words.update(words_of(body))
+                        words[None] += body.endswith(END)
                     if len(words) >= FLUSH:
-                        yield word_rows()
-        settle()
-        if documents:
-            yield batch_of(GRAM, pa.array(grams), pa.nulls(len(grams), pa.binary()), numbers)
-            yield word_rows()
-            yield batch_of(DOCUMENT, pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), [documents])
+                        yield flush()
+        if words:
+            yield flush()
 
-    rows = docs.select(F.col("text").cast("string").cast("binary")).mapInArrow(run, "kind int, gram long, word binary, n long")
-    return rows.groupBy("kind", "gram", "word").agg(F.sum("n").alias("n"))
+    return packs.select("texts", "sizes", "learns").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _log_gamma(x: Column) -> Column:
-    """Stirling's series after seven steps up; right to about 1e-10 from x = 0.5 on."""
-    product = x
-    for k in range(1, 7):
-        product = product * (x + k)
-    z = x + 7
-    return (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - F.log(product)
+class Positions:
+    """A shard's bytes: pair, the two bytes before each, and key: the bytes before those, the nearest first, then the byte itself."""
 
+    def __init__(self, texts: bytes, sizes: np.ndarray, depth: int):
+        letters = np.frombuffer(b"\0" * max(0, SHORTEST - depth) + texts, dtype=np.uint8)[max(0, SHORTEST - depth) :]
+        self.starts = np.cumsum(np.append(0, sizes[:-1]))
+        own = np.ones(len(letters), dtype=bool)
+        at = np.cumsum(np.append(0, sizes[:-1] + depth))
+        for k in range(depth):
+            own[at + k] = False
+        back = lambda k: letters[depth - k : len(letters) - k]
+        own = own[depth:]
+        pair = ((back(1).astype(np.uint16) << 8) | back(2))[own]
+        key = back(0).astype(np.uint64)
+        for k in range(SHORTEST + 1, depth + 1):
+            key |= back(k).astype(np.uint64) << np.uint64(8 * (depth - k + 1))
+        key = key[own]
+        order = np.argsort(pair, kind="stable")
+        self.order, self.key, pair = order, key[order], pair[order]
+        cuts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        self.pairs = list(zip(pair[cuts].tolist(), cuts.tolist(), np.append(cuts[1:], len(pair)).tolist(), strict=True))
 
-def _estimate(zeros: Column, ones: Column) -> Column:
-    """Logarithm of the Krichevsky-Trofimov probability of so many zeros and ones."""
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - 2 * lgamma(0.5)
 
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The width low bytes of integers, a plane for each byte, compressed."""
+    import zstandard
 
-def nodes(grams: DataFrame) -> list[DataFrame]:
-    """For each depth: context, node (1 to 255), and p, the mixed probability of a one if no longer context is seen.
+    raw = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return zstandard.ZstdCompressor(level=1).compress(raw.tobytes())
+
+
+def _values(data: bytes, n: int) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    out = np.zeros((n, 8), dtype=np.uint8)
+    if n:
+        out[:, : len(raw) // n] = raw.reshape(-1, n).T
+    return out.reshape(-1).view("<u8")
+
+
+def _ascending(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_values(data, n), dtype=np.uint64)
 
-    grams: gram and n. Depths are weighted from the longest contexts up and mixed from the shortest down.
-    """
-    byte = F.col("gram").bitwiseAND(F.lit(255))
-    bits = F.array(*[F.struct((F.lit(1 << k) + F.shiftright(byte, 8 - k)).cast("int").alias("node"), F.shiftright(byte, 7 - k).bitwiseAND(F.lit(1)).alias("bit")) for k in range(8)])
-    each = grams.select(F.shiftright("gram", 8).alias("context"), "n", F.explode(bits).alias("b"))
-    zeros, ones = F.sum(F.when(F.col("b.bit") == 0, F.col("n")).otherwise(0)), F.sum(F.when(F.col("b.bit") == 1, F.col("n")).otherwise(0))
-    table = each.groupBy("context", F.col("b.node").alias("node")).agg(zeros.cast("double").alias("zeros"), ones.cast("double").alias("ones"))
-    table = table.withColumns({"weighed": _estimate(F.col("zeros"), F.col("ones")), "own": F.lit(1.0)})
-    up = [common.written(table, "ctw")]
-    for depth in range(DEPTH - 1, -1, -1):
-        context = F.col("context").bitwiseAND(F.lit((1 << 8 * depth) - 1))
-        table = up[0].groupBy(context.alias("context"), "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighed").alias("below"))
-        table = table.withColumn("estimate", _estimate(F.col("zeros"), F.col("ones"))).withColumn("more", F.col("below") - F.col("estimate"))
-        weighed = F.greatest("below", "estimate") + F.log1p(F.exp(-F.abs("more"))) - log(2)
-        up = [common.written(table.select("context", "node", "zeros", "ones", weighed.alias("weighed"), (1 / (1 + F.exp(F.least("more", F.lit(700.0))))).alias("own")), "ctw"), *up]
-    kt = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
-    out = [up[0].select("context", "node", "zeros", "ones", "own", kt.alias("kt"), F.lit(0.0).alias("before"), F.lit(1.0).alias("rest"))]
-    for depth in range(1, DEPTH + 1):
-        shorter = out[-1].select(
-            F.col("context").alias("short"), F.col("node").alias("same"),
-            (F.col("before") + F.col("rest") * F.col("own") * F.col("kt")).alias("before"), (F.col("rest") * (1 - F.col("own"))).alias("rest"),
-        )
-        longer = up[depth].withColumn("shorter", F.col("context").bitwiseAND(F.lit((1 << 8 * (depth - 1)) - 1)))
-        mixed = longer.join(shorter, (F.col("shorter") == F.col("short")) & (F.col("node") == F.col("same")))
-        out.append(common.written(mixed.select("context", "node", "zeros", "ones", "own", kt.alias("kt"), "before", "rest"), "ctw-mixed"))
-    common.drop(grams.sparkSession, *up[1:])
-    return [t.select("context", "node", "zeros", "ones", (F.col("before") + F.col("rest") * F.col("kt")).alias("p")) for t in out]
-
-
-def bytes_of(table: DataFrame, depth: int) -> DataFrame:
-    """depth, gram, logs: for each byte seen after a context, log10 of its eight decisions, then of their opposites."""
+
+def code_of(context: bytes) -> int:
+    """A leaf's name: its context, the nearest byte first, left in LONGEST bytes, and its length."""
+    return int.from_bytes(context.ljust(LONGEST, b"\0"), "big") << 8 | len(context)
+
+
+def context_of(code: int) -> bytes:
+    return (code >> 8).to_bytes(LONGEST, "big")[: code & 255]
+
+
+def cut(keys: np.ndarray, context: bytes, split: set[bytes], depth: int, low: int = 0, high: int | None = None) -> Iterator[tuple[bytes, int, int]]:
+    """The leaves (context, from, to) of a pair's ascending keys."""
+    high = len(keys) if high is None else high
+    if context not in split:
+        yield context, low, high
+        return
+    value = (keys[low:high] >> np.uint64(8 * (depth - len(context)))) & np.uint64(255)
+    at = np.append(np.flatnonzero(np.append(True, value[1:] != value[:-1])), len(value))
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield from cut(keys, context + bytes([int(value[a])]), split, depth, low + a, low + b)
+
+
+def grams(packs: DataFrame, depth: int) -> DataFrame:
+    """code, shard, n, keys, counts: each shard's different grams after each pair of bytes, and their counts in training texts."""
 
     def run(batches):
+        import zstandard
+
+        unzip = zstandard.ZstdDecompressor()
         for batch in batches:
-            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = batch.column(1).flatten()
-            node, zeros, ones, p = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("node", "zeros", "ones", "p"))
-            contexts = batch.column(0).to_numpy(zero_copy_only=False)
-            of = np.repeat(np.arange(len(sizes)), sizes)
-            places = of * 256 + node
-            order = np.argsort(places)
-            places, chance = places[order], p[order]
-            last = np.flatnonzero(node >= 128)
-            rows, letters = np.concatenate([of[last][zeros[last] > 0], of[last][ones[last] > 0]]), np.concatenate([2 * node[last][zeros[last] > 0], 2 * node[last][ones[last] > 0] + 1])
-            logs = np.empty((len(rows), 16), dtype=np.float32)
-            for k in range(8):
-                one = chance[np.searchsorted(places, rows * 256 + (letters >> (8 - k)))]
-                bit = (letters >> (7 - k)) & 1
-                logs[:, k] = np.log10(np.where(bit, one, 1 - one))
-                logs[:, 8 + k] = np.log10(np.where(bit, 1 - one, one))
-            grams = contexts[rows] * 256 + (letters & 255)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), depth, dtype=np.int32)), pa.array(grams), pa.array([x.tobytes() for x in logs], pa.binary())], ["depth", "gram", "logs"])
-
-    grouped = table.groupBy("context").agg(F.collect_list(F.struct("node", "zeros", "ones", "p")).alias("nodes"))
-    return grouped.mapInArrow(run, "depth int, gram long, logs binary")
-
-
-class Tables:
-    """A block of the model in memory: for each depth sorted grams and their logs, and a hash table of the longest."""
-
-    def __init__(self, grams: list[np.ndarray], logs: list[np.ndarray]):
-        order = [np.argsort(g) for g in grams]
-        self.grams = [np.ascontiguousarray(g[o]) for g, o in zip(grams, order, strict=True)]
-        self.logs = [np.ascontiguousarray(x[o]) for x, o in zip(logs, order, strict=True)]
-        keys = self.grams[DEPTH]
-        self.whole = self.logs[DEPTH][:, :8].sum(1, dtype=np.float64)
-        self.bits = max(4, int(len(keys) * 2.5).bit_length())
-        self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
-        waiting, at = np.arange(len(keys), dtype=np.int32), self._home(keys)
-        while len(waiting):
-            free = self.slots[at] < 0
-            self.slots[at[free]] = waiting[free]
-            lost = self.slots[at] != waiting
-            waiting, at = waiting[lost], (at[lost] + 1) & (len(self.slots) - 1)
-
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The row of each key of the longest grams, or -1."""
-        at = self._home(keys)
-        found = self.slots[at]
-        if not len(self.grams[DEPTH]):
-            return found
-        waiting = np.flatnonzero((found >= 0) & (self.grams[DEPTH][found] != keys))
-        while len(waiting):
-            at[waiting] = (at[waiting] + 1) & (len(self.slots) - 1)
-            found[waiting] = self.slots[at[waiting]]
-            waiting = waiting[(found[waiting] >= 0) & (self.grams[DEPTH][found[waiting]] != keys[waiting])]
-        return found
-
-    def score(self, keys: np.ndarray) -> np.ndarray:
-        """log10 of each gram's last byte after the bytes before it."""
-        row = self.find(keys)
-        out = np.empty(len(keys))
-        seen = row >= 0
-        out[seen] = self.whole[row[seen]]
-        out[~seen] = self.passed_on(keys[~seen])
-        return out
+            for shard, texts, sizes, learns in zip(*(batch.column(k) for k in range(4)), strict=True):
+                sizes = sizes.values.to_numpy()
+                own = Positions(unzip.decompress(texts.as_py()), sizes, depth)
+                learns = np.repeat(np.array(learns.as_py()), sizes)[own.order]
+                rows = []
+                for pair, a, b in own.pairs:
+                    both = np.sort(own.key[a:b] << np.uint64(1) | ~learns[a:b])
+                    key = both >> np.uint64(1)
+                    at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                    count = np.diff(np.append(at, len(both))) - np.add.reduceat(both & np.uint64(1), at).astype(np.int64)
+                    keys = key[at]
+                    rows.append((code_of(pair.to_bytes(2, "big")), len(at), _planes(np.diff(keys, prepend=np.uint64(0)), depth - 1), _planes(count, 8 if count.max() >> 32 else 4)))
+                code, n, keys, counts = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array([shard.as_py()] * len(code), pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["code", "shard", "n", "keys", "counts"])
+
+    return packs.select("shard", "texts", "sizes", "learns").mapInArrow(run, "code long, shard long, n long, keys binary, counts binary")
+
+
+def crowded(table: DataFrame, depth: int, leaf_grams: int) -> set[bytes]:
+    """The contexts whose grams are too many for a leaf: at most as many as all grams over leaf_grams, times LONGEST."""
+    split: set[bytes] = set()
+    found = table.groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") > leaf_grams)
+    for _ in range(SHORTEST, min(LONGEST, depth - 1)):
+        new = {context_of(r.code) for r in found.select("code").collect()}
+        if not new:
+            break
+        split |= new
+        pairs = {code_of(c[:SHORTEST]) for c in new}
+
+        def run(batches, split=frozenset(split), new=frozenset(new)):
+            for batch in batches:
+                for code, n, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    rows = [(code_of(c), b - a) for c, a, b in cut(_ascending(keys.as_py(), n), context_of(code), split, depth) if c[:-1] in new]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["code", "n"])
+
+        own = table.where(F.col("code").isin(*pairs)).select("code", "n", "keys").mapInArrow(run, "code long, n long")
+        found = own.groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") > leaf_grams)
+    return split
+
+
+def split_up(table: DataFrame, split: set[bytes], depth: int) -> DataFrame:
+    """table with a row for each leaf in place of those of split contexts."""
+    if not split:
+        return table
 
-    def passed_on(self, keys: np.ndarray) -> np.ndarray:
-        """As score, from the longest context to none: a context decides the bits for which it has seen what comes before."""
-        out, bit = np.zeros(len(keys)), np.zeros(len(keys), dtype=np.int64)
-        for depth in range(DEPTH, -1, -1):
-            known, logs = self.grams[depth], self.logs[depth]
-            if not len(known):
-                continue
-            own = keys & ((1 << 8 * (depth + 1)) - 1)
-            right = np.searchsorted(known, own)
-            best, of = np.full(len(keys), -1), np.zeros(len(keys), dtype=np.int64)
-            for at in (right - 1, np.minimum(right, len(known) - 1)):
-                at = np.maximum(at, 0)
-                differ = np.where(known[at] >> 8 == own >> 8, known[at] ^ own, -1)
-                common_bits = np.where(differ < 0, -1, 8 - np.frexp(differ.astype(np.float64))[1])
-                of, best = np.where(common_bits > best, at, of), np.maximum(best, common_bits)
-            for k in range(8):
-                agree = (k >= bit) & (k < best)
-                out[agree] += logs[of[agree], k]
-                leave = (k >= bit) & (k == best)
-                out[leave] += logs[of[leave], 8 + k]
-            bit = np.maximum(bit, np.minimum(best + 1, 8))
-        return out + (8 - bit) * np.log10(0.5)
-
-
-def _block_of(context: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(context.bitwiseAND(F.lit(0xFFFF))), F.lit(blocks))
-
-
-class Model:
-    """What training leaves: tables of the model by block, the vocabulary, and its totals."""
-
-    def __init__(self, docs: DataFrame, block_grams: int = BLOCK_GRAMS, frequent: int = FREQUENT):
-        """docs (text): the training documents."""
-        spark = docs.sparkSession
-        found = common.written(counts(docs), "lm-counts")
-        total = {r.kind: r for r in found.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()}
-        self.documents = total[DOCUMENT].n if DOCUMENT in total else 0
-        self.tokens = (total[WORD].n if WORD in total else 0) + self.documents
-        self.distinct = (total[WORD].distinct if WORD in total else 0) + (self.documents > 0)
-        self.words = found.where(F.col("kind") == WORD).select("word", "n")
-        self.frequent = {bytes(r.word): r.n for r in self.words.orderBy(F.desc("n"), "word").limit(frequent).collect()}
-        tables = [bytes_of(t, d) for d, t in enumerate(nodes(found.where(F.col("kind") == GRAM).select("gram", "n")))]
-        every = tables[0]
-        for t in tables[1:]:
-            every = every.unionByName(t)
-        self.grams = common.written(every, "lm-grams")
-        n = self.grams.count()
-        self.blocks = max(1, -(-n // block_grams))
-
-    def block(self, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Grams and logs of each depth whose two last context bytes belong to block k; those of the two least depths belong to all."""
-        own = (F.col("depth") < 2) | (_block_of(F.shiftright("gram", 8), self.blocks) == k)
-        table = self.grams.where(own).toArrow()
-        depth, grams = table["depth"].to_numpy(), table["gram"].to_numpy()
-        logs = np.frombuffer(b"".join(table["logs"].combine_chunks().to_pylist()) if len(table) else b"", dtype=np.float32).reshape(-1, 16)
-        return [grams[depth == d] for d in range(DEPTH + 1)], [logs[depth == d] for d in range(DEPTH + 1)]
-
-
-def block_numbers(blocks: int, spark) -> np.ndarray | None:
-    """The block of each pair of last context bytes, as _block_of has it."""
-    if blocks == 1:
-        return None
-    rows = spark.range(1 << 16).select("id", _block_of(F.col("id"), blocks).alias("block")).collect()
-    out = np.zeros(1 << 16, dtype=np.int32)
-    for r in rows:
-        out[r.id] = r.block
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                context = context_of(r["code"])
+                if context not in split:
+                    rows.append(r)
+                    continue
+                keys, counts = _ascending(r["keys"], r["n"]), _values(r["counts"], r["n"])
+                for c, a, b in cut(keys, context, split, depth):
+                    rows.append({"code": code_of(c), "shard": r["shard"], "n": b - a, "keys": _planes(np.diff(keys[a:b], prepend=np.uint64(0)), depth - 1), "counts": _planes(counts[a:b], 8)})
+            yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
+
+    return table.mapInArrow(run, table.schema)
+
+
+_TABLE = 1 << 14
+_HALF = np.cumsum(np.append(lgamma(0.5), np.log(np.arange(_TABLE - 1) + 0.5)))
+_WHOLE = np.cumsum(np.append(0.0, np.log(np.arange(_TABLE - 1) + 1.0)))
+
+
+def _log_gamma(n: np.ndarray, plus: float) -> np.ndarray:
+    """Logarithm of gamma(n + plus) for counts n; plus is 0.5 or 1."""
+    out = (_HALF if plus == 0.5 else _WHOLE)[np.minimum(n, _TABLE - 1)]
+    far = np.flatnonzero(n >= _TABLE)
+    if len(far):
+        z = n[far] + plus
+        out[far] = (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3)
     return out
 
 
-_loaded: dict[str, Tables] = {}
+def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Logarithm of the Krichevsky-Trofimov probability of so many zeros and ones."""
+    return _log_gamma(zeros, 0.5) + _log_gamma(ones, 0.5) - _log_gamma(zeros + ones, 1.0) - 2 * lgamma(0.5)
+
+
+class Tree:
+    """The contexts of length bytes and more of ascending grams (leaf, key) with counts n."""
+
+    def __init__(self, leaf: np.ndarray, key: np.ndarray, n: np.ndarray, length: int, depth: int):
+        """leaf numbers are below 2**16 and ascend; all leaves have contexts of length bytes."""
+        self.length, self.depth = length, depth
+        self.whole, self.own = [None] * (depth + 1), [None] * (depth + 1)
+        self.n, self.up = [None] * (depth + 1), [None] * (depth + 1)
+        self.leaf = leaf
+        # The longest contexts may fill all eight bytes: number them, so that the leaf fits beside the byte.
+        first = np.append(True, (key[1:] >> np.uint64(8) != key[:-1] >> np.uint64(8)) | (leaf[1:] != leaf[:-1])) if len(key) else np.zeros(0, dtype=bool)
+        self.whole[depth], self.n[depth] = (np.cumsum(first).astype(np.uint64) << np.uint64(8)) | (key & np.uint64(255)), n
+        context = key
+        now = leaf.astype(np.uint64) << np.uint64(48)
+        for d in range(depth - 1, length - 1, -1):
+            context = ((context >> np.uint64(16)) << np.uint64(8)) | (context & np.uint64(255))
+            self.whole[d], self.up[d + 1] = np.unique(now | context, return_inverse=True)
+            self.n[d] = np.bincount(self.up[d + 1], self.n[d + 1], len(self.whole[d])).astype(np.int64)
+            now, context = self.whole[d] >> np.uint64(48) << np.uint64(48), self.whole[d] & np.uint64((1 << 48) - 1)
+
+    def _runs(self, d: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For decision k at depth d: each gram's node, each node's first gram, its zeros and ones."""
+        x = self.whole[d] >> np.uint64(8 - k)
+        first = np.append(True, x[1:] != x[:-1]) if len(x) else np.zeros(0, dtype=bool)
+        at = np.flatnonzero(first)
+        ones = np.add.reduceat(self.n[d] * ((self.whole[d] >> np.uint64(7 - k)) & np.uint64(1)).astype(np.int64), at) if len(at) else at
+        return np.cumsum(first) - 1, at, (np.add.reduceat(self.n[d], at) if len(at) else at) - ones, ones
+
+    def upward(self, k: int) -> list[tuple]:
+        """For decision k, from the longest depth to length: nodes as _runs() has them, their weight and their own share of it."""
+        out, below = [None] * (self.depth + 1), None
+        for d in range(self.depth, self.length - 1, -1):
+            of, at, zeros, ones = self._runs(d, k)
+            weighed, share = estimate(zeros, ones), np.ones(len(at))
+            if d < self.depth:
+                more = np.bincount(of[self.up[d + 1][below[1]]], below[4], len(at)) - weighed
+                weighed, share = weighed + np.maximum(more, 0) + np.log1p(np.exp(-np.abs(more))) - log(2), 1 / (1 + np.exp(np.minimum(more, 700)))
+            below = out[d] = (of, at, zeros, ones, weighed, share)
+        return out
+
+    def leaf_nodes(self) -> Iterator[tuple]:
+        """For each decision the nodes of the leaves' own contexts: leaf, node, zeros, ones, weight."""
+        for k in range(8):
+            _, at, zeros, ones, weighed, _ = self.upward(k)[self.length]
+            first = self.whole[self.length][at]
+            node = ((first & np.uint64(255)) | np.uint64(256)) >> np.uint64(8 - k)
+            yield self._leaf_of(at), node.astype(np.int64), zeros, ones, weighed
+
+    def _leaf_of(self, at: np.ndarray) -> np.ndarray:
+        return (self.whole[self.length][at] >> np.uint64(48)).astype(np.int64) if self.length < self.depth else self.leaf[at].astype(np.int64)
+
+    def logs(self, shallow) -> np.ndarray:
+        """log10 of each gram's byte; shallow(leaf, node) gives what shorter contexts add, and what they leave, of the mixture."""
+        out = np.zeros(len(self.n[self.depth]))
+        for k in range(8):
+            levels = self.upward(k)
+            of, at, zeros, ones, _, share = levels[self.length]
+            node = (((self.whole[self.length][at] & np.uint64(255)) | np.uint64(256)) >> np.uint64(8 - k)).astype(np.int64)
+            before, rest = shallow(self._leaf_of(at), node)
+            kt = (ones + 0.5) / (zeros + ones + 1)
+            for d in range(self.length + 1, self.depth + 1):
+                parent = of[self.up[d][levels[d][1]]]
+                of, at, zeros, ones, _, own = levels[d]
+                unseen = zeros + ones == 0
+                add = rest[parent] * kt[parent]
+                before, rest = before[parent] + np.where(unseen, add, add * share[parent]), np.where(unseen, 0, rest[parent] * (1 - share[parent]))
+                kt, share = (ones + 0.5) / (zeros + ones + 1), own
+            one = before + rest * kt
+            bit = ((self.whole[self.depth] >> np.uint64(7 - k)) & np.uint64(1)) == 1
+            out += np.log10(np.where(bit, one[of], 1 - one[of]))
+        return out
 
 
-def _scored(sent, name: str, frequent, block: int, numbers):
+def leaves(table: DataFrame, depth: int) -> DataFrame:
+    """One row a leaf: code, its different grams (n, keys, counts), the shards that have some of them (shards, sizes, members), and the nodes of its own context."""
+    schema = "code long, n long, keys binary, counts binary, shards array<long>, sizes array<long>, members array<binary>, nodes array<struct<node: int, zeros: long, ones: long, weighed: double>>"
+    node_type = pa.list_(pa.struct([("node", pa.int32()), ("zeros", pa.int64()), ("ones", pa.int64()), ("weighed", pa.float64())]))
+
+    def merged(rows: list[tuple]) -> tuple:
+        keys = np.concatenate([_ascending(k, n) for _, n, k, _ in rows])
+        counts = np.concatenate([_values(c, n) for _, n, _, c in rows])
+        union, place = np.unique(keys, return_inverse=True)
+        at = np.cumsum([0, *[n for _, n, _, _ in rows]])
+        members = [_planes(np.diff(place[a:b], prepend=0), 4) for a, b in zip(at[:-1], at[1:], strict=True)]
+        return union, np.bincount(place, counts, len(union)).astype(np.int64), [r[0] for r in rows], [r[1] for r in rows], members
+
+    def emit(held: list[tuple]) -> pa.RecordBatch:
+        leaf = np.repeat(np.arange(len(held)), [len(h[1]) for h in held])
+        tree = Tree(leaf, np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), held[0][0] & 255, depth)
+        own = [np.concatenate(x) for x in zip(*tree.leaf_nodes(), strict=True)]
+        order = np.argsort(own[0], kind="stable")
+        own = [x[order] for x in own]
+        ends = np.searchsorted(own[0], np.arange(len(held) + 1))
+        nodes = pa.StructArray.from_arrays([pa.array(own[1].astype(np.int32)), pa.array(own[2]), pa.array(own[3]), pa.array(own[4])], fields=list(node_type.value_type))
+        columns = [
+            pa.array([h[0] for h in held], pa.int64()), pa.array([len(h[1]) for h in held], pa.int64()),
+            pa.array([_planes(np.diff(h[1], prepend=np.uint64(0)), depth - 1) for h in held], pa.binary()), pa.array([_planes(h[2], 8) for h in held], pa.binary()),
+            pa.array([h[3] for h in held], pa.list_(pa.int64())), pa.array([h[4] for h in held], pa.list_(pa.int64())), pa.array([h[5] for h in held], pa.list_(pa.binary())),
+            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), nodes),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["code", "n", "keys", "counts", "shards", "sizes", "members", "nodes"])
+
     def run(batches):
-        from pyspark import TaskContext
+        code, rows, held = None, [], []
+        for batch in batches:
+            for now, *row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if now != code and rows:
+                    held.append((code, *merged(rows)))
+                    rows = []
+                    if sum(len(h[1]) for h in held) >= BATCH_GRAMS or (now ^ code) & 255:
+                        yield emit(held)
+                        held = []
+                code = now
+                rows.append(tuple(row))
+        if rows:
+            held.append((code, *merged(rows)))
+        if held:
+            yield emit(held)
 
-        if name not in _loaded:  # kept for the tasks to come in this worker
-            _loaded.clear()
-            _loaded[name] = Tables(*sent.value)
-        tables, part, row = _loaded[name], TaskContext.get().partitionId() << 40, 0
-        known, logs = frequent.value
-        held: list[tuple] = []
+    dealt = table.repartition("code").sortWithinPartitions(F.col("code").bitwiseAND(F.lit(255)), "code", "shard")
+    return dealt.select("code", "shard", "n", "keys", "counts").mapInArrow(run, schema)
+
+
+def _log_gamma_of(x: Column) -> Column:
+    """Stirling's series after seven steps up; right to about 1e-10 from x = 0.5 on."""
+    product = x
+    for k in range(1, 7):
+        product = product * (x + k)
+    z = x + 7
+    return (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - F.log(product)
+
+
+def shallow(table: DataFrame, longest: int) -> DataFrame:
+    """code, mixed (node, before, rest): for each node of a leaf's own context, what shorter contexts add to its mixture and leave of it.
+
+    Sums over (context, node), from the leaves of longest bytes down to no context, and back.
+    """
+    spark, low = table.sparkSession, lambda d: F.lit((1 << 8 * d) - 1)
+    length = F.col("code").bitwiseAND(F.lit(255))
+    nearest = F.lit(0).cast("long")
+    for k in range(LONGEST):  # the nearest byte least significant
+        nearest = nearest.bitwiseOR(F.shiftleft(F.shiftright("code", 8 * (LONGEST - k)).bitwiseAND(F.lit(255)), 8 * k))
+    own = table.select("code", length.alias("length"), nearest.alias("context"), F.explode("nodes").alias("v")).select("code", "length", "context", "v.*")
+    own = common.written(own, "ctw-leaf-nodes")
+    leaf = own.select("length", "context", "node", "zeros", "ones", "weighed")
+    inner = {}
+    for d in range(longest - 1, -1, -1):
+        below = leaf.where(F.col("length") == d + 1).drop("length")
+        if d + 1 in inner:
+            below = below.unionByName(inner[d + 1].select("context", "node", "zeros", "ones", "weighed"))
+        summed = below.groupBy(F.col("context").bitwiseAND(low(d)).alias("context"), "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighed").alias("below"))
+        zeros, ones = F.col("zeros").cast("double"), F.col("ones").cast("double")
+        kt = _log_gamma_of(zeros + 0.5) + _log_gamma_of(ones + 0.5) - _log_gamma_of(zeros + ones + 1.0) - 2 * lgamma(0.5)
+        summed = summed.withColumn("estimate", kt).withColumn("more", F.col("below") - F.col("estimate"))
+        weighed = F.greatest("below", "estimate") + F.log1p(F.exp(-F.abs("more"))) - log(2)
+        share = 1 / (1 + F.exp(F.least("more", F.lit(700.0))))
+        inner[d] = common.written(summed.select("context", "node", "zeros", "ones", weighed.alias("weighed"), share.alias("share")), "ctw-inner")
+    chance = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
+    mixed = inner[0].select("context", "node", "share", chance.alias("kt"), F.lit(0.0).alias("before"), F.lit(1.0).alias("rest"))
+    out = None
+    for d in range(1, longest + 1):
+        parent = mixed.select(F.col("context").alias("of"), F.col("node").alias("at"), F.col("share").alias("own"), F.col("kt").alias("p"), F.col("before").alias("b"), F.col("rest").alias("r"))
+        unseen = F.col("zeros") + F.col("ones") == 0
+        before = F.col("b") + F.when(unseen, F.col("r") * F.col("p")).otherwise(F.col("r") * F.col("own") * F.col("p"))
+        rest = F.when(unseen, F.lit(0.0)).otherwise(F.col("r") * (1 - F.col("own")))
+
+        def under(rows: DataFrame, parent=parent, d=d) -> DataFrame:
+            return rows.join(parent, (F.col("context").bitwiseAND(low(d - 1)) == F.col("of")) & (F.col("node") == F.col("at")))
+
+        done = under(own.where(F.col("length") == d)).select("code", "node", before.alias("before"), rest.alias("rest"))
+        out = done if out is None else out.unionByName(done)
+        if d < longest:
+            mixed = common.written(under(inner[d]).select("context", "node", "share", chance.alias("kt"), before.alias("before"), rest.alias("rest")), "ctw-mixed")
+    out = out.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("node", "before", "rest"))).alias("mixed"))
+    return common.written(out, "ctw-shallow")
+
+
+def answers(table: DataFrame, mixed: DataFrame, depth: int) -> DataFrame:
+    """shard, code, n, logs: the logarithms of each shard's grams in each leaf, in the grams' order."""
+
+    def run(batches):
+        held, size = [], 0
 
         def flush():
-            texts = [h[1] for h in held]
-            keys = gram_keys(texts)
-            if numbers is None:
-                values = tables.score(keys)
-            else:
-                values, own = np.zeros(len(keys)), numbers[(keys >> 8) & 0xFFFF] == block
-                values[own] = tables.score(keys[own])
-            ends = np.cumsum([0, *map(len, texts)])[:-1]
-            out = {"row": [h[2] for h in held], "doc_id": [h[0] for h in held], "score": np.add.reduceat(values, ends), **{k: [h[3][k] for h in held] for k in held[0][3]}}
+            keys = [_ascending(h["keys"], h["n"]) for h in held]
+            counts = [_values(h["counts"], h["n"]).astype(np.int64) for h in held]
+            leaf = np.repeat(np.arange(len(held)), [h["n"] for h in held])
+            flat = [np.concatenate([np.array([x[name] for x in h["mixed"]]) for h in held]) for name in ("node", "before", "rest")]
+            at = np.repeat(np.arange(len(held)), [len(h["mixed"]) for h in held]) * 256 + flat[0]
+
+            def shorter(of: np.ndarray, node: np.ndarray):
+                row = np.searchsorted(at, of * 256 + node)
+                return flat[1][row], flat[2][row]
+
+            logs = Tree(leaf, np.concatenate(keys), np.concatenate(counts), held[0]["code"] & 255, depth).logs(shorter)
+            steps = np.minimum(np.rint(-logs * STEPS), (1 << 24) - 1).astype(np.uint64)
+            start, rows = 0, []
+            for h in held:
+                for shard, n, members in zip(h["shards"], h["sizes"], h["members"], strict=True):
+                    rows.append((shard, h["code"], n, _planes(steps[start + np.cumsum(_values(members, n)).astype(np.int64)], 3)))
+                start += h["n"]
             held.clear()
-            return pa.RecordBatch.from_arrays([
-                pa.array(out["row"], pa.int64()), pa.array(out["doc_id"], pa.int64()), pa.array(out["score"]), pa.array(out["n_words"], pa.int64()), pa.array(out["frequent"], pa.int64()),
-                pa.array(out["base"], pa.float64()), pa.array(out["rare"], pa.list_(pa.binary())),
-            ], ["row", "doc_id", "score", "n_words", "frequent", "base", "rare"])
+            shard, code, n, out = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(code, pa.int64()), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["shard", "code", "n", "logs"])
 
-        size = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words, scored = normal(text.as_py())
-                found = [] if block else [x for x in map(logs.get, words) if x is not None]
-                rare = [] if block or len(found) == len(words) else [w for w in words if w not in known]
-                held.append((doc_id, scored, part + row, {"n_words": len(words), "frequent": len(found), "base": sum(found), "rare": rare}))
-                row, size = row + 1, size + len(scored)
-                if size >= CHUNK_BYTES:
+            for k in range(len(batch)):
+                row = batch.slice(k, 1).to_pylist()[0]
+                if held and (size >= BATCH_GRAMS or (held[0]["code"] ^ row["code"]) & 255 or len(held) >= 1 << 15):
                     yield flush()
                     size = 0
+                held.append(row)
+                size += row["n"]
         if held:
             yield flush()
 
-    return run
+    both = table.select("code", "n", "keys", "counts", "shards", "sizes", "members").join(mixed, "code")
+    return both.mapInArrow(run, "shard long, code long, n long, logs binary")
+
+
+def summed(packs: DataFrame, logs: DataFrame, frequent, depth: int) -> DataFrame:
+    """row, doc_id, score, n_words, frequent, base, rare of each piece of a text, from its shard's grams and their logarithms."""
+    schema = "row long, doc_id long, score double, n_words long, frequent long, base double, rare array<binary>"
+
+    def scored(pack: dict, values: list[np.ndarray]) -> pa.RecordBatch:
+        import zstandard
+
+        texts, sizes = zstandard.ZstdDecompressor().decompress(pack["blob"]), np.array(pack["sizes"])
+        own, logs, off = Positions(texts, sizes, depth), np.concatenate(values), 0
+        out = np.empty(len(own.key))
+        for _, a, b in own.pairs:
+            order = np.argsort(own.key[a:b])
+            key = own.key[a:b][order]
+            place = np.cumsum(np.append(False, key[1:] != key[:-1]))
+            out[own.order[a:b][order]] = logs[off + place]
+            off += int(place[-1]) + 1
+        score = np.add.reduceat(out, own.starts)
+        known, table = frequent.value
+        rows = []
+        for body in _bodies(texts, pack["sizes"], depth):
+            words = words_of(body)
+            found = [x for x in map(table.get, words) if x is not None]
+            rows.append((len(words), len(found), float(sum(found)), [w for w in words if w not in known] if len(found) < len(words) else []))
+        n_words, n_frequent, base, rare = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([
+            pa.array(pack["rows"], pa.int64()), pa.array(pack["ids"], pa.int64()), pa.array(score), pa.array(n_words, pa.int64()), pa.array(n_frequent, pa.int64()),
+            pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.binary())),
+        ], ["row", "doc_id", "score", "n_words", "frequent", "base", "rare"])
 
-
-def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text).
+    def run(batches):
+        pack, values = None, []
+        for batch in batches:
+            code, n = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for k in range(len(batch)):
+                if code[k] < 0:
+                    if pack is not None:
+                        yield scored(pack, values)
+                    pack, values = batch.slice(k, 1).to_pylist()[0], []
+                else:
+                    values.append(_values(batch.column(3)[k].as_py(), n[k]).astype(np.float32) / -STEPS)
+        if pack is not None:
+            yield scored(pack, values)
+
+    own = packs.select("shard", F.lit(-1).cast("long").alias("code"), F.lit(0).cast("long").alias("n"), F.col("texts").alias("blob"), "sizes", "rows", "ids")
+    none = {name: F.lit(None).cast(kind).alias(name) for name, kind in (("sizes", "array<int>"), ("rows", "array<long>"), ("ids", "array<long>"))}
+    told = logs.select("shard", "code", "n", F.col("logs").alias("blob"), *none.values())
+    dealt = own.unionByName(told).repartition("shard").sortWithinPartitions("shard", "code")
+    return dealt.mapInArrow(run, schema)
+
+
+def scores(docs: DataFrame, learns: Column, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES, leaf_grams: int = LEAF_GRAMS, most_frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text); it learns from those where learns is true.
 
     A null text is empty: its one token is the end. Repeated rows have equal results, a null doc_id
-    stays null, other columns are ignored, and an empty table gives no rows. Without training texts
-    no token is known and each byte has probability 1/256.
+    stays null, a null learns counts as false, other columns are ignored, and an empty table gives no rows.
+    Very long texts are scored in pieces that know the bytes before them. Without training texts no token is
+    known and each byte has probability 1/256. Contexts have SHORTEST to 8 bytes.
     """
+    if not SHORTEST < depth <= 8:
+        raise ValueError("a gram's key has at most eight bytes: depth is 3 to 8")
     spark = docs.sparkSession
-    context = spark.sparkContext
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    frequent = context.broadcast((set(model.frequent), {w: float(np.log10(n + 0.5)) for w, n in model.frequent.items()}))
-    numbers, parts = block_numbers(model.blocks, spark), None
-    if model.blocks > 1:
-        source = common.written(source, "lm-texts")  # read in the same order by each pass
-    for k in range(model.blocks):
-        sent = context.broadcast(model.block(k))
-        own = source.mapInArrow(_scored(sent, uuid.uuid4().hex, frequent, k, numbers), "row long, doc_id long, score double, n_words long, frequent long, base double, rare array<binary>")
-        own = common.written(own, "lm-scored")
-        parts = own if parts is None else parts.unionByName(own)
-    if model.blocks > 1:  # the same row has the same number in each pass over the same files
-        parts = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("score").alias("score"), F.max("n_words").alias("n_words"), F.max("frequent").alias("frequent"), F.min("base").alias("base_low"), F.max("base").alias("base_high"), F.max("rare").alias("rare"))
-        parts = common.written(parts.withColumn("base", F.when(F.abs("base_low") > F.abs("base_high"), F.col("base_low")).otherwise(F.col("base_high"))).drop("base_low", "base_high"), "lm-scored")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), F.coalesce(learns, F.lit(False)).alias("learns"))
+    packs = common.written(packed(source, depth, shard_bytes), "ctw-texts")
+    words = common.written(word_counts(packs, depth), "ctw-words")
+    total = words.agg(F.sum("n").alias("n"), F.count("word").alias("distinct"), F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("documents")).first()
+    documents, tokens, distinct = total.documents or 0, total.n or 0, total.distinct + bool(total.documents)
+    common_words = words.where(F.col("word").isNotNull() & (F.length("word") <= FREQUENT_BYTES)).orderBy(F.desc("n"), "word").limit(most_frequent)
+    table = {bytes(r.word): float(np.log10(r.n + 0.5)) for r in common_words.collect()}
+    frequent = spark.sparkContext.broadcast((set(table), table))
+
+    raw = common.written(grams(packs, depth), "ctw-grams")
+    split = crowded(raw, depth, leaf_grams)
+    tree = common.written(leaves(split_up(raw, split, depth), depth), "ctw-leaves")
+    common.drop(spark, raw)
+    mixed = shallow(tree, max(map(len, split), default=SHORTEST - 1) + 1)
+    parts = common.written(summed(packs, answers(tree, mixed, depth), frequent, depth), "ctw-scored")
+    common.drop(spark, packs, tree)
+
     rare = parts.select("row", F.explode("rare").alias("word"))
-    found = rare.join(model.words.withColumnRenamed("n", "c"), "word").groupBy("row").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("c") + 0.5)).alias("logs"))
-    out = parts.select("row", "doc_id", "score", "n_words", "frequent", "base").join(found, "row", "left")
+    found = rare.join(words.where("word IS NOT NULL").withColumnRenamed("n", "c"), "word").groupBy("row").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("c") + 0.5)).alias("logs"))
+    sums = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("score", "n_words", "frequent", "base")])
+    out = sums.join(found, "row", "left")
     known = F.col("frequent") + F.coalesce("known", F.lit(0))
-    scale = float(np.log10(model.tokens + 0.5 * (model.distinct + 1)))
-    end = float(np.log10(model.documents + 0.5))
+    scale, end = float(np.log10(tokens + 0.5 * (distinct + 1))), float(np.log10(documents + 0.5))
     base = F.col("base") + F.coalesce("logs", F.lit(0.0)) + (F.col("n_words") - known) * float(np.log10(0.5)) + end - (F.col("n_words") + 1) * scale
-    return out.select("doc_id", (F.col("n_words") + 1).alias("n_tokens"), (known + int(model.documents > 0)).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select("doc_id", (F.col("n_words") + 1).alias("n_tokens"), (known + int(documents > 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -32,7 +32,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(quality.remainder(F.col("doc_id"), 5) == 1, F.lit(False))
-    return context_tree.scores(docs, context_tree.Model(docs.where(~held_out))).withColumn("held_out", held_out)
+    return context_tree.scores(docs, ~held_out).withColumn("held_out", held_out)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

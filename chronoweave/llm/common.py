@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,23 @@ def drop(spark: SparkSession, *tables: DataFrame | str) -> None:
             _made.remove(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows, for tables whose rows are large; the session's own setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def release(spark: SparkSession) -> None:
+    """Has Spark remove the shuffle files of plans that are gone (the last job's excepted): it looks for those when the driver collects garbage."""
+    spark._jvm.System.gc()
+
+
 def scratch_made() -> list[str]:
     """Paths of the tables that are still there, oldest first."""
     return list(_made)

@@ -7,8 +7,8 @@ training corpus: half its own estimate, half the product of what its children we
 DEPTH zero bytes. A context not seen in training passes a decision on to the longest one seen.
 
 Texts are packed into shards. A shard hands its different (DEPTH + 1)-grams, with their counts in training
-texts, to the leaves of a trie of contexts, two bytes at first and longer where a leaf would hold more than
-LEAF_GRAMS. All longer contexts of a leaf's grams are inside the leaf, so a task weighs that part of the tree
+texts, to the leaves of a trie of contexts, two bytes at first and longer where more than LEAF_BYTES
+of text follow one. All longer contexts of a leaf's grams are inside the leaf, so a task weighs that part of the tree
 by itself; the few shorter ones are weighed and mixed by sums over (context, node). Each leaf then answers
 every shard with the logarithms of its grams, and the shard adds them up by text. The model never passes
 through the driver, and each text is read twice whatever the corpus.
@@ -16,31 +16,46 @@ through the driver, and each text is read twice whatever the corpus.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from math import lgamma, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm import common
 
-DEPTH = 8
+DEPTH = 7
+#: Bytes that stand before each piece of a text in its shard.
+BEFORE = 8
 #: Bytes of context that a leaf has at least, and at most.
 SHORTEST, LONGEST = 2, 6
-#: Grams of a leaf, added up over shards, beyond which it is split by one more byte of context.
-LEAF_GRAMS = 1 << 22
+#: Bytes of text after a leaf's context beyond which it is split by one more byte.
+LEAF_BYTES = 1 << 23
 #: Bytes of text in a shard, and grams that are weighed at a time.
-SHARD_BYTES, BATCH_GRAMS = 12 << 20, 1 << 19
+SHARD_BYTES, BATCH_GRAMS = 8 << 20, 1 << 19
+#: Rows of an Arrow batch: shards, leaves and what they tell each other are large.
+BATCH_ROWS = 256
 #: Words whose counts are broadcast, and the length of the longest of them: a bound of 8 MB.
 FREQUENT, FREQUENT_BYTES = 1 << 16, 64
 #: Distinct words that a task adds up before it hands them on.
 FLUSH = 1 << 19
 END = b"\xff"
-#: Logarithms are handed back as 24-bit numbers of steps of 1 / STEPS: no byte is less likely than 10 ** -128.
-STEPS = 1 << 17
+#: Logarithms are handed back as 24-bit numbers of steps of 1 / STEPS: no byte is less likely than 10 ** -1024.
+STEPS = 1 << 14
+
+
+def _tidy() -> None:
+    """Gives memory that a shard's arrays leave behind back to the system: workers live on, and others run beside them."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def normal(text: bytes | None) -> bytes:
@@ -48,21 +63,17 @@ def normal(text: bytes | None) -> bytes:
     return b" ".join((text or b"").lower().split()) + END
 
 
-def words_of(body: bytes) -> list[bytes]:
-    return [w for w in body.removesuffix(END).split(b" ") if w]
-
-
-def pieces(scored: bytes, depth: int, most: int) -> Iterator[tuple[bytes, bytes]]:
-    """A text's (context before, body) in pieces of about most bytes, cut after spaces."""
+def pieces(scored: bytes, most: int) -> Iterator[tuple[bytes, bytes]]:
+    """A text's (BEFORE bytes before, body) in pieces of about most bytes, cut after spaces."""
     at = 0
     while at < len(scored):
         cut = scored.find(b" ", at + most - 1) + 1 if len(scored) - at > most else 0
         end = cut or len(scored)
-        yield (b"\0" * depth + scored[max(0, at - depth) : at])[-depth:] if depth else b"", scored[at:end]
+        yield scored[max(0, at - BEFORE) : at].rjust(BEFORE, b"\0"), scored[at:end]
         at = end
 
 
-def packed(docs: DataFrame, depth: int, shard_bytes: int) -> DataFrame:
+def packed(docs: DataFrame, shard_bytes: int) -> DataFrame:
     """shard, texts, sizes, rows, ids, learns: shards of docs (doc_id, text, learns), one row each."""
 
     def run(batches):
@@ -81,13 +92,14 @@ def packed(docs: DataFrame, depth: int, shard_bytes: int) -> DataFrame:
             ], ["shard", "texts", "sizes", "rows", "ids", "learns"])
             held.clear()
             shard, size = shard + 1, 0
+            _tidy()
             return out
 
         for batch in batches:
             for doc_id, text, learns in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                for before, body in pieces(normal(text.as_py()), depth, shard_bytes):
+                for before, body in pieces(normal(text.as_py()), shard_bytes):
                     held.append((before + body, len(body), part | row, doc_id, learns))
-                    size += len(body) + depth
+                    size += len(body) + BEFORE
                     if size >= shard_bytes:
                         yield flush()
                 row += 1
@@ -97,61 +109,113 @@ def packed(docs: DataFrame, depth: int, shard_bytes: int) -> DataFrame:
     return docs.mapInArrow(run, "shard long, texts binary, sizes array<int>, rows array<long>, ids array<long>, learns array<boolean>")
 
 
-def _bodies(texts: bytes, sizes: list[int], depth: int) -> Iterator[bytes]:
-    at = 0
-    for size in sizes:
-        yield texts[at + depth : at + depth + size]
-        at += depth + size
+def split_words(texts: bytes, sizes: list[int], wanted: list[bool] | None = None) -> tuple[pa.Array, np.ndarray]:
+    """The words of a shard's bodies, and how many each of them has; those not wanted have none."""
+    bodies, at = [], 0
+    for k, size in enumerate(sizes):
+        bodies.append(texts[at + BEFORE : at + BEFORE + size].removesuffix(END) if wanted is None or wanted[k] else b"")
+        at += BEFORE + size
+    parts = pc.split_pattern(pa.array(bodies, pa.binary()), b" ")
+    flat = parts.flatten()
+    some = pc.greater(pc.binary_length(flat), 0)  # nothing stands after a piece's last space, nor in an empty text
+    before = np.append(0, np.cumsum(some.to_numpy(zero_copy_only=False)))
+    return flat.filter(some), np.diff(before[parts.offsets.to_numpy()])
 
 
-def word_counts(packs: DataFrame, depth: int) -> DataFrame:
+def word_counts(packs: DataFrame) -> DataFrame:
     """word, n over the training texts; a null word counts the texts themselves."""
 
     def run(batches):
         import zstandard
 
-        words, unzip = Counter(), zstandard.ZstdDecompressor()
+        unzip, held, size = zstandard.ZstdDecompressor(), [], 0
 
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
-            words.clear()
-            return out
+        def added() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
 
         for batch in batches:
             for texts, sizes, learns in zip(*(batch.column(k) for k in range(3)), strict=True):
-                for body, learn in zip(_bodies(unzip.decompress(texts.as_py()), sizes.as_py(), depth), learns.as_py(), strict=True):
-                    if learn:
-                        words.update(words_of(body))
-                        words[None] += body.endswith(END)
-                    if len(words) >= FLUSH:
-                        yield flush()
-        if words:
-            yield flush()
+                texts, sizes, learns = unzip.decompress(texts.as_py()), sizes.as_py(), learns.as_py()
+                counted = pc.value_counts(split_words(texts, sizes, learns)[0])
+                ends = np.cumsum(np.array(sizes) + BEFORE) - 1
+                documents = sum(texts[e] == END[0] and learn for e, learn in zip(ends.tolist(), learns, strict=True))
+                held.append(pa.table({"word": counted.field("values"), "n": counted.field("counts")}))
+                held.append(pa.table({"word": pa.nulls(1, pa.binary()), "n": pa.array([documents], pa.int64())}))
+                size += len(counted)
+                if size >= FLUSH:
+                    held, size = [added()], 0
+                    _tidy()
+                    if len(held[0]) >= FLUSH:
+                        yield from held.pop().to_batches()
+        if held:
+            yield from added().to_batches()
+            held.clear()
+            _tidy()
 
     return packs.select("texts", "sizes", "learns").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(words: DataFrame, most: int) -> DataFrame:
+    """The commonest words, at most most of them: those whose count lies in classes of counts that hold no more together."""
+    own = words.where(F.col("word").isNotNull() & (F.length("word") <= FREQUENT_BYTES)).withColumn("class", F.floor(8 * F.log2("n")).cast("int"))
+    least, held = None, 0
+    for r in sorted(own.groupBy("class").count().collect(), reverse=True):  # at most 8 * 64 classes
+        held += r["count"]
+        if held > most:
+            break
+        least = r["class"]
+    return own.where(F.col("class") >= least if least is not None else F.lit(False)).drop("class")
+
+
+def _inside(texts: bytes, sizes: np.ndarray) -> np.ndarray:
+    """Which bytes of a shard, from the ninth on, belong to bodies."""
+    own = np.ones(len(texts), dtype=bool)
+    at = np.cumsum(np.append(0, sizes[:-1] + BEFORE))
+    for k in range(BEFORE):
+        own[at + k] = False
+    return own[BEFORE:]
+
+
+def _before(texts: bytes, bytes_: int) -> np.ndarray:
+    """The bytes_ bytes before each byte of a shard from the ninth on, the nearest most significant: a view that reads them at once."""
+    return np.ndarray(len(texts) - BEFORE, dtype=f"<u{bytes_}", buffer=texts, offset=BEFORE - bytes_, strides=(1,))
+
+
 class Positions:
-    """A shard's bytes: pair, the two bytes before each, and key: the bytes before those, the nearest first, then the byte itself."""
+    """A shard's bytes by the two bytes before each: pairs (pair, from, to) of order, the bytes' places counted from the ninth of the shard."""
+
+    CHUNK = 1 << 21
 
     def __init__(self, texts: bytes, sizes: np.ndarray, depth: int):
-        letters = np.frombuffer(b"\0" * max(0, SHORTEST - depth) + texts, dtype=np.uint8)[max(0, SHORTEST - depth) :]
-        self.starts = np.cumsum(np.append(0, sizes[:-1]))
-        own = np.ones(len(letters), dtype=bool)
-        at = np.cumsum(np.append(0, sizes[:-1] + depth))
-        for k in range(depth):
-            own[at + k] = False
-        back = lambda k: letters[depth - k : len(letters) - k]
-        own = own[depth:]
-        pair = ((back(1).astype(np.uint16) << 8) | back(2))[own]
-        key = back(0).astype(np.uint64)
-        for k in range(SHORTEST + 1, depth + 1):
-            key |= back(k).astype(np.uint64) << np.uint64(8 * (depth - k + 1))
-        key = key[own]
-        order = np.argsort(pair, kind="stable")
-        self.order, self.key, pair = order, key[order], pair[order]
-        cuts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-        self.pairs = list(zip(pair[cuts].tolist(), cuts.tolist(), np.append(cuts[1:], len(pair)).tolist(), strict=True))
+        self.texts, self.depth, own, pair = texts, depth, _inside(texts, sizes), _before(texts, 2)
+        counted = np.zeros(1 << 16, dtype=np.int64)
+        chunks = range(0, len(own), self.CHUNK)
+        for c in chunks:
+            counted += np.bincount(pair[c : c + self.CHUNK][own[c : c + self.CHUNK]], minlength=1 << 16)
+        ends = np.cumsum(counted)
+        free, self.order = (ends - counted).tolist(), np.empty(int(ends[-1]), dtype=np.uint32)
+        found = np.flatnonzero(counted)
+        self.pairs = list(zip(found.tolist(), (ends - counted)[found].tolist(), ends[found].tolist(), strict=True))
+        for c in chunks:
+            at = np.flatnonzero(own[c : c + self.CHUNK])
+            near = pair[c : c + self.CHUNK][at]
+            order = np.argsort(near, kind="stable")
+            near, at = near[order], (at[order] + c).astype(np.uint32)
+            cuts = np.flatnonzero(np.append(True, near[1:] != near[:-1])) if len(near) else near
+            for p, a, b in zip(near[cuts].tolist(), cuts.tolist(), np.append(cuts[1:], len(near)).tolist(), strict=True):
+                self.order[free[p] : free[p] + b - a] = at[a:b]
+                free[p] += b - a
+        self._eight, self._letters = _before(texts, 8), np.frombuffer(texts, dtype=np.uint8)[BEFORE:]
+
+    def keys(self, a: int, b: int) -> np.ndarray:
+        """The keys of order[a:b]: the bytes before the pair, the nearest first, then the byte itself."""
+        at = self.order[a:b]
+        out = self._eight[at]
+        out &= np.uint64((1 << 48) - 1)
+        out >>= np.uint64(8 * (BEFORE - self.depth))
+        out <<= np.uint64(8)
+        out |= self._letters[at]
+        return out
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
@@ -197,75 +261,79 @@ def cut(keys: np.ndarray, context: bytes, split: set[bytes], depth: int, low: in
         yield from cut(keys, context + bytes([int(value[a])]), split, depth, low + a, low + b)
 
 
-def grams(packs: DataFrame, depth: int) -> DataFrame:
-    """code, shard, n, keys, counts: each shard's different grams after each pair of bytes, and their counts in training texts."""
+def crowded(packs: DataFrame, depth: int, leaf_bytes: int) -> set[bytes]:
+    """The contexts that stand before more than leaf_bytes bytes: at most as many as all bytes over leaf_bytes, for each length."""
+    split: set[bytes] = set()
+    for length in range(SHORTEST, min(LONGEST, depth - 1)):
+        inside = np.array(sorted(int.from_bytes(c, "big") for c in split if len(c) == length - 1), dtype=np.uint64)
+
+        hot = np.zeros(1 << 16, dtype=bool)
+        hot[[int.from_bytes(c, "big") for c in split if len(c) == SHORTEST]] = True
+
+        def run(batches, length=length, inside=inside, hot=hot):
+            import zstandard
+
+            unzip = zstandard.ZstdDecompressor()
+            for batch in batches:
+                for texts, sizes in zip(batch.column(0), batch.column(1), strict=True):
+                    texts = unzip.decompress(texts.as_py())
+                    own, pair, eight = _inside(texts, sizes.values.to_numpy()), _before(texts, 2), _before(texts, 8)
+                    for c in range(0, len(own), Positions.CHUNK):
+                        here = slice(c, c + Positions.CHUNK)
+                        if length == SHORTEST:
+                            n = np.bincount(pair[here][own[here]], minlength=1 << 16)
+                            value = np.flatnonzero(n)
+                            n = n[value]
+                        else:
+                            context = eight[here][np.flatnonzero(own[here] & hot[pair[here]])] >> np.uint64(8 * (BEFORE - length))
+                            value, n = np.unique(context[np.isin(context >> np.uint64(8), inside)] if length > 3 else context, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(n)], ["context", "n"])
+
+        counted = packs.select("texts", "sizes").mapInArrow(run, "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
+        new = {r.context.to_bytes(length, "big") for r in counted.where(F.col("n") > leaf_bytes).collect()}
+        if not new:
+            break
+        split |= new
+    return split
+
+
+def grams(packs: DataFrame, split: set[bytes], depth: int) -> DataFrame:
+    """code, shard, n, keys, counts: each shard's different grams in each leaf, and their counts in training texts."""
 
     def run(batches):
         import zstandard
 
         unzip = zstandard.ZstdDecompressor()
+
+        def out(shard: int, rows: list[tuple]) -> pa.RecordBatch:
+            code, n, keys, counts = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array([shard] * len(code), pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["code", "shard", "n", "keys", "counts"])
+
         for batch in batches:
             for shard, texts, sizes, learns in zip(*(batch.column(k) for k in range(4)), strict=True):
                 sizes = sizes.values.to_numpy()
                 own = Positions(unzip.decompress(texts.as_py()), sizes, depth)
-                learns = np.repeat(np.array(learns.as_py()), sizes)[own.order]
+                left = np.repeat(~np.array(learns.as_py()), sizes + BEFORE)[BEFORE:]
                 rows = []
                 for pair, a, b in own.pairs:
-                    both = np.sort(own.key[a:b] << np.uint64(1) | ~learns[a:b])
+                    both = np.sort(own.keys(a, b) << np.uint64(1) | left[own.order[a:b]])
                     key = both >> np.uint64(1)
                     at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
                     count = np.diff(np.append(at, len(both))) - np.add.reduceat(both & np.uint64(1), at).astype(np.int64)
                     keys = key[at]
-                    rows.append((code_of(pair.to_bytes(2, "big")), len(at), _planes(np.diff(keys, prepend=np.uint64(0)), depth - 1), _planes(count, 8 if count.max() >> 32 else 4)))
-                code, n, keys, counts = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array([shard.as_py()] * len(code), pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["code", "shard", "n", "keys", "counts"])
+                    for context, u, v in cut(keys, pair.to_bytes(2, "big"), split, depth):
+                        rows.append((code_of(context), v - u, _planes(np.diff(keys[u:v], prepend=np.uint64(0)), depth - 1), _planes(count[u:v], 8 if count.max() >> 32 else 4)))
+                    if len(rows) >= 256:
+                        yield out(shard.as_py(), rows)
+                        rows = []
+                del own, left
+                _tidy()
+                if rows:
+                    yield out(shard.as_py(), rows)
 
     return packs.select("shard", "texts", "sizes", "learns").mapInArrow(run, "code long, shard long, n long, keys binary, counts binary")
 
 
-def crowded(table: DataFrame, depth: int, leaf_grams: int) -> set[bytes]:
-    """The contexts whose grams are too many for a leaf: at most as many as all grams over leaf_grams, times LONGEST."""
-    split: set[bytes] = set()
-    found = table.groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") > leaf_grams)
-    for _ in range(SHORTEST, min(LONGEST, depth - 1)):
-        new = {context_of(r.code) for r in found.select("code").collect()}
-        if not new:
-            break
-        split |= new
-        pairs = {code_of(c[:SHORTEST]) for c in new}
-
-        def run(batches, split=frozenset(split), new=frozenset(new)):
-            for batch in batches:
-                for code, n, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    rows = [(code_of(c), b - a) for c, a, b in cut(_ascending(keys.as_py(), n), context_of(code), split, depth) if c[:-1] in new]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["code", "n"])
-
-        own = table.where(F.col("code").isin(*pairs)).select("code", "n", "keys").mapInArrow(run, "code long, n long")
-        found = own.groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") > leaf_grams)
-    return split
-
-
-def split_up(table: DataFrame, split: set[bytes], depth: int) -> DataFrame:
-    """table with a row for each leaf in place of those of split contexts."""
-    if not split:
-        return table
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                context = context_of(r["code"])
-                if context not in split:
-                    rows.append(r)
-                    continue
-                keys, counts = _ascending(r["keys"], r["n"]), _values(r["counts"], r["n"])
-                for c, a, b in cut(keys, context, split, depth):
-                    rows.append({"code": code_of(c), "shard": r["shard"], "n": b - a, "keys": _planes(np.diff(keys[a:b], prepend=np.uint64(0)), depth - 1), "counts": _planes(counts[a:b], 8)})
-            yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
-
-    return table.mapInArrow(run, table.schema)
-
-
 _TABLE = 1 << 14
 _HALF = np.cumsum(np.append(lgamma(0.5), np.log(np.arange(_TABLE - 1) + 0.5)))
 _WHOLE = np.cumsum(np.append(0.0, np.log(np.arange(_TABLE - 1) + 1.0)))
@@ -314,22 +382,23 @@ class Tree:
         ones = np.add.reduceat(self.n[d] * ((self.whole[d] >> np.uint64(7 - k)) & np.uint64(1)).astype(np.int64), at) if len(at) else at
         return np.cumsum(first) - 1, at, (np.add.reduceat(self.n[d], at) if len(at) else at) - ones, ones
 
-    def upward(self, k: int) -> list[tuple]:
-        """For decision k, from the longest depth to length: nodes as _runs() has them, their weight and their own share of it."""
+    def upward(self, k: int, shares: bool = True) -> list[tuple]:
+        """For decision k, from the longest depth to length: nodes as _runs() has them, their weight and, with shares, their own share of it."""
         out, below = [None] * (self.depth + 1), None
         for d in range(self.depth, self.length - 1, -1):
             of, at, zeros, ones = self._runs(d, k)
-            weighed, share = estimate(zeros, ones), np.ones(len(at))
+            weighed, share = estimate(zeros, ones), np.ones(len(at)) if shares else None
             if d < self.depth:
                 more = np.bincount(of[self.up[d + 1][below[1]]], below[4], len(at)) - weighed
-                weighed, share = weighed + np.maximum(more, 0) + np.log1p(np.exp(-np.abs(more))) - log(2), 1 / (1 + np.exp(np.minimum(more, 700)))
+                weighed = weighed + np.maximum(more, 0) + np.log1p(np.exp(-np.abs(more))) - log(2)
+                share = 1 / (1 + np.exp(np.minimum(more, 700))) if shares else None
             below = out[d] = (of, at, zeros, ones, weighed, share)
         return out
 
     def leaf_nodes(self) -> Iterator[tuple]:
         """For each decision the nodes of the leaves' own contexts: leaf, node, zeros, ones, weight."""
         for k in range(8):
-            _, at, zeros, ones, weighed, _ = self.upward(k)[self.length]
+            _, at, zeros, ones, weighed, _ = self.upward(k, shares=False)[self.length]
             first = self.whole[self.length][at]
             node = ((first & np.uint64(255)) | np.uint64(256)) >> np.uint64(8 - k)
             yield self._leaf_of(at), node.astype(np.int64), zeros, ones, weighed
@@ -453,7 +522,7 @@ def shallow(table: DataFrame, longest: int) -> DataFrame:
         rest = F.when(unseen, F.lit(0.0)).otherwise(F.col("r") * (1 - F.col("own")))
 
         def under(rows: DataFrame, parent=parent, d=d) -> DataFrame:
-            return rows.join(parent, (F.col("context").bitwiseAND(low(d - 1)) == F.col("of")) & (F.col("node") == F.col("at")))
+            return rows.join(parent.hint("merge"), (F.col("context").bitwiseAND(low(d - 1)) == F.col("of")) & (F.col("node") == F.col("at")))
 
         done = under(own.where(F.col("length") == d)).select("code", "node", before.alias("before"), rest.alias("rest"))
         out = done if out is None else out.unionByName(done)
@@ -515,24 +584,26 @@ def summed(packs: DataFrame, logs: DataFrame, frequent, depth: int) -> DataFrame
 
         texts, sizes = zstandard.ZstdDecompressor().decompress(pack["blob"]), np.array(pack["sizes"])
         own, logs, off = Positions(texts, sizes, depth), np.concatenate(values), 0
-        out = np.empty(len(own.key))
+        out = np.zeros(len(texts) - BEFORE, dtype=np.float32)
         for _, a, b in own.pairs:
-            order = np.argsort(own.key[a:b])
-            key = own.key[a:b][order]
+            key = own.keys(a, b)
+            order = np.argsort(key)
+            key = key[order]
             place = np.cumsum(np.append(False, key[1:] != key[:-1]))
             out[own.order[a:b][order]] = logs[off + place]
             off += int(place[-1]) + 1
-        score = np.add.reduceat(out, own.starts)
-        known, table = frequent.value
-        rows = []
-        for body in _bodies(texts, pack["sizes"], depth):
-            words = words_of(body)
-            found = [x for x in map(table.get, words) if x is not None]
-            rows.append((len(words), len(found), float(sum(found)), [w for w in words if w not in known] if len(found) < len(words) else []))
-        n_words, n_frequent, base, rare = zip(*rows, strict=True)
+        score = np.add.reduceat(out, np.cumsum(np.append(0, sizes[:-1] + BEFORE)), dtype=np.float64)
+        words, n_words = split_words(texts, pack["sizes"])
+        words = words.dictionary_encode()
+        value = np.array([table.get(w, 0.0) for table in (frequent.value,) for w in words.dictionary.to_pylist()])
+        value = value[words.indices.to_numpy()] if len(words) else np.zeros(0)
+        sums = lambda x: np.diff(np.append(0, np.cumsum(x))[np.append(0, np.cumsum(n_words))])
+        unknown = value == 0
+        n_rare = sums(unknown)
+        rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_rare)).astype(np.int32)), words.dictionary.take(words.indices.filter(pa.array(unknown))))
         return pa.RecordBatch.from_arrays([
-            pa.array(pack["rows"], pa.int64()), pa.array(pack["ids"], pa.int64()), pa.array(score), pa.array(n_words, pa.int64()), pa.array(n_frequent, pa.int64()),
-            pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.binary())),
+            pa.array(pack["rows"], pa.int64()), pa.array(pack["ids"], pa.int64()), pa.array(score), pa.array(n_words, pa.int64()), pa.array(n_words - n_rare, pa.int64()),
+            pa.array(sums(value)), rare,
         ], ["row", "doc_id", "score", "n_words", "frequent", "base", "rare"])
 
     def run(batches):
@@ -543,6 +614,7 @@ def summed(packs: DataFrame, logs: DataFrame, frequent, depth: int) -> DataFrame
                 if code[k] < 0:
                     if pack is not None:
                         yield scored(pack, values)
+                        _tidy()
                     pack, values = batch.slice(k, 1).to_pylist()[0], []
                 else:
                     values.append(_values(batch.column(3)[k].as_py(), n[k]).astype(np.float32) / -STEPS)
@@ -556,7 +628,7 @@ def summed(packs: DataFrame, logs: DataFrame, frequent, depth: int) -> DataFrame
     return dealt.mapInArrow(run, schema)
 
 
-def scores(docs: DataFrame, learns: Column, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES, leaf_grams: int = LEAF_GRAMS, most_frequent: int = FREQUENT) -> DataFrame:
+def scores(docs: DataFrame, learns: Column, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES, leaf_bytes: int = LEAF_BYTES, most_frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text); it learns from those where learns is true.
 
     A null text is empty: its one token is the end. Repeated rows have equal results, a null doc_id
@@ -568,24 +640,23 @@ def scores(docs: DataFrame, learns: Column, depth: int = DEPTH, shard_bytes: int
         raise ValueError("a gram's key has at most eight bytes: depth is 3 to 8")
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), F.coalesce(learns, F.lit(False)).alias("learns"))
-    packs = common.written(packed(source, depth, shard_bytes), "ctw-texts")
-    words = common.written(word_counts(packs, depth), "ctw-words")
+    packs = common.written(packed(source, shard_bytes), "ctw-texts")
+    words = common.written(word_counts(packs), "ctw-words")
     total = words.agg(F.sum("n").alias("n"), F.count("word").alias("distinct"), F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("documents")).first()
     documents, tokens, distinct = total.documents or 0, total.n or 0, total.distinct + bool(total.documents)
-    common_words = words.where(F.col("word").isNotNull() & (F.length("word") <= FREQUENT_BYTES)).orderBy(F.desc("n"), "word").limit(most_frequent)
-    table = {bytes(r.word): float(np.log10(r.n + 0.5)) for r in common_words.collect()}
-    frequent = spark.sparkContext.broadcast((set(table), table))
-
-    raw = common.written(grams(packs, depth), "ctw-grams")
-    split = crowded(raw, depth, leaf_grams)
-    tree = common.written(leaves(split_up(raw, split, depth), depth), "ctw-leaves")
-    common.drop(spark, raw)
-    mixed = shallow(tree, max(map(len, split), default=SHORTEST - 1) + 1)
-    parts = common.written(summed(packs, answers(tree, mixed, depth), frequent, depth), "ctw-scored")
+    table = {bytes(r.word): float(np.log10(r.n + 0.5)) for r in frequent_words(words, most_frequent).collect()}
+    frequent = spark.sparkContext.broadcast(table)
+
+    with common.small_batches(spark, BATCH_ROWS):
+        split = crowded(packs, depth, leaf_bytes)
+        tree = common.written(leaves(grams(packs, split, depth), depth), "ctw-leaves")
+        mixed = shallow(tree, max(map(len, split), default=SHORTEST - 1) + 1)
+        common.release(spark)
+        parts = common.written(summed(packs, answers(tree, mixed, depth), frequent, depth), "ctw-scored")
     common.drop(spark, packs, tree)
 
     rare = parts.select("row", F.explode("rare").alias("word"))
-    found = rare.join(words.where("word IS NOT NULL").withColumnRenamed("n", "c"), "word").groupBy("row").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("c") + 0.5)).alias("logs"))
+    found = rare.join(words.where("word IS NOT NULL").withColumnRenamed("n", "c").hint("merge"), "word").groupBy("row").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("c") + 0.5)).alias("logs"))
     sums = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("score", "n_words", "frequent", "base")])
     out = sums.join(found, "row", "left")
     known = F.col("frequent") + F.coalesce("known", F.lit(0))

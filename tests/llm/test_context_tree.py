@@ -98,11 +98,11 @@ def both(spark, train, others):
     return spark.createDataFrame(rows, "doc_id long, text string, learns boolean, score double"), {r[0]: r[1] for r in rows}
 
 
-@pytest.mark.parametrize(("shard_bytes", "leaf_grams", "frequent"), [(1 << 20, 1 << 20, 1 << 16), (40, 12, 3), (64, 3, 0)])
-def test_scores_equal_the_definition(spark, shard_bytes, leaf_grams, frequent):
+@pytest.mark.parametrize(("shard_bytes", "leaf_bytes", "frequent"), [(1 << 20, 1 << 20, 1 << 16), (40, 12, 3), (64, 3, 0)])
+def test_scores_equal_the_definition(spark, shard_bytes, leaf_bytes, frequent):
     """Small shards cut texts into pieces; small leaves split contexts byte by byte."""
     docs, texts = both(spark, TRAIN, ["unseen zebra! the", "", "\x00 ÿ", "the cat " * 50, "the cat sat on the hat"])
-    check(context_tree.scores(docs, F.col("learns"), DEPTH, shard_bytes, leaf_grams, frequent).collect(), Brute(TRAIN), texts)
+    check(context_tree.scores(docs, F.col("learns"), DEPTH, shard_bytes, leaf_bytes, frequent).collect(), Brute(TRAIN), texts)
 
 
 def test_probabilities_add_up_to_one(spark):

@@ -1,14 +1,12 @@
 """Exact top-k inner products by no-random-access aggregation over sorted lists.
 
 Candidates are dealt into shards by a hash of their id; queries come in blocks. A shard keeps each
-dimension as a list sorted by its component, read from the top for queries whose weight there is
-positive and from the bottom where it is negative. At a depth p every row has been seen in the lists
-where it stands among the first p. Its upper bound puts the last value read of a list where it hasn't
-been seen, its lower bound the list's worst value. Reading ends for a query when no row outside a few
-survivors can reach its k-th best lower bound; the survivors' final scores are then worked out.
-
-As a list is sorted, a row's value where seen and the last value read where not are its component
-clipped to the last value read: bounds of all rows and queries at a depth are two matrix products.
+dimension as a list of (value, row) sorted by value. A query reads the lists of its dimensions in turn, a
+block of entries from each: from the top where its weight is positive, from the bottom where it is negative.
+A row met in a list gains that list's share of its score. Its lower bound takes the list's worst value for
+the lists it hasn't been met in, its upper bound the value read last. Reading ends for all other rows when
+none of them can reach the k-th best lower bound; it goes on for those few survivors alone until each that is
+left has been met in every list, which makes their bounds their scores. No row is ever looked up by its number.
 """
 
 from __future__ import annotations
@@ -26,14 +24,12 @@ SHARD_ROWS = 1 << 15
 QUERY_ROWS = 1 << 12
 #: Shards are made at least this many while they keep LEAST_ROWS rows, for parallel work on small tables.
 LEAST_SHARDS, LEAST_ROWS = 24, 1 << 11
-DEPTHS = (1 / 8, 1 / 4, 1 / 2, 1.0)
-#: Reading ends when at most this share of a shard survives.
+#: Shares of the lists after which bounds are compared.
+DEPTHS = (1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 1.0)
+#: Entries of other rows are passed over once at most this share of a shard survives.
 SURVIVORS = 1 / 32
 
 
-QUERIES_AT_ONCE = 256
-
-
 def usable(vector: str) -> Column:
     """Whether a vector is there, with finite components only."""
     v = F.col(vector)
@@ -46,49 +42,71 @@ def by_id(vectors: DataFrame) -> DataFrame:
     return own.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")).groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
-def top_of_shard(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K, depths: tuple[float, ...] = DEPTHS):
-    """Arrays (query, candidate, score) of each query's k best rows of a shard, ties to smaller ids. ids ascend."""
-    n = len(ids)
-    lists = np.sort(rows, axis=0)
-    place = np.minimum(np.searchsorted(ids, query_ids), n - 1)
-    own = ids[place] == query_ids
-    few, found, active = max(4 * k, int(n * SURVIVORS)), [], np.arange(len(queries))
+class Lists:
+    """A shard's lists: for each dimension, rows and values in ascending and in descending order."""
+
+    def __init__(self, rows: np.ndarray):
+        up = np.argsort(rows, axis=0, kind="stable")
+        values = np.take_along_axis(rows, up, 0)
+        self.rows, self.values, self.n = (up, up[::-1]), (values, values[::-1]), len(rows)
+
+    def read(self, dims: np.ndarray, down: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Entries a to b of the lists dims, from the top where down holds: rows and values, a column for each list."""
+        pick = lambda both: np.where(down, both[1][a:b, dims], both[0][a:b, dims])
+        return pick(self.rows), pick(self.values)
+
+
+def best_of(lists: Lists, weights: np.ndarray, own: int, k: int = K, depths: tuple[float, ...] = DEPTHS) -> tuple[np.ndarray, np.ndarray, int]:
+    """Rows that may be among a query's k best, with their scores, and how many entries were read. own: the query's row, or -1."""
+    n, dims = lists.n, np.flatnonzero(weights)
+    w, down = weights[dims], weights[dims] > 0
+    if not len(dims):
+        return np.delete(np.arange(n), own) if own >= 0 else np.arange(n), np.zeros(n - (own >= 0)), 0
+    worst = lists.read(dims, down, n - 1, n)[1][0]
+    low, met, alive, at, count = np.full(n, w @ worst), np.zeros((n, len(dims))), np.ones(n, dtype=bool), 0, 0
+    if own >= 0:
+        alive[own] = False
+    kept = np.flatnonzero(alive)
     for depth in depths:
-        if not len(active):
+        to = min(n, max(at + 1, int(n * depth)))
+        rows, values = lists.read(dims, down, at, to)
+        count += rows.size
+        gain = (values - worst) * w
+        if len(kept) > n * SURVIVORS:
+            low += np.bincount(rows.ravel(), gain.ravel(), n)
+            met[rows, np.arange(len(dims))] = 1
+        else:  # the rest of the reading is for a few rows
+            hit = alive[rows]
+            low += np.bincount(rows[hit], gain[hit], n)
+            met[rows[hit], np.nonzero(hit)[1]] = 1
+        at, left, bound = to, w * (values[-1] - worst), low[kept]
+        kth = np.partition(bound, len(kept) - k)[len(kept) - k] if len(kept) > k else -np.inf
+        survive = bound + (left.sum() - met[kept] @ left) >= kth
+        alive[kept[~survive]] = False
+        kept = kept[survive]
+        if at == n or met[kept].sum() == len(kept) * len(dims):
             break
-        p = min(n, max(1, int(n * depth)))
-        # The last values read from the top and from the bottom of each list.
-        high, low = lists[n - p], lists[p - 1]
-        up, down = np.maximum(queries[active], 0).T, np.minimum(queries[active], 0).T
-        from_top, from_bottom = rows >= high, rows <= low
-        upper = np.where(from_top, rows, high) @ up + np.where(from_bottom, rows, low) @ down
-        lower = np.where(from_top, rows, lists[0]) @ up + np.where(from_bottom, rows, lists[-1]) @ down
-        here = np.flatnonzero(own[active])
-        upper[place[active[here]], here] = lower[place[active[here]], here] = -np.inf
-        kth = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(active), -np.inf)
-        survive = upper >= kth
-        done = (survive.sum(0) <= few) | (p == n)
-        for q in np.flatnonzero(done):
-            rest = np.flatnonzero(survive[:, q])
-            rest = rest[ids[rest] != query_ids[active[q]]]
-            score = rows[rest] @ queries[active[q]]
-            best = np.lexsort((ids[rest], -score))[:k]
-            found.append((np.full(len(best), query_ids[active[q]]), ids[rest[best]], score[best]))
-        active = active[~done]
+    return kept, low[kept], count
+
+
+def top_of_shard(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K, depths: tuple[float, ...] = DEPTHS):
+    """Arrays (query, candidate, score) of each query's k best rows of a shard, ties to smaller ids. ids ascend."""
+    lists, found = Lists(rows), []
+    place = np.minimum(np.searchsorted(ids, query_ids), len(ids) - 1)
+    for q, weights in enumerate(queries):
+        kept, score, _ = best_of(lists, weights, int(place[q]) if ids[place[q]] == query_ids[q] else -1, k, depths)
+        best = np.lexsort((ids[kept], -score))[:k]
+        found.append((np.full(len(best), query_ids[q]), ids[kept[best]], score[best]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 3
 
 
 def _shard(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    out = [(np.zeros(0, dtype=np.int64),) * 3]
+    out = (np.zeros(0, dtype=np.int64),) * 3
     if len(rows) and len(queries):
         rows = rows.sort_values("vec_id")
-        ids, data = rows["vec_id"].to_numpy(), np.floor(np.stack(rows["vector"].to_list()) * SCALE)
-        asked = np.floor(np.stack(queries["vector"].to_list()) * SCALE)
-        query_ids = queries["vec_id"].to_numpy()
-        for k in range(0, len(asked), QUERIES_AT_ONCE):
-            out.append(top_of_shard(ids, data, query_ids[k : k + QUERIES_AT_ONCE], asked[k : k + QUERIES_AT_ONCE]))
-    a, b, c = (np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
-    return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
+        data, asked = (np.floor(np.stack(x["vector"].to_list()) * SCALE) for x in (rows, queries))
+        out = top_of_shard(rows["vec_id"].to_numpy(), data, queries["vec_id"].to_numpy(), asked)
+    return pd.DataFrame({name: x.astype(np.int64) for name, x in zip(("query_id", "vec_id", "score"), out, strict=True)})
 
 
 def top_k(vectors: DataFrame, every: int = 100, k: int = K) -> DataFrame:

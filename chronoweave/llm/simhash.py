@@ -23,6 +23,9 @@ from chronoweave.llm.components import components
 BITS = 64
 #: Work for a row put somewhere against that for a comparison, for the plan's estimates.
 PUT, COMPARE = 200.0, 1.0
+#: The plan is made for this many fingerprints whatever the table's size: the rows put for each are the same at every size
+#: (46 for a distance of 4 and even bits), and no plan puts more than MOST_PUT for one.
+PLANNED_ROWS, MOST_PUT = 1 << 27, 256
 #: A place with more rows of its own than this is compared in pairs of blocks of about so many rows.
 BLOCK_ROWS = 1 << 16
 SEED = 42
@@ -55,15 +58,6 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
     return _majority(np.array([xxhash.xxh64_intdigest(x, SEED) for x in _shingles(text, shingle)], dtype="<u8"))
 
 
-def sketch(text: bytes | None, shingle: int, probe: int) -> tuple[int, int, int]:
-    """Three fingerprints: of the different runs of probe words, and of the shingles by two halves of a 128-bit hash."""
-    import xxhash
-
-    near = _majority(np.array([xxhash.xxh64_intdigest(x, SEED) for x in {x.tobytes() for x in _shingles(text, probe)}], dtype="<u8"))
-    both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x, SEED) for x in _shingles(text, shingle)]), dtype="<u8").reshape(-1, 2)
-    return near, _majority(np.ascontiguousarray(both[:, 0])), _majority(np.ascontiguousarray(both[:, 1]))
-
-
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, fp of docs (doc_id, text). A null or wordless text has 0; fewer words than a shingle are one shingle."""
 
@@ -124,7 +118,7 @@ def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     return groups
 
 
-def thresholds(n: int, ones: np.ndarray, groups: list[list[int]], most: int) -> tuple[float, list[int]]:
+def thresholds(ones: np.ndarray, groups: list[list[int]], most: int, n: int = PLANNED_ROWS) -> tuple[float, list[int]]:
     """The least estimated work and the threshold of each group, by dynamic programming over groups and what is left to give."""
     work = []
     for group in groups:
@@ -134,7 +128,8 @@ def thresholds(n: int, ones: np.ndarray, groups: list[list[int]], most: int) ->
             near = np.convolve(near, [1 - p, p])
         costs = [0.0]
         for t in range(most + 1):
-            put = n * sum(comb(len(group), r) for r in range(t + 1)) if t <= len(group) else np.inf
+            ways = sum(comb(len(group), r) for r in range(t + 1))
+            put = n * ways if t <= len(group) and ways <= MOST_PUT else np.inf
             costs.append(PUT * put + COMPARE * n * n / 2 * near[: t + 1].sum())
         work.append(costs)
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -153,8 +148,10 @@ def plan(n: int, both: np.ndarray, most: int) -> list[tuple[list[int], int]]:
     ones, found = np.diag(both) / max(n, 1), []
     for parts in range(1, most + 2):
         groups = group_bits(n, both, parts)
-        found.append((*thresholds(n, ones, groups, most), groups))
-    _, chosen, groups = min(found, key=lambda x: x[0])
+        found.append((*thresholds(ones, groups, most), groups))
+    cost, chosen, groups = min(found, key=lambda x: x[0])
+    if not np.isfinite(cost):
+        raise ValueError(f"no plan for a distance of {most} puts at most {MOST_PUT} rows for a fingerprint")
     return [(g, t) for g, t in zip(groups, chosen, strict=True) if t >= 0]
 
 
@@ -196,21 +193,20 @@ def _forest(rows: np.ndarray, linked) -> list[tuple[int, int]]:
             rest = np.flatnonzero(waiting & own) if rows[k, VISITS] else np.flatnonzero(waiting)
             near = rest[linked(rows[rest], rows[k : k + 1])]
             waiting[near] = False
-            edges += [(int(rows[k, NODE]), int(rows[j, NODE])) for j in near]
+            edges += [(int(rows[k, PRINT]), int(rows[j, PRINT])) for j in near]
             front += near.tolist()
     return edges
 
 
-#: Columns of a row: its run, whether it visits, its fingerprint, its node, and the fingerprints that a link is held against.
-RUN, VISITS, PRINT, NODE, CHECKED = slice(0, 4), 4, 5, 6, (7, 8)
+#: Columns of a row: its run, whether it visits, and its fingerprint.
+RUN, VISITS, PRINT = slice(0, 4), 4, 5
 
 
-def _compared(most: int, most_checked: int, small: int = 48):
+def _compared(most: int, small: int = 48, most_held: int = 4 * BLOCK_ROWS):
     """Reads rows sorted by run (part, place, block pair), and yields edges that connect each run's links."""
 
     def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        near = apart(a[:, PRINT], b[:, PRINT]) <= most
-        return near if most_checked >= 2 * BITS else near & (sum(apart(a[:, k], b[:, k]).astype(np.int64) for k in CHECKED) <= most_checked)
+        return apart(a[:, PRINT], b[:, PRINT]) <= most
 
     def edges_of(rows: np.ndarray):
         starts = np.flatnonzero(np.append(True, (rows[1:, RUN] != rows[:-1, RUN]).any(1)))
@@ -224,37 +220,53 @@ def _compared(most: int, most_checked: int, small: int = 48):
             if not len(at):
                 break
             near = at[linked(rows[at], rows[at + shift])]
-            pairs.append(np.column_stack([rows[near, NODE], rows[near + shift, NODE]]))
+            pairs.append(np.column_stack([rows[near, PRINT], rows[near + shift, PRINT]]))
         for k in np.flatnonzero(sizes > small):
             pairs.append(np.array(_forest(rows[starts[k] : starts[k] + sizes[k]], linked), dtype=np.int64).reshape(-1, 2))
         found = np.concatenate(pairs)
         found = found[found[:, 0] != found[:, 1]]
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
+    def visited(rows: np.ndarray):
+        """Edges between the visitors and the own rows of one run, at most one for each part of these that no visitor before has joined."""
+        own, root, pairs = rows[rows[:, VISITS] == 0], None, []
+        root = np.arange(len(own))
+        for row in rows[rows[:, VISITS] != 0]:
+            near = np.flatnonzero(linked(own, row[None]))
+            parts, first = np.unique(root[near], return_index=True)
+            pairs += [(row[PRINT], own[j, PRINT]) for j in near[first] if own[j, PRINT] != row[PRINT]]
+            if len(parts) > 1:
+                root[np.isin(root, parts)] = parts[0]
+        found = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
     def run(batches):
         held = None
         for batch in batches:
             rows = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)])
+            if not len(rows):
+                continue
             rows = rows if held is None else np.concatenate([held, rows])
             last = np.flatnonzero((rows[:, RUN] != rows[-1, RUN]).any(1))
             cut = last[-1] + 1 if len(last) else 0
             if cut:
                 yield edges_of(rows[:cut])
             held = rows[cut:]
+            if len(held) > most_held and held[-1, VISITS]:  # own rows, at most two blocks, have come; visitors needn't stay
+                yield visited(held)
+                held = held[held[:, VISITS] == 0]
         if held is not None and len(held):
             yield edges_of(held)
 
     return run
 
 
-def links(nodes: DataFrame, most: int = 4, block_rows: int = BLOCK_ROWS, most_checked: int = 2 * BITS) -> DataFrame:
-    """Edges (a, b) between nodes (fp, and node, s1, s2) that connect whatever links connect.
-
-    A link: fingerprints fp within most bits, and s1 and s2 together within most_checked.
-    """
-    fps = nodes if "node" in nodes.columns else nodes.select("fp", F.col("fp").alias("node"), F.lit(0).cast("long").alias("s1"), F.lit(0).cast("long").alias("s2"))
-    fps = fps.select("fp", "node", "s1", "s2")
+def links(fps: DataFrame, most: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Edges (a, b) between different fingerprints (fp) that connect whatever pairs within most bits connect."""
+    fps = fps.select("fp")
     n, both = bit_statistics(fps)
+    if n < 2:
+        return fps.sparkSession.createDataFrame([], "a long, b long")
     rows = places(fps, plan(n, both, most))
     # Where many fingerprints share a place, its rows are dealt into blocks and each pair of blocks is compared.
     crowded = rows.where("visits = 0").groupBy("part", "place").count().where(F.col("count") > block_rows)
@@ -264,12 +276,12 @@ def links(nodes: DataFrame, most: int = 4, block_rows: int = BLOCK_ROWS, most_ch
     else:
         rows = rows.join(crowded, (F.col("part") == F.col("p")) & (F.col("place") == F.col("q")), "left")
         blocks = F.coalesce("blocks", F.lit(1))
-        own = F.pmod(F.xxhash64("node"), blocks).cast("long")
+        own = F.pmod(F.xxhash64("fp"), blocks).cast("long")
         rows = rows.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long")))})
-        spread = rows.select("part", "place", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "visits", "fp", "node", "s1", "s2")
-    spread = spread.select(F.col("part").cast("long"), "place", "x", "y", F.col("visits").cast("long"), "fp", "node", "s1", "s2")
+        spread = rows.select("part", "place", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "visits", "fp")
+    spread = spread.select(F.col("part").cast("long"), "place", "x", "y", F.col("visits").cast("long"), "fp")
     dealt = spread.repartition("part", "place", "x", "y").sortWithinPartitions("part", "place", "x", "y", "visits")
-    return dealt.mapInArrow(_compared(most, most_checked), "a long, b long")
+    return dealt.mapInArrow(_compared(most, most_held=4 * block_rows), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:

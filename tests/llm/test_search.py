@@ -46,6 +46,21 @@ def test_bounds_lose_nothing(depths):
             assert sorted((-s, i) for s, i in zip(c[a == q], b[a == q], strict=True)) == want
 
 
+def test_skewed_lists_are_read_in_part():
+    """Entries read, a list at a time: less than half where the best rows are high in all lists, no more than all of them where all are alike."""
+    r = np.random.default_rng(3)
+    rows = np.round(r.pareto(1.2, (4000, 1)) * r.uniform(0.5, 1, (4000, 8)) * 1000)
+    lists = rank_aggregation.Lists(rows)
+    for w in np.round(np.abs(r.normal(size=(20, 8))) * 100):
+        kept, score, read = rank_aggregation.best_of(lists, w, -1)
+        assert sorted(-score)[:10] == sorted(-(rows @ w))[:10] and read < rows.size / 2
+        assert all(s == rows[i] @ w for i, s in zip(kept, score, strict=True))
+    reads = [rank_aggregation.best_of(lists, w, -1)[2] for w in np.eye(8) * 7]
+    assert max(reads) <= 4000 / 8
+    alike = np.round(r.normal(size=(500, 8)) * 100)
+    assert rank_aggregation.best_of(rank_aggregation.Lists(alike), np.ones(8), 3)[2] <= alike.size
+
+
 def test_op2_odd_rows(spark):
     rows = [(0, [1.0, 2.0]), (100, [0.0, 0.0]), (5, [1.0, 2.0]), (6, [1.0, 2.0])]
     odd = [(7, None), (8, [1.0, None]), (9, [NAN, 1.0]), (10, [INF, 1.0]), (11, []), (None, [1.0, 1.0]), (5, [1.0, 2.0])]

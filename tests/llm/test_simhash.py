@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -75,7 +76,7 @@ def test_links_of_crowded_fingerprints(spark):
     prints = [simhash.signed(p) for p in prints]
     want = brute_components(prints, lambda a, b: ((a ^ b) % (1 << 64)).bit_count() <= 4)
     df = spark.createDataFrame([(p,) for p in prints], "fp long")
-    for block in (1 << 16, 20):
+    for block in (1 << 16, 20, 2):
         edges = simhash.links(df, 4, block)
         got = {row.node: row.root for row in components(edges).collect()}
         mine = [got.get(p, p) for p in prints]
@@ -90,17 +91,22 @@ def test_every_allocation_finds_every_pair(spark):
     for parts in range(1, 6):
         groups = simhash.group_bits(n, both, parts)
         assert sorted(b for g in groups for b in g) == list(range(64))
-        _, chosen = simhash.thresholds(n, np.diag(both) / n, groups, 4)
+        _, chosen = simhash.thresholds(np.diag(both) / n, groups, 4)
         assert sum(t + 1 for t in chosen) == 5
         for _ in range(200):
             bits = set(r.choice(64, 4, replace=False).tolist())
             assert any(len(bits & set(g)) <= t for g, t in zip(groups, chosen, strict=True))
 
 
-def test_plan_follows_the_size():
+def test_plan_is_the_same_at_every_size():
+    """Rows put for a fingerprint are bounded, at least one a group, and don't depend on how many fingerprints there are."""
     both = np.full((64, 64), 0.25) + np.diag(np.full(64, 0.25))
     few, many = (simhash.plan(n, both * n, 4) for n in (10**4, 10**10))
-    assert len(few) > len(many)
+    assert few == many and sum(t + 1 for _, t in few) == 5
+    assert sum(math.comb(len(bits), r) for bits, t in few for r in range(t + 1)) <= simhash.MOST_PUT * len(few)
+    skewed = both.copy()
+    skewed[:20] = skewed[:, :20] = 0
+    assert {b for bits, _ in simhash.plan(1000, skewed * 1000, 4) for b in bits} <= set(range(64))
 
 
 def test_odd_documents(spark):

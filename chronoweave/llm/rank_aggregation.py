@@ -23,9 +23,9 @@ K = 10
 SHARD_ROWS = 1 << 15
 QUERY_ROWS = 1 << 12
 #: Shards are made at least this many while they keep LEAST_ROWS rows, for parallel work on small tables.
-LEAST_SHARDS, LEAST_ROWS = 24, 1 << 11
+LEAST_SHARDS, LEAST_ROWS = 12, 1 << 11
 #: Shares of the lists after which bounds are compared.
-DEPTHS = (1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 1.0)
+DEPTHS = (1 / 64, 1 / 8, 1 / 4, 1 / 2, 3 / 4, 7 / 8, 1.0)
 #: Entries of other rows are passed over once at most this share of a shard survives.
 SURVIVORS = 1 / 32
 
@@ -43,48 +43,50 @@ def by_id(vectors: DataFrame) -> DataFrame:
 
 
 class Lists:
-    """A shard's lists: for each dimension, rows and values in ascending and in descending order."""
+    """A shard's lists, each from its best entry on: the dimensions from the top, then the same from the bottom.
 
-    def __init__(self, rows: np.ndarray):
-        up = np.argsort(rows, axis=0, kind="stable")
-        values = np.take_along_axis(rows, up, 0)
-        self.rows, self.values, self.n = (up, up[::-1]), (values, values[::-1]), len(rows)
+    An entry has its row, the place of (row, list) in a table of what was met, and how much better its value is than the list's worst.
+    """
 
-    def read(self, dims: np.ndarray, down: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """Entries a to b of the lists dims, from the top where down holds: rows and values, a column for each list."""
-        pick = lambda both: np.where(down, both[1][a:b, dims], both[0][a:b, dims])
-        return pick(self.rows), pick(self.values)
+    def __init__(self, rows: np.ndarray):
+        self.n, self.dims = rows.shape
+        up = np.ascontiguousarray(np.argsort(rows, axis=0, kind="stable").T)
+        values = np.take_along_axis(np.ascontiguousarray(rows.T), up, 1)
+        self.rows = np.concatenate([up[:, ::-1], up])
+        self.places = self.rows * self.dims + np.tile(np.arange(self.dims), 2)[:, None]
+        self.worst = np.concatenate([values[:, 0], values[:, -1]])
+        self.better = np.abs(np.concatenate([values[:, ::-1], values]) - self.worst[:, None])
 
 
 def best_of(lists: Lists, weights: np.ndarray, own: int, k: int = K, depths: tuple[float, ...] = DEPTHS) -> tuple[np.ndarray, np.ndarray, int]:
     """Rows that may be among a query's k best, with their scores, and how many entries were read. own: the query's row, or -1."""
     n, dims = lists.n, np.flatnonzero(weights)
-    w, down = weights[dims], weights[dims] > 0
     if not len(dims):
         return np.delete(np.arange(n), own) if own >= 0 else np.arange(n), np.zeros(n - (own >= 0)), 0
-    worst = lists.read(dims, down, n - 1, n)[1][0]
-    low, met, alive, at, count = np.full(n, w @ worst), np.zeros((n, len(dims))), np.ones(n, dtype=bool), 0, 0
+    w = np.abs(weights[dims])
+    read = np.where(weights[dims] > 0, dims, dims + lists.dims)
+    low, met, alive, at, count = np.full(n, weights[dims] @ lists.worst[read]), np.zeros((n, lists.dims)), np.ones(n, dtype=bool), 0, 0
     if own >= 0:
         alive[own] = False
     kept = np.flatnonzero(alive)
     for depth in depths:
         to = min(n, max(at + 1, int(n * depth)))
-        rows, values = lists.read(dims, down, at, to)
+        rows, better, places = (x[read, at:to] for x in (lists.rows, lists.better, lists.places))
         count += rows.size
-        gain = (values - worst) * w
-        if len(kept) > n * SURVIVORS:
-            low += np.bincount(rows.ravel(), gain.ravel(), n)
-            met[rows, np.arange(len(dims))] = 1
-        else:  # the rest of the reading is for a few rows
+        gain = better * w[:, None]
+        if len(kept) <= n * SURVIVORS:  # the rest of the reading is for a few rows
             hit = alive[rows]
-            low += np.bincount(rows[hit], gain[hit], n)
-            met[rows[hit], np.nonzero(hit)[1]] = 1
-        at, left, bound = to, w * (values[-1] - worst), low[kept]
+            rows, gain, places = rows[hit], gain[hit], places[hit]
+        low += np.bincount(rows.ravel(), gain.ravel(), n)
+        met.put(places, 1)
+        at, left, bound = to, np.zeros(lists.dims), low[kept]
+        left[dims] = w * better[:, -1]
         kth = np.partition(bound, len(kept) - k)[len(kept) - k] if len(kept) > k else -np.inf
-        survive = bound + (left.sum() - met[kept] @ left) >= kth
+        seen = met[kept]
+        survive = bound + (left.sum() - seen @ left) >= kth
         alive[kept[~survive]] = False
         kept = kept[survive]
-        if at == n or met[kept].sum() == len(kept) * len(dims):
+        if at == n or seen[survive].sum() == len(kept) * len(dims):
             break
     return kept, low[kept], count
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,17 @@ def small_batches(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+def tidy() -> None:
+    """Gives memory that a batch's objects leave behind back to the system: workers live on, and others run beside them."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def release(spark: SparkSession) -> None:
     """Has Spark remove the shuffle files of plans that are gone (the last job's excepted): it looks for those when the driver collects garbage."""
     spark._jvm.System.gc()

@@ -47,17 +47,6 @@ END = b"\xff"
 STEPS = 1 << 14
 
 
-def _tidy() -> None:
-    """Gives memory that a shard's arrays leave behind back to the system: workers live on, and others run beside them."""
-    import ctypes
-
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library
-        pass
-
-
 def normal(text: bytes | None) -> bytes:
     """The bytes that the model scores: words, A-Z lower, with single spaces between, then END."""
     return b" ".join((text or b"").lower().split()) + END
@@ -92,7 +81,7 @@ def packed(docs: DataFrame, shard_bytes: int) -> DataFrame:
             ], ["shard", "texts", "sizes", "rows", "ids", "learns"])
             held.clear()
             shard, size = shard + 1, 0
-            _tidy()
+            common.tidy()
             return out
 
         for batch in batches:
@@ -144,13 +133,13 @@ def word_counts(packs: DataFrame) -> DataFrame:
                 size += len(counted)
                 if size >= FLUSH:
                     held, size = [added()], 0
-                    _tidy()
+                    common.tidy()
                     if len(held[0]) >= FLUSH:
                         yield from held.pop().to_batches()
         if held:
             yield from added().to_batches()
             held.clear()
-            _tidy()
+            common.tidy()
 
     return packs.select("texts", "sizes", "learns").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -327,7 +316,7 @@ def grams(packs: DataFrame, split: set[bytes], depth: int) -> DataFrame:
                         yield out(shard.as_py(), rows)
                         rows = []
                 del own, left
-                _tidy()
+                common.tidy()
                 if rows:
                     yield out(shard.as_py(), rows)
 
@@ -614,7 +603,7 @@ def summed(packs: DataFrame, logs: DataFrame, frequent, depth: int) -> DataFrame
                 if code[k] < 0:
                     if pack is not None:
                         yield scored(pack, values)
-                        _tidy()
+                        common.tidy()
                     pack, values = batch.slice(k, 1).to_pylist()[0], []
                 else:
                     values.append(_values(batch.column(3)[k].as_py(), n[k]).astype(np.float32) / -STEPS)

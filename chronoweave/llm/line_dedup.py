@@ -12,6 +12,8 @@ pipeline's stage, also removes passages to their very edges; deduplicated() keep
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,11 +65,12 @@ def _text_hash() -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
+def repeated_chunks(docs: DataFrame, hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """doc_id, text_hash and removed: the numbers of the chunks to remove from each document that has any.
 
     Chunks' bytes move once, to count them by hash and bytes; equal ones are counted by task before. A
     hash that stands for one run of bytes only is safe to remove by: the rest works on hashes and numbers.
+    Chunks whose hash stands for several, if there are any, are told apart by their bytes.
     """
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("text_hash"))
     lines, bounds = F.col("lines"), F.col("bounds")
@@ -77,15 +80,25 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         return F.struct(i.alias("n"), F.size(own).alias("size"), F.exists(own, lambda x: F.length(F.trim(x)) > 0).alias("some"), F.array_join(own, "\n").alias("chunk"))
 
     each = with_chunks(raw, "text", "lines", "bounds").select("doc_id", "text_hash", F.explode(F.transform("bounds", described)).alias("c"))
-    each = each.where((F.col("c.size") > 1) & F.col("c.some")).select("doc_id", "text_hash", "c.n", F.xxhash64("c.chunk").alias("hash"), "c.chunk")
+    each = each.where((F.col("c.size") > 1) & F.col("c.some")).select("doc_id", "text_hash", "c.n", hash_of(F.col("c.chunk")).alias("hash"), "c.chunk")
     places = common.written(each.select("doc_id", "text_hash", "n", "hash"), "line-places")
     same = each.groupBy("hash", "chunk").agg(F.count("*").alias("places"))
-    same = same.groupBy("hash").agg(F.count("*").alias("variants"), F.sum("places").alias("places")).where("variants = 1 AND places > 1").select("hash")
-    # The first place of each repeated chunk; null ids come last.
+    same = same.groupBy("hash").agg(F.count("*").alias("variants"), F.sum("places").alias("places")).where("places > 1")
+    same = common.written(same.where("variants > 1 OR places > variants").select("hash", "variants"), "line-hashes")
+    again = _again(places.join(same.where("variants = 1"), "hash", "left_semi"), ["hash"])
+    clashes = same.where("variants > 1")
+    if not clashes.isEmpty():
+        again = again.unionByName(_again(each.join(clashes, "hash", "left_semi"), ["hash", "chunk"]))
+    return again.groupBy("doc_id", "text_hash").agg(F.collect_set("n").alias("removed"))
+
+
+def _again(places: DataFrame, key: list[str]) -> DataFrame:
+    """doc_id, text_hash, n of the places of a key but its first; null ids come last."""
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"), F.col("n").alias("n"))
-    firsts = common.written(places.groupBy("hash").agg(F.min(place).alias("first")).join(same, "hash", "left_semi"), "line-firsts")
+    firsts = places.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("places")).where("places > 1").drop("places")
+    firsts = common.written(firsts, "line-firsts")
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("n") == F.col("first.n"))
-    return places.join(firsts, "hash").where(~is_first).groupBy("doc_id", "text_hash").agg(F.collect_set("n").alias("removed"))
+    return places.join(firsts, key).where(~is_first).select("doc_id", "text_hash", "n")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -191,4 +204,5 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY chunk, size > 1 AND filled
 SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '') AS text, count(*) AS chunks,
   count(*) FILTER (WHERE gone) AS removed_chunks, CAST(coalesce(sum(size) FILTER (WHERE gone), 0) AS BIGINT) AS removed_lines
 FROM ranked GROUP BY doc_id
+UNION ALL SELECT doc_id, NULL, 0, 0, 0 FROM documents WHERE text IS NULL
 """

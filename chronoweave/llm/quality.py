@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.llm import common
+
 #: Labelled rows that a fit reads at most, chosen by a hash of their ids.
 SAMPLE_ROWS = 15_000
 TREES, DEPTH, BINS, RATE, SMOOTH = 120, 5, 64, 0.12, 1.0
@@ -144,6 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fold
         for batch in batches:
             x = statistics_of(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+        common.tidy()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     made = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, x array<double>")
@@ -163,6 +166,7 @@ def score(docs: DataFrame, forest: Forest, fold: int = 3, held_out: int = 1) ->
         for batch in batches:
             s = forest.score(statistics_of(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        common.tidy()
 
     held = F.coalesce(remainder(F.col("doc_id"), fold) == held_out, F.lit(False))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), held.alias("held"))
@@ -177,5 +181,6 @@ def accepted(docs: DataFrame, forest: Forest, least: float = 0.5) -> DataFrame:
         for batch in batches:
             s = forest.score(statistics_of(batch.column(k).cast(pa.binary())))
             yield batch.filter(pa.array(s >= least))
+        common.tidy()
 
     return docs.mapInArrow(run, docs.schema)

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronoweave.llm import line_dedup
 from chronoweave.llm.queries import op1_line_dedup
@@ -118,3 +119,28 @@ def test_repeated_passages_go_to_their_edges(spark):
     left = {d: Counter(t.split("\n")) for d, t in chunks.items()}
     assert all(not Counter(got[d].split("\n")) - left[d] or got[d] == "" for d in got)
     assert sum(len(t) for t in got.values()) < sum(len(t) for t in chunks.values())
+
+
+def test_chunks_whose_hashes_clash_are_told_apart(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    docs += [(10**6 + k, t) for k, (_, t) in enumerate(docs[:20])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    removed = lambda **o: {(r.doc_id, n) for r in line_dedup.repeated_chunks(df, **o).collect() for n in r.removed}
+    assert removed(hash_of=lambda c: F.xxhash64(c) % 7) == removed() != set()
+
+
+def test_sql_keeps_null_texts_as_the_operator_does(spark, tmp_path):
+    import duckdb
+
+    docs = spark.createDataFrame([(1, None), (2, "a\nb"), (3, "")], "doc_id long, text string")
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = sorted(con.execute(f"SELECT doc_id, text, chunks, removed_chunks, removed_lines FROM ({line_dedup.SQL})").fetchall())
+    assert rows(line_dedup.deduplicated(docs)) == want
+
+
+def test_a_very_long_text_of_many_lines(spark):
+    text = "\n".join(f"line {k % 5000} of a very long text" for k in range(40_000))
+    df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    assert rows(line_dedup.deduplicated(df)) == brute([(1, text), (2, text)])

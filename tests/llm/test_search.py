@@ -88,3 +88,20 @@ def test_op10_odd_rows(spark):
     want, got = brute(rows, 20, 20, False), as_lists(nn_descent.nearest(df).collect())
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
     assert nn_descent.nearest(df.limit(0)).count() == 0
+
+
+def test_op10_searches_each_length_apart(spark):
+    r = np.random.default_rng(4)
+    rows = [(k, r.normal(size=3 if k % 3 else 5).round(3).tolist()) for k in range(200)]
+    df = spark.createDataFrame([(*x, "s") for x in rows], SCHEMA)
+    got = as_lists(nn_descent.nearest(df).collect())
+    for n in (3, 5):
+        want = brute([x for x in rows if len(x[1]) == n], 20, 20, False)
+        assert {q: [i for i, _ in v] for q, v in got.items() if q in want} == {q: [i for i, _ in v] for q, v in want.items()}
+    assert len(got) == 10
+
+
+def test_trees_stay_bounded():
+    sample = np.random.default_rng(5).normal(size=(1 << 12, 9)).astype(np.float32)
+    (directions, limits), *_ = nn_descent.fit_trees(sample, min(nn_descent.MOST_LEAVES, 10**9 // nn_descent.LEAF_ROWS), 1)
+    assert len(limits) == nn_descent.MOST_LEAVES - 1 and np.bincount(nn_descent.leaves_of(sample, (directions, limits))).max() <= 4

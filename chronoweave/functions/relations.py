@@ -22,18 +22,17 @@ COMPOSITION = [
     ("SIMULTANEOUS", "BEFORE", "BEFORE"), ("SIMULTANEOUS", "AFTER", "AFTER"), ("SIMULTANEOUS", "INCLUDES", "INCLUDES"),
     ("SIMULTANEOUS", "IS_INCLUDED", "IS_INCLUDED"), ("SIMULTANEOUS", "SIMULTANEOUS", "SIMULTANEOUS"),
 ]
-# The label sets of each relation mode, as name of a full relation to its reduced one.
-MODES: dict[str, dict[str, str]] = {
-    "FULL": {},
-    "SYMMETRY": {"AFTER": "BEFORE", "IAFTER": "IBEFORE", "IS_INCLUDED": "INCLUDES", "BEGUN_BY": "BEGINS", "ENDED_BY": "ENDS", "OVERLAP_OR_AFTER": "BEFORE_OR_OVERLAP"},
-    "BEFORE": {"IBEFORE": "BEFORE", "IAFTER": "AFTER"},
-    "TEMPEVAL": {
-        "IBEFORE": "BEFORE", "IAFTER": "AFTER", "INCLUDES": "OVERLAP", "IS_INCLUDED": "OVERLAP", "BEGINS": "OVERLAP", "BEGUN_BY": "OVERLAP",
-        "ENDS": "OVERLAP", "ENDED_BY": "OVERLAP", "SIMULTANEOUS": "OVERLAP",
-    },
-    "REDUCED": {"IBEFORE": "BEFORE", "IAFTER": "AFTER", "BEGINS": "IS_INCLUDED", "BEGUN_BY": "INCLUDES", "ENDS": "IS_INCLUDED", "ENDED_BY": "INCLUDES"},
-    "BASIC": {"IBEFORE": "BEFORE", "IAFTER": "AFTER", "BEGINS": "IS_INCLUDED", "BEGUN_BY": "INCLUDES", "ENDS": "IS_INCLUDED", "ENDED_BY": "INCLUDES", "OVERLAP": "VAGUE"},
+# The label sets of each relation mode, as what a relation becomes and what all others become (None: themselves).
+MODES: dict[str, tuple[dict[str, str], str | None]] = {
+    "FULL": ({}, None),
+    "SYMMETRY": ({"IBEFORE": "BEFORE", "INCLUDES": "OVERLAP", "BEGINS": "OVERLAP", "ENDS": "OVERLAP", "SIMULTANEOUS": "OVERLAP"}, None),
+    "BEFORE": ({"BEFORE": "BEFORE", "IBEFORE": "BEFORE"}, "NONE"),
+    "TEMPEVAL": ({"BEFORE": "BEFORE", "AFTER": "AFTER", "NONE": "NONE", "BEFORE_OR_OVERLAP": "BEFORE_OR_OVERLAP", "OVERLAP_OR_AFTER": "OVERLAP_OR_AFTER", "IBEFORE": "BEFORE"}, "OVERLAP"),
+    "REDUCED": ({"IBEFORE": "BEFORE", "BEGINS": "INCLUDES", "ENDS": "INCLUDES"}, None),
+    "BASIC": ({"IBEFORE": "BEFORE", "INCLUDES": "OVERLAP", "BEGINS": "OVERLAP", "ENDS": "OVERLAP", "SIMULTANEOUS": "OVERLAP"}, None),
 }
+# Relations whose ids a mode turns.
+TURNED_BY_MODE = {"REDUCED": ["BEGINS", "ENDS"]}
 # Relations that a link in one direction never has.
 TURNED = ["AFTER", "IAFTER", "IS_INCLUDED", "BEGUN_BY", "ENDED_BY"]
 # One-letter labels of annotation files, fine-grained ones included.
@@ -60,7 +59,26 @@ def normalised(relation: Column) -> Column:
 
 
 def reduced(relation: Column, mode: str) -> Column:
-    return mapped(relation, MODES[mode])
+    """The relation's name in a mode; reduced_links() also turns ids where a mode does."""
+    table, other = MODES[mode]
+    out = mapped(relation, table)
+    return out if other is None else F.when(relation.isin(*table), out).when(relation.isNotNull(), F.lit(other))
+
+
+def turned(links: DataFrame, turn: Column) -> DataFrame:
+    """links with their ids exchanged where turn holds."""
+    return links.withColumns({"id1": F.when(turn, F.col("id2")).otherwise(F.col("id1")), "id2": F.when(turn, F.col("id1")).otherwise(F.col("id2"))})
+
+
+def reduced_links(links: DataFrame, mode: str) -> DataFrame:
+    """links (id1, id2, relation) in a mode's relations."""
+    turn = F.col("relation").isin(*TURNED_BY_MODE.get(mode, [])) if mode in TURNED_BY_MODE else F.lit(False)
+    return turned(links, turn).withColumn("relation", reduced(F.col("relation"), mode))
+
+
+def by_confidence(links: DataFrame) -> DataFrame:
+    """links, the most confident first; ties by document and ids."""
+    return links.orderBy(F.desc("confidence"), "doc", "id1", "id2")
 
 
 def expanded_label(label: Column) -> Column:

@@ -50,10 +50,15 @@ def _moment(year: Column, month: Column, day: Column, hour: Column, minute: Colu
     return F.timestamp_seconds(F.unix_seconds(F.date_add(first, day - 1).cast("timestamp")) + hour * 3600 + minute * 60 + second)
 
 
-def span(value: Column, compat: bool = True) -> Span:
-    """The range of a value; null for durations, sets, references and values of no known form."""
+def span_of(value: Column, compat: bool = True) -> Column:
+    """Struct low and high, or null, of a value: parsed once, by one pattern, into an array that a lambda holds."""
+    found = F.split(F.regexp_replace(value, FORM, "|".join(f"${k}" for k in range(1, 11))), "\\|", -1)
+    return F.element_at(F.transform(F.array(found), lambda g: _span(value, g, compat)), 1)
+
+
+def _span(value: Column, groups: Column, compat: bool) -> Column:
     def group(k: int) -> Column:
-        return F.regexp_extract(value, FORM, k)
+        return F.coalesce(F.get(groups, F.lit(k - 1)), F.lit(""))
 
     year_low, year_high = _int(F.rpad(group(1), 4, "0")), _int(F.rpad(group(1), 4, "9"))
     month, day, week, season, part = _int(group(2)), _int(group(3)), _int(group(4)), group(5), group(6)
@@ -69,8 +74,19 @@ def span(value: Column, compat: bool = True) -> Span:
     low = _moment(year_low, low_month, F.coalesce(day_low, F.lit(1)), F.coalesce(clock[0], _from(HOURS, named, 0), F.lit(0)), F.coalesce(clock[1], F.lit(0)), F.coalesce(clock[2], F.lit(0)))
     high = _moment(high_year, high_month, F.coalesce(day_high, last_day), F.coalesce(clock[0], _from(HOURS, named, 1), F.lit(23)), F.coalesce(clock[1], F.lit(59)), F.coalesce(clock[2], F.lit(59)))
     # A clock needs a day or a week before it.
-    ok = F.regexp_like(value, F.lit(FORM)) & F.coalesce(month, F.lit(1)).between(1, 12) & (~value.contains("T") | (group(3) != "") | (group(4) != ""))
-    return Span(F.when(ok, low), F.when(ok, high))
+    ok = (F.size(groups) == 10) & F.coalesce(month, F.lit(1)).between(1, 12) & (~value.contains("T") | (group(3) != "") | (group(4) != ""))
+    return F.when(ok, F.struct(low.alias("low"), high.alias("high")))
+
+
+def span(value: Column, compat: bool = True) -> Span:
+    """The range of a value; null for durations, sets, references and values of no known form."""
+    both = span_of(value, compat)
+    return Span(both["low"], both["high"])
+
+
+def ranged(rows, type_: str = "type", value: str = "value", compat: bool = True):
+    """rows with low and high; durations and sets have none, whatever their value."""
+    return spanned(rows.withColumn("_value", F.when(~F.coalesce(F.col(type_).isin("DURATION", "SET"), F.lit(False)), F.col(value))), "_value", compat).drop("_value")
 
 
 def is_reference(value: Column) -> Column:
@@ -91,8 +107,7 @@ def ordered(low1: Column, high1: Column, low2: Column, high2: Column) -> Column:
 
 def spanned(rows, value: str = "value", compat: bool = True):
     """rows with low and high, the range of column value: worked out once for each value, before values meet in pairs."""
-    own = span(F.col(value), compat)
-    return rows.withColumns({"low": own.low, "high": own.high})
+    return rows.withColumn("_span", span_of(F.col(value), compat)).withColumns({"low": F.col("_span.low"), "high": F.col("_span.high")}).drop("_span")
 
 
 def _related(type1: Column, value1: Column, a: Span, type2: Column, value2: Column, b: Span) -> Column:

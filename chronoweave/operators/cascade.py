@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.maths import ratio
 from chronoweave.functions.relations import canonical
-from chronoweave.operators.closure import closure, written
+from chronoweave.operators.closure import closure
+from chronoweave.scratch import written
 
 LINK = ["doc", "id1", "id2", "relation"]
 

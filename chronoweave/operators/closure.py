@@ -7,27 +7,16 @@ the order of the links, which matters where a pair can be derived with two relat
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions.relations import COMPOSITION, canonical, composition, inverted, status
+from chronoweave.scratch import written
 
 COMPOSED = sorted({r for row in COMPOSITION for r in row})
 SCHEMA = "doc string, id1 string, id2 string, relation string, closed boolean"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """A table in the cluster's shared folder, to cut the growing plan."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="chronoweave-")
-    path = f"{base.rstrip('/')}/closure-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _both_ways(links: DataFrame) -> DataFrame:
     forward = links.select("doc", F.col("id1").alias("src"), F.col("id2").alias("dst"), "relation")
     return forward.union(links.select("doc", "id2", "id1", inverted(F.col("relation"))))
@@ -59,11 +48,15 @@ def closure(links: DataFrame) -> DataFrame:
         added = written(added.select("doc", F.col("lo").alias("id1"), F.col("hi").alias("id2"), "relation", F.lit(True).alias("closed"), F.lit(turn + 1).alias("round")))
         if added.isEmpty():
             return known.drop("round")
-        known, turn = written(known.unionByName(added)), turn + 1
+        known, turn = known.unionByName(added), turn + 1  # a table for each round: nothing is written twice
 
 
 def closure_in_order(links: DataFrame) -> DataFrame:
-    """As closure(), deriving from pairs of links in the order of column ordinal; the first relation derived stays."""
+    """As closure(), deriving from pairs of links in the order of column ordinal; the first relation derived stays.
+
+    All pairs of a document's links are tried, in one task: exact for annotated texts of a few thousand links, and
+    not meant for larger documents, where closure() is.
+    """
     import pandas as pd
 
     table = {(a, b): c for a, b, c in COMPOSITION}

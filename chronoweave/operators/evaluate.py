@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions.maths import f1, ratio
 from chronoweave.functions.relations import canonical, inverted
+from chronoweave.scratch import numbered
 
 #: Labels that scores are given for.
 SCORED = ["BEFORE", "AFTER", "SIMULTANEOUS", "INCLUDES", "IS_INCLUDED", "VAGUE"]
@@ -158,10 +159,9 @@ def split(docs: DataFrame, dev: list[str], test: list[str]) -> DataFrame:
 
 def folds(docs: DataFrame, k: int, order: str = "doc") -> DataFrame:
     """docs with fold 0 to k - 1 by position; the last fold takes the remainder."""
-    w = Window.orderBy(order)
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    size = F.greatest(F.floor(F.count("*").over(every) / k), F.lit(1))
-    return docs.withColumn("fold", F.least(F.floor((F.row_number().over(w) - 1) / size), F.lit(k - 1)).cast("int"))
+    rows = numbered(docs, order, "_number")
+    size = max(1, rows.count() // k)
+    return rows.withColumn("fold", F.least(F.floor(F.col("_number") / size), F.lit(k - 1)).cast("int")).drop("_number")
 
 
 def window_pair_counts(events: DataFrame, reach: int = 1) -> DataFrame:

@@ -58,11 +58,13 @@ def tagged_timexes(sents: DataFrame, dcts: DataFrame) -> DataFrame:
 
     idx is the token at which the expression starts; ids run through the document.
     """
-    found = F.regexp_extract_all("text", F.lit(TIMEX), F.lit(0))
-    pieces = F.split("text", TIMEX, -1)
     n_tokens = lambda s: F.size(F.regexp_extract_all(s, F.lit(TOKEN), F.lit(0)))
-    start = lambda i: F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda a, s: a + n_tokens(s)) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda a, s: a + n_tokens(s)) + 1
-    rows = sents.withColumn("t", F.explode(F.transform(found, lambda t, i: F.struct(t.alias("text"), start(i).alias("idx"), n_tokens(t).alias("len")))))
+    rows = sents.withColumn("found", F.regexp_extract_all("text", F.lit(TIMEX), F.lit(0))).where("size(found) > 0")
+    # Tokens of each piece between and each expression are counted once; starts are sums of those counts.
+    rows = rows.withColumns({"between": F.transform(F.split("text", TIMEX, -1), n_tokens), "lengths": F.transform("found", n_tokens)})
+    total = lambda counts, n: F.aggregate(F.slice(counts, F.lit(1), n), F.lit(0), lambda a, x: a + x)
+    start = lambda i: total("between", i + 1) + total("lengths", i) + 1
+    rows = rows.withColumn("t", F.explode(F.transform("found", lambda t, i: F.struct(t.alias("text"), start(i).alias("idx"), F.get("lengths", i).alias("len")))))
     rows = rows.select("doc", "sid", "t.*").join(dcts.select("doc", F.to_date(F.substring("value", 1, 10)).cast("string").alias("dct")), "doc", "left")
     order = Window.partitionBy("doc").orderBy("sid", "idx")
     value = timex_value(F.col("text"), F.col("dct"))
@@ -90,16 +92,23 @@ def rule_events(tagged: DataFrame) -> DataFrame:
 
 
 def group_tense(tagged: DataFrame) -> DataFrame:
-    """doc, sid, idx, tense of each verb, from the verbs, adverbs and TO that lead up to it."""
-    w = Window.partitionBy("doc", "sid").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    part = F.regexp_like("pos", F.lit("^(VB|MD|TO|RB)"))
-    breaks = tagged.withColumn("group", F.sum((~part).cast("int")).over(w)).where(part)
-    run = Window.partitionBy("doc", "sid", "group").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    words, tags = F.collect_list(F.lower("token")).over(run), F.collect_list("pos").over(run)
-    own = breaks.withColumns({"words": words, "tags": tags}).where(F.startswith("pos", F.lit("VB")))
-    has = lambda column, *values: F.arrays_overlap(F.col(column), F.array(*map(F.lit, values)))
-    modal = F.exists("tags", lambda t: t == "MD")
-    tense = F.when(has("words", "will", "wo", "'ll"), "FUTURE").when(has("tags", "VBD") | (has("tags", "VB", "VBP", "VBZ", "VBG") & (F.col("pos") == "VBN")), "PAST").when(has("words", "should", "shall", "could"), "PRESENT").when(modal, F.lit(None)).otherwise("PRESENT")
+    """doc, sid, idx, tense of each verb, from the run of verbs, TO and adverbs that ends in it and the word before that run.
+
+    will and wo before it make a run FUTURE; a run that begins with a past form, or with a base form and a past participle,
+    is PAST; should, shall and could before it make any other FUTURE; other modals leave it open (null); the rest is PRESENT.
+    """
+    w = Window.partitionBy("doc", "sid").orderBy("idx")
+    part = F.regexp_like("pos", F.lit("^(VB|TO|RB)"))
+    runs = tagged.withColumns({"run": F.sum((~part).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)), "word_before": F.lag("token").over(w), "tag_before": F.lag("pos").over(w)}).where(part)
+    run = Window.partitionBy("doc", "sid", "run").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    verbs = F.collect_list(F.when(F.startswith("pos", F.lit("VB")), F.col("pos"))).over(run)
+    own = runs.withColumns({"verbs": verbs, "word": F.first("word_before").over(run), "tag": F.first("tag_before").over(run)}).where(F.startswith("pos", F.lit("VB")))
+    first, second = F.get("verbs", F.lit(0)), F.get("verbs", F.lit(1))
+    modal, word = F.coalesce(F.col("tag") == "MD", F.lit(False)), F.coalesce("word", F.lit(""))
+    tense = (
+        F.when(modal & word.isin("will", "wo"), "FUTURE").when((first == "VBD") | ((first == "VB") & F.coalesce(second == "VBN", F.lit(False))), "PAST")
+        .when(word.isin("should", "shall", "could"), "FUTURE").when(~modal, "PRESENT")
+    )
     return own.select("doc", "sid", "idx", tense.alias("tense"))
 
 

@@ -8,8 +8,6 @@ from pyspark.sql import types as T
 
 from chronoweave.functions.text import decoded_token, encoded_token
 
-NAMESPACE = "http://chambers.com/corpusinfo"
-
 
 def _attributes(names: str, kinds: dict[str, T.DataType] | None = None) -> T.StructType:
     return T.StructType([T.StructField(f"_{n}", (kinds or {}).get(n, T.StringType())) for n in names.split()])
@@ -103,5 +101,6 @@ def nested(sents: DataFrame, toks: DataFrame, evs: DataFrame, txs: DataFrame, ln
     return docs.withColumnRenamed("doc", "_name")
 
 
-def write(docs: DataFrame, path: str) -> None:
-    docs.write.format("xml").option("rootTag", f'root xmlns="{NAMESPACE}"').option("rowTag", "file").mode("overwrite").save(path)
+def write(docs: DataFrame, path: str, namespace: str) -> None:
+    """One root of files; the name space is the corpus's own, and readers don't look at it."""
+    docs.write.format("xml").option("rootTag", f'root xmlns="{namespace}"').option("rowTag", "file").mode("overwrite").save(path)

@@ -216,7 +216,7 @@ def test_annotation_files(spark, tmp_path):
 def test_corpus_files_round_trip(spark, corpus, tmp_path):
     sents = spark.createDataFrame([("d", 0, "Officials said", "(S (NNS Officials) (VBD said))", "nsubj(said-2, Officials-1)"), ("d", 1, "He", None, None)], "doc string, sid int, text string, parse string, deps string")
     links = spark.createDataFrame([("d", "ei1", "ei2", "BEFORE", False, "x")], "doc string, id1 string, id2 string, relation string, closed boolean, origin string")
-    infofile.write(infofile.nested(sents, corpus.tokens, corpus.events, corpus.timexes, links, corpus.dcts), str(tmp_path / "x"))
+    infofile.write(infofile.nested(sents, corpus.tokens, corpus.events, corpus.timexes, links, corpus.dcts), str(tmp_path / "x"), "urn:corpus")
     docs = infofile.files(spark, str(tmp_path / "x"))
     assert infofile.sentences(docs).count() == 2 and infofile.tokens(docs).orderBy("sid", "idx").first().token == "Officials" and infofile.tokens(docs).count() == corpus.tokens.count()
     assert {(r.id, r.idx, r.tense) for r in infofile.events(docs).collect()} == {(e[3], e[2], e[6]) for e in EVENTS}

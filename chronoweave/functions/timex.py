@@ -34,7 +34,8 @@ class Span:
 
 
 def _int(text: Column) -> Column:
-    return F.expr("null").cast("int") if text is None else text.try_cast("int")
+    """A group of digits as a number; null where it is empty or stands for any number. No failing cast is tried: that costs an exception."""
+    return F.when(~text.isin("", "XX"), text.cast("int"))
 
 
 def _from(table: dict, key: Column, k: int) -> Column:
@@ -52,7 +53,7 @@ def _moment(year: Column, month: Column, day: Column, hour: Column, minute: Colu
 
 def span_of(value: Column, compat: bool = True) -> Column:
     """Struct low and high, or null, of a value: parsed once, by one pattern, into an array that a lambda holds."""
-    found = F.split(F.regexp_replace(value, FORM, "|".join(f"${k}" for k in range(1, 11))), "\\|", -1)
+    found = F.split(F.regexp_replace(value, FORM, "\u0001".join(f"${k}" for k in range(1, 11))), "\u0001", -1)
     return F.element_at(F.transform(F.array(found), lambda g: _span(value, g, compat)), 1)
 
 

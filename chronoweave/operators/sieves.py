@@ -128,12 +128,38 @@ def reichenbach(c: Corpus, window: int = 1, same_sentence: bool = True, contexts
         for k in (1, 2):
             both = both.join(timed.select("doc", F.col("event").alias(f"id{k}"), F.col("context").alias(f"context{k}")), ["doc", f"id{k}"], "left")
         both = both.where(F.col("context1").eqNullSafe(F.col("context2")))
+    return _by_states(both, simple_past, simple_present, simple_aspect)
+
+
+def reichenbach_in_contexts(c: Corpus, **simple: bool) -> DataFrame:
+    """As reichenbach(), for verbs that share a context: an event and all that it governs."""
+    edges = pairs.governed(c.events, c.deps)
+    context = edges.select("doc", F.col("id1").alias("ctx"), F.col("id1").alias("id")).union(edges.select("doc", F.col("id1"), F.col("id2"))).distinct()
+    shared = pairs.sharing_context(context)
+    verbs = c.events.where(_is_verb("pos"))
+    side = lambda k: verbs.select("doc", *[F.col(n).alias(f"{n}{k}") for n in ("id", "sid", "idx", "tense", "aspect")])
+    both = shared.union(shared.select("doc", F.col("id2"), F.col("id1"))).join(side(1), ["doc", "id1"]).join(side(2), ["doc", "id2"]).where("(sid1, idx1) < (sid2, idx2)")
+    return _by_states(both, **simple)
+
+
+def _by_states(both: DataFrame, simple_past: bool = True, simple_present: bool = True, simple_aspect: bool = True) -> DataFrame:
     rows = [(a, b, r) for a, line in zip(REICHENBACH_STATES, REICHENBACH, strict=True) for b, r in zip(REICHENBACH_STATES, line.split(), strict=True) if r != "-"]
-    rules = F.broadcast(c.events.sparkSession.createDataFrame(rows, "s1 string, s2 string, relation string"))
+    rules = F.broadcast(both.sparkSession.createDataFrame(rows, "s1 string, s2 string, relation string"))  # a fixed table
     both = both.withColumns({f"s{k}": _state(f"tense{k}", f"aspect{k}", simple_past, simple_present, simple_aspect) for k in (1, 2)})
     return both.join(rules, ["s1", "s2"]).select(*LINK)
 
 
+def times_in_order(c: Corpus) -> DataFrame:
+    """All pairs of a document's time expressions that lie one before the other; PRESENT_REF counts as the creation day."""
+    day = c.dcts.groupBy("doc").agg(F.min_by("value", "id").alias("dct"))
+    times = c.timexes.select("doc", "sid", "idx", "id", "value").join(day, "doc", "left").withColumn("value", F.when(F.col("value") == "PRESENT_REF", F.coalesce("dct", "value")).otherwise(F.col("value"))).drop("dct")
+    side = lambda k: times.select("doc", *[F.col(n).alias(f"{n}{k}") for n in ("sid", "idx", "id", "value")])
+    both = side(1).join(side(2), "doc").where("(sid1, idx1, id1) < (sid2, idx2, id2)")
+    ahead, behind = tx.earlier(F.col("value1"), F.col("value2")), tx.earlier(F.col("value2"), F.col("value1"))
+    out = both.withColumn("ahead", F.when(ahead, True).when(behind, False)).where("ahead IS NOT NULL")
+    return out.select("doc", F.when(F.col("ahead"), F.col("id1")).otherwise(F.col("id2")).alias("id1"), F.when(F.col("ahead"), F.col("id2")).otherwise(F.col("id1")).alias("id2"), F.lit("BEFORE").alias("relation"))
+
+
 def clause_dependency(c: Corpus) -> DataFrame:
     """Event pairs with a dependency, by its name and the events' tense, aspect and class."""
     both = pairs.governed(c.events, c.deps)
@@ -290,7 +316,7 @@ def same_tense_order(c: Corpus, compat: bool = True) -> DataFrame:
 
 #: The sieves by name, as lists of names in configuration files refer to them.
 REGISTRY = {f.__name__: f for f in (
-    adjacent_verb_timex, time_time, reporting_governs, reichenbach, clause_dependency, same_sense, reporting_on_creation_day, all_vague, event_creation_time,
+    adjacent_verb_timex, time_time, reporting_governs, reichenbach, reichenbach_in_contexts, times_in_order, clause_dependency, same_sense, reporting_on_creation_day, all_vague, event_creation_time,
     said_at_creation_time, text_order, coreferent, nominal, intended_governs, same_tense_vague, frequent_vague, reporting_before_quarter, state_governs_state, before_word, same_tense_order,
 )}
 #: The cascade by default, most precise first; same_sense needs a lexicon and learned sieves models.

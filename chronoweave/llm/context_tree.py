@@ -35,7 +35,7 @@ SHORTEST, LONGEST = 2, 6
 #: Bytes of text after a leaf's context beyond which it is split by one more byte.
 LEAF_BYTES = 1 << 23
 #: Bytes of text in a shard, and grams that are weighed at a time.
-SHARD_BYTES, BATCH_GRAMS = 8 << 20, 1 << 19
+SHARD_BYTES, BATCH_GRAMS = 10 << 20, 1 << 19
 #: Rows of an Arrow batch: shards, leaves and what they tell each other are large.
 BATCH_ROWS = 256
 #: Words whose counts are broadcast, and the length of the longest of them: a bound of 8 MB.

@@ -124,3 +124,100 @@ def shared_senses(words: DataFrame, senses: DataFrame) -> DataFrame:
     """words (doc, id, lemma) with synsets, the array of their senses."""
     each = senses.groupBy("lemma").agg(F.sort_array(F.collect_set("synset")).alias("synsets"))
     return words.join(each, "lemma", "left").withColumn("synsets", F.coalesce("synsets", F.array().cast("array<string>")))
+
+
+def _tree(rows: list[tuple]) -> tuple[list[list[int]], dict[int, int]]:
+    """Children of each node, and the leaf that stands at each token."""
+    below: list[list[int]] = [[] for _ in rows]
+    for node, parent, *_ in rows:
+        if parent >= 0:
+            below[parent].append(node)
+    return below, {r[4]: r[0] for r in rows if r[3] is not None}
+
+
+def main_verb(rows: list[tuple]) -> int | None:
+    """The token of a clause's main verb: the last verb of the innermost verb phrase; only plain and inverted clauses have one."""
+    below, _ = _tree(rows)
+    label = lambda n: rows[n][2]
+    at = 0
+    if rows and label(0) in ("ROOT", "") and len(below[0]) == 1:
+        at = below[0][0]
+    while rows and label(at) in ("S", "SINV"):
+        phrase = next((n for n in below[at] if label(n) == "VP"), None)
+        if phrase is None:
+            if not below[at] or label(below[at][0]) != "S":
+                return None
+            at = below[at][0]
+            continue
+        while (inner := next((n for n in below[phrase] if label(n) == "VP"), None)) is not None:
+            phrase = inner
+        verbs = [n for n in below[phrase] if label(n).startswith("VB")]
+        return rows[verbs[-1]][4] if verbs else None
+    return None
+
+
+def _up(rows: list[tuple], node: int) -> list[int]:
+    out = [node]
+    while rows[out[-1]][1] >= 0:
+        out.append(rows[out[-1]][1])
+    return out
+
+
+def path_to_clause(rows: list[tuple], token: int) -> str | None:
+    """Labels from the nearest clause (S or SBAR), or the root, down to a token's tag."""
+    _, leaf = _tree(rows)
+    if token not in leaf:
+        return None
+    labels = []
+    for n in _up(rows, leaf[token]):
+        labels.append(rows[n][2])
+        if len(labels) > 1 and labels[-1] in ("S", "SBAR"):
+            break
+    return "-".join(reversed(labels))
+
+
+def path_between(rows: list[tuple], a: int, b: int) -> str | None:
+    """Labels from one token's tag up to the node that holds both (+) and down to the other's (-)."""
+    _, leaf = _tree(rows)
+    if a not in leaf or b not in leaf:
+        return None
+    up, down = _up(rows, leaf[a]), _up(rows, leaf[b])
+    shared = next(n for n in up if n in down)
+    return "+".join(rows[n][2] for n in up[: up.index(shared) + 1]) + "".join("-" + rows[n][2] for n in reversed(down[: down.index(shared)]))
+
+
+def preposition_of(rows: list[tuple], token: int) -> str | None:
+    """The preposition whose phrase a token's phrase, or the clause around it, is."""
+    _, leaf = _tree(rows)
+    above = _up(rows, leaf[token])[2:] if token in leaf else []
+    if above and rows[above[0]][2] != "PP":
+        first = rows[above[0]][2]
+        while above and rows[above[0]][2] == first:
+            above = above[1:]
+    if above and rows[above[0]][2] == "S":
+        above = above[1:]
+    if not above or rows[above[0]][2] != "PP":
+        return None
+    return next((r[3] for r in rows if r[1] == above[0] and r[2] == "IN"), None)
+
+
+def flat_phrases(rows: list[tuple], label: str = "NP") -> list[tuple[int, int]]:
+    """Spans of phrases of a label that hold no other such phrase."""
+    inside = {m for r in rows if r[2] == label for m in _up(rows, r[0])[1:]}
+    return [(r[4], r[5]) for r in rows if r[2] == label and r[0] not in inside]
+
+
+def tree_facts(sents: DataFrame) -> DataFrame:
+    """doc, sid, idx, token, pos, path, preposition, is_main of every token of parsed sentences (doc, sid, parse)."""
+    schema = pa.schema([("doc", pa.string()), ("sid", pa.int32()), ("idx", pa.int32()), ("token", pa.string()), ("pos", pa.string()), ("path", pa.string()), ("preposition", pa.string()), ("is_main", pa.bool_())])
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                rows = parsed(r["parse"] or "")
+                main = main_verb(rows)
+                out += [{"doc": r["doc"], "sid": r["sid"], "idx": n[4], "token": n[3], "pos": n[2], "path": path_to_clause(rows, n[4]), "preposition": preposition_of(rows, n[4]), "is_main": n[4] == main} for n in rows if n[3] is not None]
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return sents.select("doc", "sid", "parse").mapInArrow(run, "doc string, sid int, idx int, token string, pos string, path string, preposition string, is_main boolean")

@@ -112,11 +112,21 @@ def previous(entities: DataFrame) -> DataFrame:
     return entities.withColumn("id1", F.lag("id").over(w)).where("id1 IS NOT NULL").select("doc", "id1", F.col("id").alias("id2"))
 
 
-def main_events(events: DataFrame) -> DataFrame:
-    """The first event of each sentence with that of the next sentence that has one."""
-    first = events.groupBy("doc", "sid").agg(F.min_by("id", F.struct("idx", "id")).alias("id1"))
-    w = Window.partitionBy("doc").orderBy("sid")
-    return first.withColumn("id2", F.lead("id1").over(w)).where("id2 IS NOT NULL").select("doc", "id1", "id2")
+def main_events(events: DataFrame, mains: DataFrame | None = None) -> DataFrame:
+    """The main event of each sentence with that of the next sentence that has one; with mains, of the very next sentence.
+
+    mains (doc, sid, idx) names main verbs, as graphs.tree_facts() finds them: the event there or, if none is, the closest one; a
+    sentence of several events without a main verb has no main event. Without mains the first event stands for it.
+    """
+    own, step = events.withColumn("far", F.lit(0)), F.lead("id1")
+    if mains is not None:
+        count = F.count("*").over(Window.partitionBy("doc", "sid"))
+        own = events.withColumn("n", count).join(mains.select("doc", "sid", F.col("idx").alias("main")), ["doc", "sid"], "left").where("n = 1 OR main IS NOT NULL").withColumn("far", F.coalesce(F.abs(F.col("idx") - F.col("main")), F.lit(0)))
+    first = own.groupBy("doc", "sid").agg(F.min_by("id", F.struct("far", "idx", "id")).alias("id1"))
+    if mains is None:
+        return first.withColumn("id2", step.over(Window.partitionBy("doc").orderBy("sid"))).where("id2 IS NOT NULL").select("doc", "id1", "id2")
+    then = first.select("doc", (F.col("sid") - 1).alias("sid"), F.col("id1").alias("id2"))
+    return first.join(then, ["doc", "sid"]).select("doc", "id1", "id2")
 
 
 def closest_timex(paths: DataFrame, dcts: DataFrame, events: DataFrame) -> DataFrame:

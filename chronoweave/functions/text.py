@@ -81,3 +81,13 @@ def grammatical_group(relation: Column) -> Column:
 def is_event_tag(tag: Column) -> Column:
     """Tags that a token needs to be an event."""
     return F.regexp_like(F.upper(tag), F.lit("^(NN|VB|J)")) | F.upper(tag).isin("IN", "RP")
+
+
+def trailing_space(text: Column) -> Column:
+    """The white space at the end of a text."""
+    return F.regexp_extract(text, r"(\s*)$", 1)
+
+
+def shown(values: Column, n: int) -> Column:
+    """The first n values of an array with blanks between."""
+    return F.array_join(F.slice(values, 1, n), " ")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from chronoweave.functions.relations import expanded_label, normalised
 
 ID = r"[et]i?\d+"
+#: Attributes of one attribute-relation table at most: their names go to every task.
+MOST_NAMES = 1 << 16
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:
@@ -82,6 +84,8 @@ def write_attribute_relation(rows: DataFrame, path: str, name: str = "features")
     values = F.transform("features", lambda f: F.struct(F.substring_index(f, ":", 1).alias("k"), F.element_at(F.split(f, ":"), -1).alias("v")))
     own = rows.select("label", F.map_from_entries(values).alias("m"))
     names = own.select(F.explode(F.map_keys("m")).alias("k")).groupBy("k").count().select("k")
+    if names.count() > MOST_NAMES:
+        raise ValueError(f"a table of more than {MOST_NAMES} attributes; drop rare features first")
     order = names.agg(F.sort_array(F.collect_list("k")).alias("names"))  # the attributes of one table
     line = F.concat_ws(",", F.transform("names", lambda k: F.coalesce(F.element_at("m", k), F.lit("0"))), "label")
     own.join(F.broadcast(order)).select(line.alias("value")).write.text(f"{path}/data")
@@ -92,3 +96,22 @@ def write_attribute_relation(rows: DataFrame, path: str, name: str = "features")
 def lines_as_files(rows: DataFrame, path: str, head: str = "<text>", tail: str = "</text>") -> None:
     """Each line (doc, value) wrapped as a document of its own, in a folder by doc."""
     rows.select("doc", F.format_string(f"{head}%s{tail}", F.col("value")).alias("value")).write.partitionBy("doc").text(path)
+
+
+def write_progress(rows: DataFrame, path: str) -> None:
+    """How far an annotator has come: ordinal, ids and the label given so far, empty where there is none, in a folder for each document."""
+    line = F.concat_ws("\t", F.col("ordinal").cast("string"), "id1", "id2", F.coalesce("label", F.lit("")))
+    rows.select("doc", line.alias("value")).write.partitionBy("doc").text(path)
+
+
+def write_sentences(tokens: DataFrame, path: str) -> None:
+    """A line of tokens for each sentence (doc, sid, idx, token), as outside taggers read them, in a folder for each document."""
+    lines = tokens.groupBy("doc", "sid").agg(F.array_sort(F.collect_list(F.struct("idx", "token"))).alias("t"))
+    ordered = lines.repartition("doc").sortWithinPartitions("doc", "sid")
+    ordered.select("doc", F.array_join(F.transform("t", lambda t: t["token"]), " ").alias("value")).write.partitionBy("doc").text(path)
+
+
+def write_features_with_pairs(rows: DataFrame, path: str) -> None:
+    """The feature file, and beside it the same rows with their ids, for reading by people."""
+    write_features(rows, f"{path}/features")
+    rows.select(F.concat_ws("\t", "doc", "id1", "id2", "label", F.array_join("features", "\t"))).write.text(f"{path}/debug")

@@ -21,3 +21,12 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="module", autouse=True)
+def engine_scratch(spark):
+    """Tables that a module's tests made go with it."""
+    yield
+    from chronoweave import scratch
+
+    scratch.clear(spark)

@@ -43,8 +43,8 @@ FREQUENT, FREQUENT_BYTES = 1 << 16, 64
 #: Distinct words that a task adds up before it hands them on.
 FLUSH = 1 << 19
 END = b"\xff"
-#: Logarithms are handed back as 24-bit numbers of steps of 1 / STEPS: no byte is less likely than 10 ** -1024.
-STEPS = 1 << 14
+#: Logarithms are handed back as 24-bit numbers of steps of 1 / STEPS: no byte is less likely than 10 ** -256.
+STEPS = 1 << 16
 
 
 def normal(text: bytes | None) -> bytes:

@@ -38,8 +38,8 @@ LEAF_BYTES = 1 << 23
 SHARD_BYTES, BATCH_GRAMS = 10 << 20, 1 << 19
 #: Rows of an Arrow batch: shards, leaves and what they tell each other are large.
 BATCH_ROWS = 256
-#: Words whose counts are broadcast, and the length of the longest of them: a bound of 8 MB.
-FREQUENT, FREQUENT_BYTES = 1 << 16, 64
+#: Words whose counts are broadcast, and the length of the longest of them: a bound of 12 MB.
+FREQUENT, FREQUENT_BYTES = 1 << 17, 64
 #: Distinct words that a task adds up before it hands them on.
 FLUSH = 1 << 19
 END = b"\xff"
@@ -69,7 +69,7 @@ def packed(docs: DataFrame, shard_bytes: int) -> DataFrame:
         import zstandard
         from pyspark import TaskContext
 
-        part, zip_ = TaskContext.get().partitionId() << 36, zstandard.ZstdCompressor(level=3)
+        part, zip_ = TaskContext.get().partitionId() << 36, zstandard.ZstdCompressor(level=1)
         held, size, row, shard = [], 0, 0, 0
 
         def flush():

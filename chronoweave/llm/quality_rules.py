@@ -194,23 +194,29 @@ def fit(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float =
     return common.written(certify(labelled, proposed, alpha, delta), "rules-cutoffs")
 
 
+def verdicts(rows: DataFrame, labels: DataFrame, stratum: str, stats: str, name: str) -> DataFrame:
+    """rows with a struct column name in place of stats (of with_statistics()): COUNTS, base_failed, kept and reasons, the rules that reject."""
+    key, cuts = common.fresh(rows.withColumn(name, F.lit(0)), "stratum_key", "cuts")
+    own = common.written(rows.withColumn(key, F.coalesce(F.col(stratum).cast("string"), F.lit("und"))), "rules-statistics")
+    found = fit(own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias("stratum"), F.col(stats).alias("stats")), labels)
+    found = found.select(F.col("stratum").alias(key), F.col("cuts").alias(cuts))
+    few = found.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
+    out = own.join(F.broadcast(found) if few else found, key, "left")
+    reasons = F.array_compact(F.array(*[F.when(v > F.col(cuts)[r], r) for r, v in values(F.col(stats)).items()]))
+    failed = base_failed(F.col(stats))
+    verdict = F.struct(*[F.col(stats)[c].alias(c) for c in COUNTS], failed.alias("base_failed"), (~failed & (F.size(reasons) == 0)).alias("kept"), reasons.alias("reasons"))
+    return out.withColumn(name, verdict).select(*[c for c in rows.columns if c not in (name, stats)], name)
+
+
 def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", name: str = "verdict") -> DataFrame:
     """docs with a struct column name: COUNTS, base_failed, kept and the rules that reject the text (reasons).
 
     Every row gets a verdict of its own, repeated ones alike; a null text counts as empty (and fails the base rules), a null
-    stratum is one of its own, a null id has no label. Other columns stay as they are; an empty table gives no rows.
+    stratum is "und", a null id has no label. Other columns stay as they are, but for one called name, which is replaced; an empty
+    table gives no rows.
     """
-    stats, key, cuts = common.fresh(docs.withColumn(name, F.lit(0)), "stats", "stratum_key", "cuts")
-    own = common.written(with_statistics(docs.withColumn(key, F.coalesce(F.col(stratum).cast("string"), F.lit("und"))), stats), "rules-statistics")
-    rows = own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias("stratum"), F.col(stats).alias("stats"))
-    found = fit(rows, labels).select(F.col("stratum").alias(key), F.col("cuts").alias(cuts))
-    few = found.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
-    out = own.join(F.broadcast(found) if few else found, key, "left")
-    value = values(F.col(stats))
-    reasons = F.array_compact(F.array(*[F.when(v > F.col(cuts)[r], r) for r, v in value.items()]))
-    failed = base_failed(F.col(stats))
-    verdict = F.struct(*[F.col(stats)[c].alias(c) for c in COUNTS], failed.alias("base_failed"), (~failed & (F.size(reasons) == 0)).alias("kept"), reasons.alias("reasons"))
-    return out.withColumn(name, verdict).select(*[c for c in docs.columns if c != name], name)
+    (stats,) = common.fresh(docs.withColumn(name, F.lit(0)), "stats")
+    return verdicts(with_statistics(docs, stats), labels, stratum, stats, name).select(*[c for c in docs.columns if c != name], name)
 
 
 def kept(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:

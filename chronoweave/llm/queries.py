@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import context_tree, line_dedup, mixing, nn_descent, packing, quality, quality_rules, rank_aggregation, simhash, token_counts, token_files
+from chronoweave.llm import collocations, context_tree, line_dedup, merkle, mixing, nn_descent, packing, quality, quality_rules, rank_aggregation, simhash, token_counts, token_files
 from chronoweave.llm.common import table, written
 
 
@@ -54,16 +54,26 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    out = quality_rules.judged(docs, table(spark, sf_dir, "labels"), name="v")
+    rows = quality_rules.with_statistics(docs, "stats").drop("text")
+    out = quality_rules.verdicts(rows, table(spark, sf_dir, "labels"), "lang", "stats", "v")
     return out.select("doc_id", *[F.col("v")[c].alias(c) for c in (*quality_rules.COUNTS, "base_failed", "kept")])
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.verified(docs, merkle.tampered(F.col("doc_id"), F.col("text"))).drop("proof")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_rank_aggregation, op3_mixing, op4_token_files, op5_token_counts,
         op6_context_tree, op7_simhash, op8_packing, op9_quality, op10_nn_descent,
-        op11_quality_rules,
+        op11_quality_rules, op12_collocations, op13_merkle_manifest,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_rank_aggregation": rank_aggregation.SQL, "op11_quality_rules": quality_rules.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_rank_aggregation": rank_aggregation.SQL, "op11_quality_rules": quality_rules.SQL, "op12_collocations": collocations.SQL}

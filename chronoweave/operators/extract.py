@@ -7,18 +7,24 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.text import is_event_tag
 
-TOKEN = r"[A-Za-z]+(?:'[a-z]+)?|\d+(?:[./:-]\d+)*|[^\sA-Za-z\d]"
-MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
-#: Forms of time expressions that tagged_timexes() finds, in this order of preference.
-TIMEX = (
-    r"\b\d{4}-\d\d-\d\d\b|\b\d{1,2}/\d{1,2}/\d{4}\b|\b(?i:" + "|".join(MONTHS) + r")(?: \d{1,2},)? \d{4}\b|\b(?:19|20)\d\d\b"
-    r"|\b(?i:today|yesterday|tomorrow|now)\b|\b(?i:last|next|this) (?i:year|month|week|quarter)\b|\b\d+ (?i:days?|weeks?|months?|years?)\b"
+#: Words without the n't, 's, 're, ... that end them, numbers with what joins and ends them, and any other character but blanks.
+TOKEN = (
+    r"[AaPp]\.[Mm]\.|[A-Za-z\u00C0-\u024F]+(?=n't\b)|n't\b|'(?:s|re|ve|ll|d|m)\b|o'clock\b|[A-Za-z\u00C0-\u024F]+"
+    r"|\d+(?:[./:-]\d+)*(?:(?:st|nd|rd|th|s)\b)?|[^\sA-Za-z\u00C0-\u024F\d]"
 )
+#: Where a sentence ends: at a line's end, and after . ! or ? before blanks and a capital or quotation mark.
+SENTENCE_END = r"((?<=\S)\s*\n\s*|(?<=[.!?])\s+(?=[A-Z\"']))"
+_CUT = "\uFDD0"  # a noncharacter, which no text holds
+
+
+def _sentences(text: Column) -> Column:
+    """The sentences of a text with the blanks that follow them: joined, they are the text."""
+    return F.split(F.regexp_replace(text, SENTENCE_END, f"$1{_CUT}"), _CUT, -1)
 
 
 def sentences(docs: DataFrame) -> DataFrame:
     """doc, sid, text of docs (doc, text): ends after . ! or ? before a blank and a capital, or at a line's end."""
-    parts = F.filter(F.split(F.col("text"), r"(?<=[.!?])\s+(?=[A-Z\"'])|\n+"), lambda s: F.trim(s) != "")
+    parts = F.filter(F.transform(_sentences(F.col("text")), lambda s: F.regexp_replace(s, r"\s+$", "")), lambda s: s != "")
     return docs.select("doc", F.posexplode(parts).alias("sid", "text"))
 
 
@@ -27,48 +33,92 @@ def tokens(sents: DataFrame) -> DataFrame:
     return sents.select("doc", "sid", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("at", "token")).select("doc", "sid", (F.col("at") + 1).alias("idx"), "token")
 
 
-def timex_value(text: Column, dct: Column) -> Column:
-    """The normalised value of a time expression, seen from the day dct (YYYY-MM-DD)."""
-    low = F.lower(text)
-    slash = F.split(text, "/")
-    month = F.lpad(F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(low, "^([a-z]+)", 1)).cast("string"), 2, "0")
-    named_day, year = F.regexp_extract(text, r" (\d{1,2}),", 1), F.regexp_extract(text, r"(\d{4})$", 1)
-    day = F.to_date(dct)
-    shift = F.when(F.startswith(low, F.lit("last")), -1).when(F.startswith(low, F.lit("next")), 1).otherwise(0)
-    unit = F.upper(F.substring(F.regexp_extract(low, r"\d+ ([a-z])", 1), 1, 1))
-    like = lambda p: F.regexp_like(low, F.lit(p))
-    return (
-        F.when(like(r"^\d{4}-\d\d-\d\d$"), text)
-        .when(like(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.concat_ws("-", slash[2], F.lpad(slash[0], 2, "0"), F.lpad(slash[1], 2, "0")))
-        .when(like(r"^[a-z]+ \d{1,2}, \d{4}$"), F.concat_ws("-", year, month, F.lpad(named_day, 2, "0")))
-        .when(like(r"^[a-z]+ \d{4}$"), F.concat_ws("-", year, month))
-        .when(like(r"^\d{4}$"), text)
-        .when(low == "today", dct).when(low == "yesterday", F.date_add(day, -1).cast("string")).when(low == "tomorrow", F.date_add(day, 1).cast("string"))
-        .when(low == "now", "PRESENT_REF")
-        .when(like("year$") & ~like(r"^\d"), (F.year(day) + shift).cast("string"))
-        .when(like("month$") & ~like(r"^\d"), F.date_format(F.add_months(day, shift), "yyyy-MM"))
-        .when(like("week$") & ~like(r"^\d"), F.concat(F.year(F.date_add(day, 7 * shift)).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(F.date_add(day, 7 * shift)).cast("string"), 2, "0")))
-        .when(like("quarter$"), F.concat(F.year(F.add_months(day, 3 * shift)).cast("string"), F.lit("-Q"), F.quarter(F.add_months(day, 3 * shift)).cast("string")))
-        .when(like(r"^\d+ "), F.concat(F.lit("P"), F.regexp_extract(low, r"^(\d+)", 1), unit))
-    )
+def token_table(docs: DataFrame) -> DataFrame:
+    """doc, sid, idx, before, token, after, start of docs (doc, text): tokens with the blanks around them and their places.
 
+    The first before and all tokens with what follows them, joined in order, give back the text; start counts code points from 0. sid
+    and idx are those of sentences() and tokens(). A null text, or one of blanks alone, has no tokens.
+    """
+    parts = F.filter(_sentences(F.col("text")), lambda s: F.regexp_like(s, F.lit(r"\S")))
+    sents = docs.select("doc", F.posexplode(parts).alias("sid", "s"))
+    sents = sents.select("doc", "sid", F.regexp_extract_all("s", F.lit(TOKEN), F.lit(0)).alias("w"), F.split("s", TOKEN, -1).alias("gaps"))
+    each = sents.select("doc", "sid", F.posexplode(F.arrays_zip(F.col("w").alias("token"), F.slice("gaps", F.lit(1), F.size("w")).alias("before"), F.slice("gaps", F.lit(2), F.size("w")).alias("after"))).alias("at", "t"))
+    order = Window.partitionBy("doc").orderBy("sid", "at")  # a document's tokens
+    to_here = order.rowsBetween(Window.unboundedPreceding, -1)
+    lead = F.first(F.length("t.before")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    start = F.coalesce(F.sum(F.length("t.token") + F.length("t.after")).over(to_here), F.lit(0)) + lead
+    before = F.when(F.col("at") == 0, F.coalesce(F.lag("t.after").over(order), "t.before")).otherwise(F.col("t.before"))
+    return each.select("doc", "sid", (F.col("at") + 1).alias("idx"), before.alias("before"), "t.token", "t.after", start.cast("int").alias("start"))
 
-def tagged_timexes(sents: DataFrame, dcts: DataFrame) -> DataFrame:
-    """doc, sid, idx, len, id, text, type, value of the time expressions in sents. dcts: doc, value.
 
-    idx is the token at which the expression starts; ids run through the document.
-    """
-    n_tokens = lambda s: F.size(F.regexp_extract_all(s, F.lit(TOKEN), F.lit(0)))
-    rows = sents.withColumn("found", F.regexp_extract_all("text", F.lit(TIMEX), F.lit(0))).where("size(found) > 0")
-    # Tokens of each piece between and each expression are counted once; starts are sums of those counts.
-    rows = rows.withColumns({"between": F.transform(F.split("text", TIMEX, -1), n_tokens), "lengths": F.transform("found", n_tokens)})
-    total = lambda counts, n: F.aggregate(F.slice(counts, F.lit(1), n), F.lit(0), lambda a, x: a + x)
-    start = lambda i: total("between", i + 1) + total("lengths", i) + 1
-    rows = rows.withColumn("t", F.explode(F.transform("found", lambda t, i: F.struct(t.alias("text"), start(i).alias("idx"), F.get("lengths", i).alias("len")))))
-    rows = rows.select("doc", "sid", "t.*").join(dcts.select("doc", F.to_date(F.substring("value", 1, 10)).cast("string").alias("dct")), "doc", "left")
+def joined_text(toks: DataFrame) -> DataFrame:
+    """doc, text: what token_table() was made of."""
+    rows = toks.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("sid", "idx", "before", "token", "after"))).alias("t"))
+    return rows.select("doc", F.concat(F.get("t", F.lit(0))["before"], F.array_join(F.transform("t", lambda x: F.concat(x["token"], x["after"])), "")).alias("text"))
+
+
+# What treebank tokens write in place of brackets and quotation marks.
+WRITTEN = {"-LRB-": "(", "-RRB-": ")", "-LSB-": "[", "-RSB-": "]", "-LCB-": "{", "-RCB-": "}", "``": '"', "''": '"'}
+
+
+def _ink(token: Column) -> Column:
+    """Characters of a token as the text has them, without blanks."""
+    written = token
+    for name, text in WRITTEN.items():
+        written = F.when(token == name, F.lit(text)).otherwise(written)
+    return F.length(F.regexp_replace(written, r"\s+", ""))
+
+
+def _inked(toks: DataFrame, *keep: str) -> DataFrame:
+    """doc, low, high and kept columns: each token's characters, counted through the document without its blanks."""
     order = Window.partitionBy("doc").orderBy("sid", "idx")
-    value = timex_value(F.col("text"), F.col("dct"))
-    return rows.select("doc", "sid", "idx", "len", F.concat(F.lit("t"), F.row_number().over(order).cast("string")).alias("id"), "text", F.when(F.startswith(value, F.lit("P")) & (value != "PRESENT_REF"), "DURATION").otherwise("DATE").alias("type"), value.alias("value"))
+    high = F.sum(_ink(F.col("token"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return toks.withColumn("high", high).withColumn("low", F.col("high") - _ink(F.col("token"))).select("doc", "low", "high", *keep)
+
+
+def aligned(spans: DataFrame, own: DataFrame, foreign: DataFrame) -> DataFrame:
+    """spans (doc, sid, idx, len, ...) over own tokens, with sid, idx and len in the numbers of foreign tokens of the same texts.
+
+    Both are tables of doc, sid, idx, token. Tokenisers differ in where they cut, not in the characters that aren't blank: counted
+    without blanks, places in both are the same. One sorted sweep a document finds the foreign tokens at each span's ends; a span
+    gets all that it touches. A document whose characters differ in number keeps no spans: misaligned() lists those.
+    """
+    spans = spans.join(misaligned(own, foreign).select("doc"), "doc", "left_anti")
+    ends = _inked(own, "sid", "idx")
+    first, last = ends.select("doc", "sid", "idx", F.col("low").alias("a")), ends.select("doc", "sid", F.col("idx").alias("_last"), F.col("high").alias("b"))
+    places = spans.select("doc", "sid", "idx", "len").distinct().withColumn("_last", F.col("idx") + F.greatest(F.col("len"), F.lit(1)) - 1)
+    place = F.struct("sid", "idx", "len")
+    places = places.join(first, ["doc", "sid", "idx"]).join(last, ["doc", "sid", "_last"]).select("doc", place.alias("place"), "a", "b")
+    token = F.struct(F.col("sid").cast("int").alias("sid"), F.col("idx").cast("int").alias("idx"))
+    none = lambda like: F.lit(None).cast(like)
+    kind = places.schema["place"].dataType
+    marks = _inked(foreign.withColumn("token_place", token), "token_place").select("doc", F.col("low").alias("at"), F.lit(0).alias("kind"), F.col("token_place").alias("token"), none(kind).alias("place"))
+    edges = places.select("doc", "place", F.explode(F.array(F.struct(F.lit(1).alias("kind"), F.col("a").alias("at")), F.struct(F.lit(2).alias("kind"), (F.col("b") - 1).alias("at")))).alias("e"))
+    edges = edges.select("doc", "e.at", "e.kind", none("struct<sid:int,idx:int>").alias("token"), "place")
+    # The foreign token that a character is in is the last one to begin up to it.
+    sweep = Window.partitionBy("doc").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = marks.unionByName(edges).withColumn("token", F.last("token", ignorenulls=True).over(sweep)).where("kind > 0")
+    end = lambda k: F.max(F.when(F.col("kind") == k, F.col("token")))
+    both = found.groupBy("doc", "place").agg(end(1).alias("first"), end(2).alias("last")).select("doc", "place.*", "first", "last")
+    ending = foreign.groupBy("doc", F.col("sid").cast("int").alias("_sid")).agg(F.max("idx").cast("int").alias("_end"))
+    out = spans.join(both, ["doc", "sid", "idx", "len"]).withColumn("_sid", F.col("first.sid")).join(ending, ["doc", "_sid"])
+    until = F.when(F.col("last.sid") == F.col("_sid"), F.col("last.idx")).otherwise(F.col("_end"))
+    names = {"sid": F.col("_sid"), "idx": F.col("first.idx"), "len": (until - F.col("first.idx") + 1).cast("int")}
+    return out.select(*[(names[c] if c in names else F.col(c)).alias(c) for c in spans.columns])
+
+
+def misaligned(own: DataFrame, foreign: DataFrame) -> DataFrame:
+    """doc, own, foreign: documents whose tokens have different numbers of characters (null: no tokens at all)."""
+    total = lambda toks, name: toks.groupBy("doc").agg(F.sum(_ink(F.col("token"))).alias(name))
+    return total(own, "own").join(total(foreign, "foreign"), "doc", "full").where(~F.col("own").eqNullSafe(F.col("foreign")))
+
+
+def tagged_timexes(sents: DataFrame, dcts: DataFrame) -> DataFrame:
+    """doc, sid, idx, len, id, text, type, value, mod of the time expressions in sents (doc, sid, text), as timegrammar.found()."""
+    from chronoweave.operators import timegrammar
+
+    both = {"tokens": F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), "gaps": F.split("text", TOKEN, -1)}
+    return timegrammar.found(sents.withColumns(both).select("doc", "sid", "tokens", "gaps"), dcts)
 
 
 def outside(timexes: DataFrame, events: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.operators import cascade, extract
+from chronoweave import scratch
+from chronoweave.operators import cascade, extract, timegrammar
 from chronoweave.operators.classify import EventModels
 from chronoweave.operators.learned import LearnedSieve
 
@@ -17,13 +18,12 @@ def corpus_of(docs: DataFrame, tagged: DataFrame, models: EventModels | None = N
     verb groups with tense alone. Documents without a creation time in dcts (doc, id, value) get one by heuristic ("first" or
     "common" day named), if one is given.
     """
-    sents = extract.sentences(docs)
     if models is not None:
         events = models.extract(tagged, deps)
     else:
         events = extract.rule_events(tagged).join(extract.group_tense(tagged), ["doc", "sid", "idx"], "left").withColumns({"aspect": F.lit("NONE"), "cls": F.lit("OCCURRENCE")})
     known = dcts if dcts is not None else docs.select("doc", F.lit("t0").alias("id"), F.lit(None).cast("string").alias("value")).limit(0)
-    times = extract.outside(extract.tagged_timexes(sents, known.select("doc", "value")), events)
+    times = extract.outside(times_of(docs, tagged, known.select("doc", "value")), events)
     if heuristic is not None:
         guessed = extract.creation_day(times, heuristic).join(known.select("doc"), "doc", "left_anti")
         known = known.select("doc", "id", "value").unionByName(guessed.select("doc", F.lit("t0").alias("id"), "value"))
@@ -31,6 +31,19 @@ def corpus_of(docs: DataFrame, tagged: DataFrame, models: EventModels | None = N
     return cascade.Corpus(events=events, timexes=times, dcts=known, deps=deps if deps is not None else none, tokens=tagged)
 
 
+def times_of(docs: DataFrame, tagged: DataFrame, dcts: DataFrame) -> DataFrame:
+    """doc, sid, idx, len, id, text, type, value, mod of the time expressions of docs, in the numbers of tagged tokens.
+
+    They are found in the texts and brought to the tagger's tokens by characters; in documents whose tagged tokens lack or add
+    characters, they are found in these tokens themselves.
+    """
+    sents = extract.sentences(docs)
+    own = extract.tokens(sents)
+    bad = scratch.written(extract.misaligned(own, tagged).select("doc"), "misaligned")
+    found = extract.tagged_timexes(sents.join(bad, "doc", "left_anti"), dcts)
+    return extract.aligned(found, own, tagged).unionByName(timegrammar.of_tokens(tagged.join(bad, "doc", "left_semi"), dcts))
+
+
 def links_of(docs: DataFrame, tagged: DataFrame, sieves: list, **options) -> DataFrame:
     """doc, id1, id2, relation, closed, origin: texts to links."""
     return cascade.run(corpus_of(docs, tagged, **options), sieves)

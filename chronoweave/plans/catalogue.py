@@ -276,7 +276,8 @@ def q21_regex_timex_extract(spark, sf_dir):
     d = F.col("o_orderdate")
     text = F.concat(F.lit("It was ordered on "), F.date_format(d, "yyyy-MM-dd"), F.lit(" and paid by "), F.date_format(d, "MM/dd/yyyy"), F.lit(" or late in "), F.date_format(d, "yyyy"), F.lit("."))
     sents = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.lit(0).alias("sid"), text.alias("text"))
-    return sents.select(F.col("doc").alias("o_orderkey"), F.explode(F.regexp_extract_all("text", F.lit(extract.TIMEX), F.lit(0))).alias("found"))
+    dcts = sents.select("doc", F.lit("2000-01-01").alias("value"))
+    return extract.tagged_timexes(sents, dcts).select(F.col("doc").alias("o_orderkey"), F.col("text").alias("found"))
 
 
 @query("""WITH o AS (SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS doc FROM documents), n AS (SELECT doc, row_number() OVER (ORDER BY doc) - 1 AS n, count(*) OVER () AS c FROM o)

@@ -27,7 +27,7 @@ LEAST, COVER, TOP = 30, 80, 2000
 #: What a score of 1 is multiplied by.
 UNIT = 2_000_000
 #: Bytes of text whose suffixes a task counts at once, and bytes of text by range.
-BLOCK_BYTES, RANGE_BYTES = 16 << 20, 12 << 20
+BLOCK_BYTES, RANGE_BYTES = 10 << 20, 12 << 20
 #: Ranges at most, documents whose suffixes are sampled, suffixes by range kept of those, and bytes kept of their words.
 RANGES, SAMPLE_DOCS, SAMPLES, SAMPLE_WORD = 20_000, 4000, 40, 64
 
@@ -244,8 +244,10 @@ def _cuts(texts: DataFrame) -> tuple[int, list[tuple[str, Suffix]]]:
                 own = [[words[j].as_py()[:SAMPLE_WORD] for j in range(i, min(i + MAX_N, len(words))) if piece[j] == piece[i]] for i in first]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own, pa.list_(pa.binary()))], ["lang", "suffix"])
 
-    sampled = texts.sample(fraction=min(1.0, SAMPLE_DOCS / max(rows, 1)), seed=1).mapInArrow(run, "lang string, suffix array<binary>")
-    kept = sampled.orderBy(F.xxhash64("lang", "suffix"), F.rand(1)).limit(SAMPLES * parts).collect()
+    share = min(1.0, SAMPLE_DOCS / max(rows, 1))
+    sampled = texts.sample(fraction=share, seed=1).mapInArrow(run, "lang string, suffix array<binary>")
+    expected = size * share / (6 * 8)  # a word has some six bytes, and one in eight begins a suffix here
+    kept = sampled.sample(fraction=min(1.0, SAMPLES * parts / max(expected, 1)), seed=2).limit(4 * SAMPLES * parts).collect()
     keys = sorted((r.lang.encode(), tuple(bytes(w) for w in r.suffix)) for r in kept)
     found = sorted({keys[len(keys) * k // parts] for k in range(1, parts)}) if keys else []
     return parts, [(lang.decode(), cut) for lang, cut in found]

@@ -141,9 +141,9 @@ def closest_timex(paths: DataFrame, dcts: DataFrame, events: DataFrame) -> DataF
 
 
 def within_cluster(members: DataFrame) -> DataFrame:
-    """doc, id1, id2 of a cluster's members (doc, cluster, id): each with the first, which links them all."""
-    w = Window.partitionBy("doc", "cluster")
-    return members.withColumn("id1", F.min("id").over(w)).where("id1 <> id").select("doc", "id1", F.col("id").alias("id2"))
+    """doc, id1, id2 of all pairs of a cluster's members (doc, cluster, id). A cluster's mentions are those of one document."""
+    one, two = _sides(members.distinct(), members.distinct())
+    return one.join(two.withColumnRenamed("cluster2", "cluster1"), ["doc", "cluster1"]).where("id1 < id2").select("doc", "id1", "id2").distinct()
 
 
 def sharing_context(context: DataFrame) -> DataFrame:

@@ -229,11 +229,50 @@ def test_timeml(spark, tmp_path):
     (tmp_path / "a.tml").write_text(xml)
     (tmp_path / "b.tml").write_text("<TimeML><TEXT>broken")
     docs = timeml.texts(spark, str(tmp_path))
-    assert {(r.id, r.sid, r.idx, r.cls, r.tense) for r in timeml.events(docs).collect()} == {("ei1", 0, 2, "REPORTING", "PAST"), ("ei2", 1, 2, "STATE", None)}
+    assert {(r.id, r.sid, r.idx, r.cls, r.tense) for r in timeml.events(docs).collect()} == {("ei1", 0, 2, "REPORTING", "PAST"), ("ei2", 1, 2, "STATE", "NONE")}
     assert [(r.id, r.sid, r.idx, r.len, r.value) for r in timeml.timexes(docs).collect()] == [("t1", 1, 3, 2, "1998-02-12")]
     assert [tuple(r) for r in timeml.creation_times(docs).collect()] == [("a", "t0", "DATE", "1998-02-13")] and [(r.id1, r.id2, r.relation, r.link_type) for r in timeml.links(docs).collect()] == [("ei1", "t0", "SIMULTANEOUS", "et")]
 
 
+MARKUP = """<?xml version="1.0"?><TimeML><DOCID>x</DOCID><DCT><TIMEX3 tid='t0' type='DATE' value='1998-02-13' functionInDocument='CREATION_TIME'/></DCT>
+<TEXT>He did<!-- a comment --> n't <EVENT eid='e9' class='REPORTING'>say</EVENT> &quot;no&quot; at AT&amp;T&nbsp;Inc.
+She <EVENT eid="e1" class="STATE">was</EVENT> and <EVENT eid="e2" class="STATE">is</EVENT> there <TIMEX3 tid="t1" type="DATE" value="1998-02-12">last <NG>Thursday</NG></TIMEX3>.</TEXT>
+<MAKEINSTANCE eiid='ei9' eventID='e9' tense='PAST' aspect="NONE" polarity='NEG'/><MAKEINSTANCE eiid="ei1" eventID="e9" tense="PRESENT"/><MAKEINSTANCE eiid="ei22" eventID="e0"/><MAKEINSTANCE eiid="ei2" eventID="e0"/>
+<TLINK lid='l1' relType='during' eventInstanceID='ei9' relatedToTime='t0'/><TLINK lid="l2" relType="BEFORE" timeID="t1" relatedToTime="t0"/><TLINK lid="l3" relType="AFTER" eventInstanceID="ei77" relatedToEventInstance="ei9"/><TLINK lid="l4" relType="AFTER" timeID="t1"/></TimeML>"""
+
+
+def test_timeml_as_other_tools_write_it(spark):
+    """Single quotes, comments, named characters, tags within tags, ids that clash; a broken document is told of."""
+    docs = spark.createDataFrame([("a", MARKUP), ("b", "<TimeML><TEXT>broken"), ("c", None), ("d", "")], "doc string, xml string")
+    rows = timeml.parsed(docs)
+    for source in (docs, rows):
+        got = {r.eid: (r.id, r.eiids, r.sid, r.idx, r.text, r.tense, r.polarity) for r in timeml.events(source).collect()}
+        assert got == {"e9": ("ei9", ["ei9", "ei1"], 0, 4, "say", "PAST", "NEG"), "e1": ("ei12", ["ei12"], 1, 2, "was", "NONE", "POS"), "e2": ("ei222", ["ei222"], 1, 4, "is", "NONE", "POS")}
+        assert [(r.id, r.sid, r.idx, r.len, r.text, r.value) for r in timeml.timexes(source).collect()] == [("t1", 1, 6, 2, "last Thursday", "1998-02-12")]
+        assert {(r.id1, r.id2, r.relation, r.link_type) for r in timeml.links(source).collect()} == {("ei9", "t0", "SIMULTANEOUS", "et"), ("t1", "t0", "BEFORE", "tt"), ("ei77", "ei9", "AFTER", "ee")}
+        assert {(r.doc, r.problem, r.what) for r in timeml.errors(source).collect() if r.problem != "not well-formed"} == {("a", "link without two ends", "l4"), ("a", "link of an unknown event", "ei77")}
+        assert {r.doc for r in timeml.errors(source).collect() if r.problem == "not well-formed"} == {"b", "d"}
+    assert [tuple(r) for r in timeml.creation_times(rows).collect()] == [("a", "t0", "DATE", "1998-02-13")]
+    toks = extract.token_table(spark.createDataFrame([("a", 'He did n\'t say "no" at AT&T\u00a0Inc.\nShe was and is there last Thursday.')], "doc string, text string"))
+    assert {(r.sid, r.idx): r.token for r in toks.collect()}[1, 2] == "was"
+
+
+def test_timeml_directories_and_pages(spark, tmp_path):
+    for name in ("AQUAINT", "TimeBank", "Other"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.tml").write_text("<TimeML><TEXT>x</TEXT></TimeML>")
+    assert {r.doc for r in timeml.directory(spark, str(tmp_path)).collect()} == {"AQUAINT", "TimeBank"}
+    assert {r.doc for r in timeml.directory(spark, str(tmp_path / "Other")).collect()} == {"Other"}
+    page = '<td valign="top"><s>He <e>said<sub>e1</sub> on <t>Monday<sub>t1</sub> in<sub>s3</sub><td valign="top"><s>It <e>was<sub>e2</sub>'
+    found = timeml.page_candidates(spark.createDataFrame([("p", page)], "doc string, xml string"))
+    assert {(r.id1, r.id2) for r in found.collect()} == {("e1", "t0"), ("t1", "t0"), ("e2", "t0"), ("e1", "t1"), ("e1", "e2"), ("t1", "e2")}
+
+
+def test_all_pairs_of_a_cluster(spark):
+    members = spark.createDataFrame([("d", "c", "e1"), ("d", "c", "e2"), ("d", "c", "e3"), ("d", "k", "e4"), ("f", "c", "e1")], "doc string, cluster string, id string")
+    assert {(r.doc, r.id1, r.id2) for r in pairs.within_cluster(members).collect()} == {("d", "e1", "e2"), ("d", "e1", "e3"), ("d", "e2", "e3")}
+
+
 def test_paths_of_any_length(spark):
     deps = spark.createDataFrame([("d", 0, "dep", k, k + 1) for k in range(12)], "doc string, sid int, reln string, gov_idx int, dep_idx int")
     wanted = spark.createDataFrame([("d", 0, 0, 12)], "doc string, sid int, from_idx int, to_idx int")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.maths import ratio
 from chronoweave.functions.relations import canonical
-from chronoweave.operators.closure import closure
+from chronoweave.operators.closure import extended, united
 from chronoweave.scratch import written
 
 LINK = ["doc", "id1", "id2", "relation"]
@@ -68,22 +68,23 @@ def first_wins(proposed: DataFrame) -> DataFrame:
 
 
 def run(corpus: Corpus, sieves: list[tuple[str, Sieve]], close: bool = True) -> DataFrame:
-    """doc, id1, id2, relation, closed, origin: each sieve adds what is open, and the closure of all links follows it."""
-    current = None
+    """doc, id1, id2, relation, closed, origin: each sieve adds what is open, and the closure of all links follows it.
+
+    What a sieve adds and what follows from that are tables of their own, written once: links of earlier sieves are read, never
+    rewritten, and the closure goes on from the new ones.
+    """
+    tables: list[DataFrame] = []
+    named = lambda df, name, closed: df.select(*LINK, F.lit(closed).alias("closed"), F.lit(name).alias("origin"))
     for name, sieve in sieves:
         made = sieve(corpus)
         if made is None:
             continue
         made = without_repeats(made.select(*LINK).withColumn("ordinal", F.lit(0)), "ordinal").select(*LINK)
-        kept = made if current is None else without_conflicts(made, current)
-        kept = kept.select(*LINK, F.lit(False).alias("closed"), F.lit(name).alias("origin"))
-        # A table after each sieve: plans don't grow with the cascade.
-        every = written(kept if current is None else current.unionByName(kept))
-        if close and not every.where(F.col("origin") == name).isEmpty():
-            inferred = closure(every.select(*LINK)).where("closed")
-            every = written(every.unionByName(without_conflicts(inferred, every).select(*LINK, F.lit(True).alias("closed"), F.lit(name).alias("origin"))))
-        current = every
-    return current
+        kept = without_conflicts(made, united(tables)) if tables else made
+        kept = written(named(kept, name, False), "sieve")
+        inferred = [named(t, name, True) for t in extended(tables, kept)] if close and not kept.isEmpty() else []
+        tables += [kept, *inferred]
+    return united(tables) if tables else None
 
 
 def against_gold(proposed: DataFrame, gold: DataFrame) -> DataFrame:

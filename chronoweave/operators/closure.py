@@ -1,8 +1,9 @@
 """Transitive closure of temporal links, document by document.
 
 closure() works on all documents at once: each round joins what is new with all there is and keeps, for a
-pair not linked yet, one relation by a rule that doesn't depend on row order. closure_in_order() derives in
-the order of the links, which matters where a pair can be derived with two relations.
+pair not linked yet, one relation by a rule that doesn't depend on row order. extended() does the same for links that join a closed
+set. closure_in_order() and closure_by_stamps() derive in the order of the links, which matters where a pair can be derived with
+two relations.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions.relations import COMPOSITION, canonical, composition, inverted, status
-from chronoweave.scratch import written
+from chronoweave.scratch import clear, numbered, written
 
 COMPOSED = sorted({r for row in COMPOSITION for r in row})
+LINK = ["doc", "id1", "id2", "relation"]
 SCHEMA = "doc string, id1 string, id2 string, relation string, closed boolean"
 
 
@@ -22,6 +24,49 @@ def _both_ways(links: DataFrame) -> DataFrame:
     return forward.union(links.select("doc", "id2", "id1", inverted(F.col("relation"))))
 
 
+def _reduced(links: DataFrame) -> DataFrame:
+    """doc, id1, id2, relation: links with ids, the first by (id1, id2, relation) of each pair."""
+    given = canonical(links.where("id1 IS NOT NULL AND id2 IS NOT NULL AND id1 <> id2"))
+    return given.groupBy("doc", "lo", "hi").agg(F.min(F.struct("id1", "id2", "relation")).alias("l")).select("doc", "l.id1", "l.id2", "l.relation")
+
+
+def _pairs_of(links: DataFrame) -> DataFrame:
+    return links.select("doc", F.least("id1", "id2").alias("lo"), F.greatest("id1", "id2").alias("hi"))
+
+
+def united(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def extended(base: list[DataFrame], new: DataFrame) -> list[DataFrame]:
+    """What follows when new links join base, links that are closed already: tables of doc, id1, id2, relation, one a round.
+
+    Only what is new is joined with all there is, and only what it adds is written: the work follows the new links and
+    their consequences. base and new must be tables, with one link a pair between them. Of two relations
+    derivable for a pair in one round the first by name, in id order, stays.
+    """
+    rules = F.broadcast(composition(new.sparkSession))  # always 17 rows
+    side = lambda df, a, b, r: df.select("doc", F.col("src").alias(a), F.col("dst").alias(b), F.col("relation").alias(r))
+    composed = lambda df: _both_ways(df.where(F.col("relation").isin(*COMPOSED)).select(*LINK))
+    known, delta, out = [t.select(*LINK) for t in (*base, new)], new.select(*LINK), []
+    while True:
+        # new o all, and its mirror all o new, which is the converse of the first and needs no join of its own.
+        every = united(known)
+        steps = side(composed(delta), "x", "m", "r1").join(side(composed(every), "m", "y", "r2"), ["doc", "m"]).where("x <> y").join(rules, ["r1", "r2"])
+        found = canonical(steps.select("doc", F.col("x").alias("id1"), F.col("y").alias("id2"), F.col("r3").alias("relation")))
+        found = found.groupBy("doc", "lo", "hi").agg(F.min("rel").alias("relation"))
+        added = found.join(_pairs_of(every), ["doc", "lo", "hi"], "left_anti")
+        delta = written(added.select("doc", F.col("lo").alias("id1"), F.col("hi").alias("id2"), "relation"), "closure")
+        if delta.isEmpty():
+            clear(new.sparkSession, delta)
+            return out
+        known.append(delta)
+        out.append(delta)
+
+
 def closure(links: DataFrame) -> DataFrame:
     """links (doc, id1, id2, relation) and all that follow from them (closed = true), one for each pair.
 
@@ -29,33 +74,50 @@ def closure(links: DataFrame) -> DataFrame:
     pair in one round the first by name, in id order, stays. The first row of repeated input pairs by
     (id1, id2, relation) stays; null ids don't count.
     """
-    spark = links.sparkSession
-    rules = F.broadcast(composition(spark))  # always 17 rows
-    given = canonical(links.where("id1 IS NOT NULL AND id2 IS NOT NULL AND id1 <> id2"))
-    known = given.groupBy("doc", "lo", "hi").agg(F.min(F.struct("id1", "id2", "relation")).alias("l"))
-    known = written(known.select("doc", "l.id1", "l.id2", "l.relation", F.lit(False).alias("closed"), F.lit(0).alias("round")))
-    turn = 0
+    known = written(_reduced(links), "closure")
+    return united([known.withColumn("closed", F.lit(False)), *(t.withColumn("closed", F.lit(True)) for t in extended([], known))])
+
+
+def closure_by_stamps(links: DataFrame) -> DataFrame:
+    """As closure_in_order(), for documents of any size: derivations are stamped, and the least stamp wins.
+
+    Passes derive from all pairs (i, j) of links, i before j, of which j is new since the pass before. The stamp of a derivation is
+    (i, j): for each pair of ids the least one counts, and the links that a pass adds are numbered in the order of their stamps, by
+    ranges of these. No task needs a whole document.
+    """
+    rules = F.broadcast(composition(links.sparkSession))
+    given = canonical(links.where("coalesce(id1, '') <> '' AND coalesce(id2, '') <> '' AND id1 <> id2"))
+    first = given.groupBy("doc", "lo", "hi").agg(F.min(F.struct(F.col("ordinal").cast("long").alias("ordinal"), "id1", "id2", "relation")).alias("l")).select("doc", "l.*")
+    known = [written(first.withColumn("closed", F.lit(False)), "stamps")]
+    start = None
     while True:
-        edges = _both_ways(known.where(F.col("relation").isin(*COMPOSED)).select("doc", "id1", "id2", "relation"))
-        new = _both_ways(known.where((F.col("round") == turn) & F.col("relation").isin(*COMPOSED)).select("doc", "id1", "id2", "relation"))
-        side = lambda df, a, b, r: df.select("doc", F.col("src").alias(a), F.col("dst").alias(b), F.col("relation").alias(r))
-        # new o all, and its mirror all o new, which is the converse of the first and needs no join of its own.
-        steps = side(new, "x", "m", "r1").join(side(edges, "m", "y", "r2"), ["doc", "m"]).where("x <> y").join(rules, ["r1", "r2"])
-        found = canonical(steps.select("doc", F.col("x").alias("id1"), F.col("y").alias("id2"), F.col("r3").alias("relation")))
-        found = found.groupBy("doc", "lo", "hi").agg(F.min("rel").alias("relation"))
-        pairs = known.select("doc", F.least("id1", "id2").alias("lo"), F.greatest("id1", "id2").alias("hi"))
-        added = found.join(pairs, ["doc", "lo", "hi"], "left_anti")
-        added = written(added.select("doc", F.col("lo").alias("id1"), F.col("hi").alias("id2"), "relation", F.lit(True).alias("closed"), F.lit(turn + 1).alias("round")))
+        every = united(known)
+        edges = _both_ways_numbered(every.where(F.col("relation").isin(*COMPOSED)))
+        later = edges if start is None else _both_ways_numbered(known[-1].where(F.col("relation").isin(*COMPOSED)))
+        one = edges.select("doc", F.col("src").alias("x"), F.col("dst").alias("m"), F.col("relation").alias("r1"), F.col("ordinal").alias("i"))
+        two = later.select("doc", F.col("src").alias("m"), F.col("dst").alias("y"), F.col("relation").alias("r2"), F.col("ordinal").alias("j"))
+        steps = one.join(two, ["doc", "m"]).where("i < j AND x <> y").join(rules, ["r1", "r2"])
+        found = steps.groupBy("doc", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.min(F.struct("i", "j", "x", "y", "r3")).alias("d"))
+        added = found.join(_pairs_of(every), ["doc", "lo", "hi"], "left_anti").select("doc", "d.*")
+        added = written(added, "stamps")
         if added.isEmpty():
-            return known.drop("round")
-        known, turn = known.unionByName(added), turn + 1  # a table for each round: nothing is written twice
+            clear(links.sparkSession, added)
+            return every.select(*LINK, "closed")
+        start = every.agg(F.max("ordinal")).head()[0] + 1
+        new = numbered(added, ["doc", "i", "j"]).select("doc", (F.col("number") + start).alias("ordinal"), F.col("x").alias("id1"), F.col("y").alias("id2"), F.col("r3").alias("relation"), F.lit(True).alias("closed"))
+        known.append(written(new, "stamps"))
+
+
+def _both_ways_numbered(links: DataFrame) -> DataFrame:
+    forward = links.select("doc", F.col("id1").alias("src"), F.col("id2").alias("dst"), "relation", "ordinal")
+    return forward.union(links.select("doc", "id2", "id1", inverted(F.col("relation")), "ordinal"))
 
 
 def closure_in_order(links: DataFrame) -> DataFrame:
     """As closure(), deriving from pairs of links in the order of column ordinal; the first relation derived stays.
 
-    All pairs of a document's links are tried, in one task: exact for annotated texts of a few thousand links, and
-    not meant for larger documents, where closure() is.
+    All pairs of a document's links are tried, in one task: for annotated texts of a few thousand links. closure_by_stamps() gives the
+    same for larger documents.
     """
     import pandas as pd
 

@@ -40,13 +40,14 @@ def clear(spark: SparkSession, *tables: DataFrame) -> None:
         _made.remove(path)
 
 
-def numbered(df: DataFrame, order: str, name: str = "number") -> DataFrame:
-    """df with a number from 0 in the order of a column, without bringing all rows to one task: ranges are counted, then numbered from where each begins."""
+def numbered(df: DataFrame, order: str | list[str], name: str = "number") -> DataFrame:
+    """df with a number from 0 in the order of columns, without bringing all rows to one task: ranges are counted, then numbered from where each begins."""
     from pyspark.sql import Window
 
-    ranged = written(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranged")
+    order = [order] if isinstance(order, str) else order
+    ranged = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     return ranged.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + place).drop("_part", "_start")

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from chronoweave import scratch
 from chronoweave.functions import maths, relations, text
 from chronoweave.functions import timex as tx
 from chronoweave.operators import cascade, closure, evaluate, extract, graphs, learned, pairs, sieves
@@ -168,6 +169,33 @@ def test_closure_is_idempotent_and_blind_to_order(spark):
     assert a == again == {(x.doc, *key(x.id1, x.id2, x.relation)) for x in ordered.collect()}
 
 
+def noisy(seed, docs, nodes, n):
+    r = random.Random(seed)
+    names = ["BEFORE", "AFTER", "INCLUDES", "IS_INCLUDED", "SIMULTANEOUS", "VAGUE"]
+    return [(f"d{d}", f"e{a}", f"e{b}", r.choice(names), k) for d in range(docs) for k in range(n) for a, b in [r.sample(range(nodes), 2)]]
+
+
+def test_stamps_give_the_closure_in_order(spark):
+    """Noisy links, where many pairs can be derived with several relations: the same links, in the same direction, by both ways."""
+    more = [("x" + d, *rest) for d, *rest in noisy(6, 1, 60, 70)]
+    links = spark.createDataFrame(noisy(5, 3, 24, 40) + more, "doc string, id1 string, id2 string, relation string, ordinal int")
+    by = lambda df: {tuple(r) for r in df.select("doc", "id1", "id2", "relation", "closed").collect()}
+    assert by(closure.closure_by_stamps(links)) == by(closure.closure_in_order(links))
+    assert closure.closure_by_stamps(links.limit(0)).count() == 0
+
+
+def test_closure_goes_on_from_a_closed_base(spark, tmp_path):
+    """Links that come in three lots, each closed over what is there: all that follows, and only new rows are written."""
+    schema = "doc string, id1 string, id2 string, relation string"
+    chain = [("d", f"e{k}", f"e{k + 1}", "BEFORE") for k in range(12)]
+    tables, lots = [], [chain[0::3], chain[1::3], chain[2::3]]
+    for lot in lots:
+        new = scratch.written(spark.createDataFrame(lot, schema))
+        tables += [new, *closure.extended(tables, new)]
+    rows = [tuple(r) for t in tables for r in t.select("doc", "id1", "id2").collect()]
+    assert len(rows) == len({(d, *sorted((a, b))) for d, a, b in rows}) == 13 * 12 // 2
+
+
 def test_extraction(spark):
     docs = spark.createDataFrame([("d", "Libya brought the case in 2003 to Britain because of 11/25/1980 and complained.")], "doc string, text string")
     sents = extract.sentences(docs)

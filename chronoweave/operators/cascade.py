@@ -28,6 +28,7 @@ class Corpus:
     spans: DataFrame | None = None
     clusters: DataFrame | None = None
     synsets: DataFrame | None = None
+    nodes: DataFrame | None = None
 
 
 Sieve = Callable[[Corpus], DataFrame | None]

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.scratch import clear, written
+
 NODES = "doc string, sid int, node int, parent int, label string, word string, span_start int, span_end int"
 
 
@@ -92,22 +94,37 @@ def dependency_paths(deps: DataFrame, wanted: DataFrame, longest: int | None = N
     return edges.join(asked, ["doc", "sid"]).mapInArrow(run, "doc string, sid int, from_idx int, to_idx int, path string, length int")
 
 
-def ancestors(hypernyms: DataFrame, deepest: int = 20) -> DataFrame:
-    """child, ancestor: what the first hypernym pointers lead to. hypernyms: child, parent, ordinal."""
-    first = hypernyms.groupBy("child").agg(F.min_by("parent", "ordinal").alias("parent"))
-    out = front = first.select("child", F.col("parent").alias("ancestor"))
-    for _ in range(deepest):
-        up = first.select(F.col("child").alias("ancestor"), "parent")
-        front = front.join(up, "ancestor").select("child", F.col("parent").alias("ancestor")).join(out, ["child", "ancestor"], "left_anti")
-        if front.isEmpty():
-            break
-        out = out.union(front).distinct()
-    return out
+def direct_paths(paths: DataFrame) -> DataFrame:
+    """The rows of dependency_paths() that never turn: down all the way, or one step up."""
+    return paths.where(~F.substring("path", 2, 1_000_000).contains("<-") & (F.startswith("path", F.lit("->")) | (F.col("length") == 1)))
+
+
+def ancestors(hypernyms: DataFrame) -> DataFrame:
+    """child, ancestor, distance: all that the first hypernym pointers lead to, as a table. hypernyms: child, parent, ordinal.
+
+    Pointers are doubled: a round joins the pairs that lie as far apart as it has come with those that are known, so a chain of n
+    synsets takes log n rounds, each of which is written. Pointers that lead back where they came from end there.
+    """
+    first = hypernyms.where("child <> parent").groupBy("child").agg(F.min_by("parent", F.struct("ordinal", "parent")).alias("ancestor"))
+    known, reach = [written(first.withColumn("distance", F.lit(1).cast("long")), "ancestors")], 1
+    while True:
+        every = known[0]
+        for table in known[1:]:
+            every = every.unionByName(table)
+        far = every.where(F.col("distance") == reach).select("child", F.col("ancestor").alias("via"), F.col("distance").alias("d"))
+        near = every.select(F.col("child").alias("via"), "ancestor", "distance")
+        new = far.join(near, "via").where("child <> ancestor").groupBy("child", "ancestor").agg(F.min(F.col("d") + F.col("distance")).alias("distance"))
+        new = written(new.join(every, ["child", "ancestor"], "left_anti"), "ancestors")
+        if new.isEmpty():
+            clear(hypernyms.sparkSession, new)
+            return every
+        known.append(new)
+        reach *= 2
 
 
 def is_a(words: DataFrame, senses: DataFrame, hypernyms: DataFrame, targets: list[str], names: DataFrame) -> DataFrame:
     """words (lemma) with a sense below a synset named one of targets. senses: lemma, synset; names: synset, name."""
-    up = ancestors(hypernyms).union(senses.select(F.col("synset").alias("child"), F.col("synset").alias("ancestor")))
+    up = ancestors(hypernyms).select("child", "ancestor").union(senses.select(F.col("synset").alias("child"), F.col("synset").alias("ancestor")))
     wanted = names.where(F.col("name").isin(*targets)).select(F.col("synset").alias("ancestor"))
     hit = senses.join(up, senses.synset == up.child).join(wanted, "ancestor", "left_semi").select("lemma").distinct()
     return words.join(hit, "lemma", "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.operators.graphs import PREDICATES, is_a
+from chronoweave.operators.graphs import PREDICATES, ancestors
 
 # For each part of speech the endings that a form may have and what stands there in the lemma, in order of trial.
 ENDINGS = {
@@ -44,12 +44,27 @@ def lemmatised(words: DataFrame, lexicon: DataFrame, irregular: DataFrame | None
 
 
 def with_predicates(words: DataFrame, senses: DataFrame, hypernyms: DataFrame, names: DataFrame) -> DataFrame:
-    """words (lemma) with a flag for each lexical predicate: is_person_or_group, is_location, is_physical_object, ..."""
+    """words (lemma) with a flag for each lexical predicate: is_person_or_group, is_location, is_physical_object, ..., and is_thing.
+
+    senses: lemma, synset and, if it has it, ordinal, the order of a lemma's senses. All predicates come of one walk up the
+    hypernyms. is_thing: of the persons, places and physical objects among the first sense's ancestors and the next ones',
+    from below, the first is a physical object.
+    """
     lemmas = words.select("lemma").distinct()
-    for name, targets in PREDICATES.items():
-        hit = is_a(lemmas, senses, hypernyms, targets, names).withColumn(f"is_{name}", F.lit(True))
-        words = words.join(hit, "lemma", "left").withColumn(f"is_{name}", F.coalesce(f"is_{name}", F.lit(False)))
-    return words
+    order = F.col("ordinal") if "ordinal" in senses.columns else F.lit(0)
+    own = senses.select("lemma", "synset", order.alias("turn")).join(lemmas, "lemma", "left_semi")
+    up = ancestors(hypernyms)
+    chain = own.join(up.withColumnRenamed("child", "synset"), "synset").select("lemma", "turn", "synset", "ancestor", "distance")
+    chain = chain.unionByName(own.select("lemma", "turn", "synset", F.col("synset").alias("ancestor"), F.lit(0).cast("long").alias("distance")))
+    wanted = sorted({t for targets in PREDICATES.values() for t in targets} | {"person"})
+    met = chain.join(names.where(F.col("name").isin(*wanted)).select(F.col("synset").alias("ancestor"), "name"), "ancestor")
+    place = F.struct("turn", "synset", "distance", F.col("name") == "physical_object")
+    kind = F.col("name").isin("person", *PREDICATES["location"], "physical_object")
+    flags = {f"is_{name}": F.bool_or(F.col("name").isin(*targets)) for name, targets in PREDICATES.items()}
+    thing = F.coalesce(F.min_by(F.col("name") == "physical_object", F.when(kind, place)), F.lit(False))
+    found = met.groupBy("lemma").agg(*[f.alias(n) for n, f in flags.items()], thing.alias("is_thing"))
+    out = words.join(found, "lemma", "left")
+    return out.withColumns({n: F.coalesce(F.col(n), F.lit(False)) for n in (*flags, "is_thing")})
 
 
 def unknown(words: DataFrame, senses: DataFrame) -> DataFrame:

@@ -1,12 +1,12 @@
-"""Queries of trees as intervals and of pair features, each with its SQL."""
+"""Queries of trees as intervals, pair features, lexical predicates and sieves as table functions, each with its SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.operators import lexicon, linkfeatures, pairs, sieves, trees
-from chronoweave.plans.catalogue import query, read
+from chronoweave.operators import graphs, lexicon, linkfeatures, pairs, sieves, tablefunction, trees
+from chronoweave.plans.catalogue import ENTITIES, plain, query, read
 from chronoweave.plans.corpus import CORPUS, corpus
 
 # The tree of an order: a clause of nested verb phrases, one a line, each with a verb, a noun phrase and the next line's phrase.
@@ -112,3 +112,50 @@ def e10_event_time_features(spark, sf_dir):
 def e11_creation_time_features(spark, sf_dir):
     c = corpus(spark, sf_dir)
     return _in_order(linkfeatures.event_creation_times(c, pairs.with_creation_time(c.events, c.dcts)))
+
+
+# Each part is a word with one sense; parts lie in chains of sixty, the first of which is of its type, and all types are objects.
+_TYPES = {"ECONOMY": "person", "LARGE": "location", "SMALL": "time", "MEDIUM": "measure", "STANDARD": "material", "PROMO": "event"}
+
+
+def _hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Senses, hypernyms and names of synsets made from table part."""
+    k = F.col("p_partkey")
+    part = read(spark, sf_dir, "part").select(k.cast("string").alias("lemma"), F.concat(F.lit("s"), k.cast("string")).alias("synset"), k.alias("k"), "p_type")
+    kind = F.concat(F.lit("type:"), F.col("p_type"))
+    up = part.select(F.col("synset").alias("child"), F.when(F.col("k") % 60 > 0, F.concat(F.lit("s"), (F.col("k") - 1).cast("string"))).otherwise(kind).alias("parent"), F.lit(1).alias("ordinal"))
+    other = part.select(F.col("synset").alias("child"), F.lit("elsewhere").alias("parent"), F.lit(2).alias("ordinal"))  # second pointers don't count
+    types = part.select(kind.alias("child"), F.lit("object").alias("parent"), F.lit(1).alias("ordinal")).distinct()
+    names = spark.createDataFrame([(f"type:{t}", name) for t, name in _TYPES.items()] + [("object", "physical_object")], "synset string, name string")
+    return part.select("lemma", "synset"), up.unionByName(other).unionByName(types), names
+
+
+_HEADS = "head AS (SELECT p.p_partkey AS k, b.p_type AS kind FROM part p JOIN part b ON b.p_partkey = p.p_partkey - p.p_partkey % 60)"
+
+
+@query(f"""WITH {_HEADS} SELECT k::VARCHAR AS lemma, kind = 'ECONOMY' AS is_person_or_group, kind = 'LARGE' AS is_location, true AS is_physical_object, kind = 'SMALL' AS is_time, kind = 'MEDIUM' AS is_measure, kind = 'STANDARD' AS is_material, kind = 'PROMO' AS is_event,
+  kind NOT IN ('ECONOMY', 'LARGE') AS is_thing FROM head""")
+def p21_lexical_predicates(spark, sf_dir):
+    senses, up, names = _hierarchy(spark, sf_dir)
+    out = lexicon.with_predicates(senses.select("lemma"), senses, up, names)
+    return out.select("lemma", *[f"is_{n}" for n in ("person_or_group", "location", "physical_object", "time", "measure", "material", "event", "thing")])
+
+
+@query(f"""WITH {_HEADS} SELECT 's' || k AS child, 's' || (k - d) AS ancestor, d AS distance FROM head, LATERAL (SELECT unnest(range(1, k % 60 + 1)) AS d)
+UNION ALL SELECT 's' || k, 'type:' || kind, k % 60 + 1 FROM head UNION ALL SELECT 's' || k, 'object', k % 60 + 2 FROM head UNION ALL SELECT DISTINCT 'type:' || p_type, 'object', 1 FROM part""")
+def p21b_hypernym_chains(spark, sf_dir):
+    return graphs.ancestors(_hierarchy(spark, sf_dir)[1])
+
+
+def _neighbours(rows: list) -> list[tuple]:
+    """A user's sieve: each entity of a sentence before the next one, and classes that are equal simultaneous."""
+    near = [(a, b) for a, b in zip(rows, rows[1:], strict=False) if a.sid == b.sid]
+    return [(a.id, b.id, "SIMULTANEOUS" if a.cls == b.cls else "BEFORE", 1 / (b.idx - a.idx + 1)) for a, b in near]
+
+
+@query(f"""WITH {ENTITIES}, n AS (SELECT doc, sid, id, cls, lead(id) OVER w AS next, lead(cls) OVER w AS next_cls FROM ent WINDOW w AS (PARTITION BY doc, sid ORDER BY idx))
+SELECT doc, id AS id1, next AS id2, CASE WHEN cls = next_cls THEN 'SIMULTANEOUS' ELSE 'BEFORE' END AS relation, 0.5::DOUBLE AS confidence FROM n WHERE next IS NOT NULL""")
+def u13_sieve_as_table_function(spark, sf_dir):
+    tablefunction.register(spark, "neighbours", _neighbours)
+    plain(spark, sf_dir).createOrReplaceTempView("sieve_entities")
+    return spark.sql("SELECT doc, id1, id2, relation, confidence FROM neighbours(TABLE(sieve_entities) PARTITION BY doc ORDER BY (sid, idx))")

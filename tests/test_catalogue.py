@@ -5,7 +5,7 @@ from chronoweave.plans import closing, corpus, features, texts  # noqa: F401  th
 from chronoweave.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "orders lineitem events documents labels conversations".split()
+TABLES = "orders lineitem events documents labels conversations part".split()
 
 
 @pytest.fixture(scope="module")

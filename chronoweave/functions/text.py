@@ -10,6 +10,9 @@ MODALS = ["would", "could", "might", "may", "should", "'d", "will"]
 WH_WORDS = ["who", "what", "when", "where", "why", "which", "how", "whom", "whose"]
 PERSONS = ["i", "you", "he", "she", "we", "they", "me", "him", "her", "us", "them", "himself", "herself", "themselves", "myself", "yourself", "ourselves"]
 INANIMATE = ["it", "itself", "its", "this", "that", "these", "those"]
+PERSON_NOUNS = ["man", "woman", "men", "women", "person", "people", "boy", "girl"]
+ABSTRACT_PERSONS = ["nobody", "noone", "someone", "somebody", "anyone", "anybody"]
+POINTERS = ["that", "this", "those", "these", "the"]
 NUMBERS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
 DETERMINERS = ["the", "a", "an", "these", "those"]
 
@@ -30,6 +33,18 @@ def is_inanimate_word(word: Column) -> Column:
     return F.lower(word).isin(*INANIMATE)
 
 
+def is_person_noun(word: Column) -> Column:
+    return F.lower(word).isin(*PERSON_NOUNS)
+
+
+def is_abstract_person(word: Column) -> Column:
+    return F.lower(word).isin(*ABSTRACT_PERSONS)
+
+
+def is_object_reference(word: Column) -> Column:
+    return F.lower(word).isin(*POINTERS)
+
+
 def is_number(word: Column) -> Column:
     return F.lower(word).isin(*NUMBERS) | F.regexp_like(word, F.lit(r"^[\d\s.\-/\\]+$"))
 

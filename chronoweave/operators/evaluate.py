@@ -67,6 +67,42 @@ def majority_baseline(rows: DataFrame) -> DataFrame:
     return counted.orderBy(F.desc("n"), "label").limit(1).join(F.broadcast(total)).select("label", "n", ratio(F.col("n"), F.col("total")).alias("share"))  # total is one row
 
 
+def link_kind(id1: Column, id2: Column, made: Column) -> Column:
+    """ee, et or tt by the ids' first letters; ed and td where one end is a creation time (made)."""
+    events = F.startswith(id1, F.lit("e")).cast("int") + F.startswith(id2, F.lit("e")).cast("int")
+    return F.when(events == 2, "ee").when(events == 1, F.when(made, "ed").otherwise("et")).otherwise(F.when(made, "td").otherwise("tt"))
+
+
+def report(guessed: DataFrame, gold: DataFrame, dcts: DataFrame) -> DataFrame:
+    """kind, closed, correct, incorrect, missed, no_gold, precision, recall, f1: over all links, by kind, by whether they were inferred, and by both.
+
+    guessed: doc, id1, id2, relation, closed; gold: doc, id1, id2, relation; dcts: doc, id. Null kind and closed stand for all. Pairs
+    that were missed belong to no value of closed, so they count where that is null.
+    """
+    a = canonical(guessed).groupBy("doc", "lo", "hi").agg(F.min(F.struct("rel", "closed")).alias("g")).select("doc", "lo", "hi", F.col("g.rel").alias("guess"), "g.closed")
+    b = canonical(gold).groupBy("doc", "lo", "hi").agg(F.min("rel").alias("truth"))
+    made = dcts.groupBy("doc").agg(F.collect_set("id").alias("made"))  # creation times of a document
+    rows = a.join(b, ["doc", "lo", "hi"], "full").join(made, "doc", "left")
+    is_made = F.coalesce(F.arrays_overlap("made", F.array("lo", "hi")), F.lit(False))
+    rows = rows.select(link_kind(F.col("lo"), F.col("hi"), is_made).alias("kind"), "closed", "guess", "truth")
+    own = rows.where("closed IS NULL")
+    twice = own.select(F.lit(None).cast("string").alias("kind"), "closed", "guess", "truth").unionByName(own.select("kind", "closed", "guess", "truth"))
+    known = rows.where("closed IS NOT NULL").withColumn("in", F.explode(F.array(*[F.struct(F.when(F.lit(k), F.col("kind")).alias("k"), F.when(F.lit(c), F.col("closed")).alias("c")) for k in (False, True) for c in (False, True)])))
+    return scores(known.select(F.col("in.k").alias("kind"), F.col("in.c").alias("closed"), "guess", "truth").unionByName(twice), ["kind", "closed"])
+
+
+def dataset_statistics(events: DataFrame, timexes: DataFrame, dcts: DataFrame, links: DataFrame) -> DataFrame:
+    """name, n: documents, sentences with entities, events, times, creation times, and links by kind and relation (links ee BEFORE, ...)."""
+    one = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+    places = events.select("doc", "sid").unionByName(timexes.select("doc", "sid"))
+    docs = places.select("doc").unionByName(dcts.select("doc")).distinct()
+    made = dcts.groupBy("doc").agg(F.collect_set("id").alias("made"))
+    kind = link_kind(F.col("id1"), F.col("id2"), F.coalesce(F.arrays_overlap("made", F.array("id1", "id2")), F.lit(False)))
+    by = links.join(made, "doc", "left").groupBy(F.concat_ws(" ", F.lit("links"), kind, "relation").alias("name")).agg(F.count("*").alias("n"))
+    out = one(docs, "documents").unionByName(one(places.distinct(), "sentences")).unionByName(one(events, "events")).unionByName(one(timexes, "times")).unionByName(one(dcts, "creation times"))
+    return out.unionByName(by)
+
+
 def kinds(id1: Column, id2: Column, dct: str = "t0") -> Column:
     """The agreement kinds of a pair: et and tt hold the pairs with the creation time too."""
     e = F.startswith(id1, F.lit("e")).cast("int") + F.startswith(id2, F.lit("e")).cast("int")
@@ -139,6 +175,30 @@ def renamed(annotations: DataFrame, instances: DataFrame) -> DataFrame:
     return annotations
 
 
+# The short labels of annotation files and the relations that they stand for.
+SHORT = {"a": "AFTER", "b": "BEFORE", "i": "INCLUDES", "ii": "IS_INCLUDED", "s": "SIMULTANEOUS", "v": "VAGUE", "mv": "MUTUAL_VAGUE", "pv": "PARTIAL_VAGUE", "nv": "NONE_VAGUE"}
+
+
+def link_elements(annotations: DataFrame, instances: DataFrame, times: DataFrame) -> DataFrame:
+    """doc, id1, id2, relation, link_type, element, problem of annotations (doc, id1, id2, label): their corpus elements, on instances.
+
+    instances: doc, eid, eiid; times: doc, id. Rows with an unknown event, time or label have no element and say so.
+    """
+    rows = annotations
+    known = times.select("doc", F.col("id").alias("t")).distinct()
+    for k in (1, 2):
+        own = instances.groupBy("doc", F.col("eid").alias(f"id{k}")).agg(F.min("eiid").alias(f"to{k}"))
+        rows = rows.join(own, ["doc", f"id{k}"], "left").join(known.withColumnRenamed("t", f"id{k}").withColumn(f"time{k}", F.col(f"id{k}")), ["doc", f"id{k}"], "left")
+    end = lambda k: F.when(F.startswith(f"id{k}", F.lit("e")), F.col(f"to{k}")).otherwise(F.col(f"time{k}"))
+    relation = F.lit(None).cast("string")
+    for short, name in SHORT.items():
+        relation = F.when(F.col("label") == short, name).otherwise(relation)
+    rows = rows.withColumns({"e1": end(1), "e2": end(2), "relation": relation, "link_type": link_kind(F.col("id1"), F.col("id2"), F.lit(False))})
+    problem = F.when(F.col("e1").isNull() | F.col("e2").isNull(), "unknown id").when(F.col("relation").isNull(), "unknown label")
+    element = F.format_string('<tlink event1="%s" event2="%s" relation="%s" closed="false" type="%s"/>', "e1", "e2", "relation", "link_type")
+    return rows.select("doc", "id1", "id2", "relation", "link_type", F.when(problem.isNull(), element).alias("element"), problem.alias("problem"))
+
+
 def trimmed(annotations: DataFrame, ids: DataFrame) -> DataFrame:
     """Annotations whose two ids are both in ids (doc, id)."""
     for k in (1, 2):
@@ -175,6 +235,15 @@ def window_pair_counts(events: DataFrame, reach: int = 1) -> DataFrame:
     return across.groupBy("doc").agg(F.sum(F.expr("n * (n - 1) div 2 + n * coalesce(m, 0)")).alias("pairs"))
 
 
+def pattern_relations(both: DataFrame, columns: list[str], relations: list[str] | None = None, relation: str = "relation") -> DataFrame:
+    """For every subset of columns a row for each of its patterns: any_* (1: left out), n, and each relation's share of it."""
+    relations = relations or SCORED
+    own = both.where(F.col(relation).isin(*relations))
+    counts = [F.count_if(F.col(relation) == r).alias(r) for r in relations]
+    counted = own.cube(*columns).agg(F.count("*").alias("n"), *[F.grouping(c).cast("int").alias(f"any_{c}") for c in columns], *counts)
+    return counted.withColumns({r: ratio(F.col(r), F.col("n")) for r in relations})
+
+
 def masked_counts(both: DataFrame, columns: list[str], relation: str = "relation") -> DataFrame:
     """For every subset of columns, counts by relation and each count's share of its pattern; one pass of grouping sets."""
     counted = both.cube(*columns).agg(F.count("*").alias("n"), *[F.grouping(c).alias(f"any_{c}") for c in columns], F.count_if(F.col(relation) == "VAGUE").alias("vague"))

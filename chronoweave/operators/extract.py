@@ -169,7 +169,12 @@ def with_modal_future(events: DataFrame, deps: DataFrame) -> DataFrame:
 
 
 def creation_day(timexes: DataFrame, how: str = "first") -> DataFrame:
-    """doc, value: the first day named in the document, or the commonest (the last first seen of those tied)."""
+    """doc, value: the first day named in the document ("first"), the commonest ("common", the last first seen of those tied), the value
+    of its first DATE ("date"), or the day that this runs on ("today")."""
+    if how == "today":
+        return timexes.select("doc").distinct().withColumn("value", F.current_date().cast("string"))
+    if how == "date":
+        return timexes.where("type = 'DATE'").groupBy("doc").agg(F.min_by("value", F.struct("sid", "idx")).alias("value"))
     day = F.regexp_extract("value", r"^(\d{4}-\d\d-\d\d)", 1)
     days = timexes.withColumn("day", day).where("day <> ''")
     if how == "first":
@@ -217,3 +222,24 @@ def marked_up(toks: DataFrame, spans: DataFrame) -> DataFrame:
     both = toks.join(opened, ["doc", "sid", "idx"], "left").join(closed, ["doc", "sid", "idx"], "left")
     piece = F.concat(before, F.coalesce("open", F.lit("")), escaped, F.coalesce("close", F.lit("")))
     return both.groupBy("doc", "sid").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("idx", piece.alias("p")))), lambda s: s["p"])).alias("markup"))
+
+
+def marked_texts(toks: DataFrame, events: DataFrame, timexes: DataFrame, element: str = "EVENT", id_name: str = "eid", numeric: bool = False, attributes: tuple[str, ...] = ("tense", "aspect", "class")) -> DataFrame:
+    """doc, markup: the texts of token_table() with elements around events and times.
+
+    element and id_name name an event's element and its id; numeric takes the letter off the id; attributes are those shown of tense,
+    aspect and class (column cls). & in the text is escaped.
+    """
+    shown = {"tense": "tense", "aspect": "aspect", "class": "cls"}
+    name = F.when(F.lit(numeric), F.regexp_replace("eid", "^e", "")).otherwise(F.col("eid"))
+    parts = [F.concat(F.lit(f' {a}="'), F.coalesce(F.col(shown[a]).cast("string"), F.lit("NONE")), F.lit('"')) for a in attributes]
+    events = events.groupBy("doc", "sid", "idx").agg(F.min(F.concat(F.lit(f'<{element} {id_name}="'), name, F.lit('"'), *parts, F.lit(">"))).alias("event"))
+    kind = F.concat(*[F.coalesce(F.concat(F.lit(f' {a}="'), F.col(c).cast("string"), F.lit('"')), F.lit("")) for a, c in (("tid", "id"), ("type", "type"), ("value", "value"))])
+    opened = timexes.groupBy("doc", "sid", "idx").agg(F.min(F.concat(F.lit("<TIMEX3"), kind, F.lit(">"))).alias("time"))
+    closed = timexes.select("doc", "sid", (F.col("idx") + F.greatest("len", F.lit(1)) - 1).alias("idx"), F.lit("</TIMEX3>").alias("end")).distinct()
+    key = ["doc", "sid", "idx"]
+    rows = toks.join(events, key, "left").join(opened, key, "left").join(closed, key, "left")
+    none = F.lit("")
+    piece = F.concat(F.coalesce("event", none), F.coalesce("time", none), F.replace("token", F.lit("&"), F.lit("&amp;")), F.when(F.col("event").isNotNull(), f"</{element}>").otherwise(""), F.coalesce("end", none), "after")
+    own = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("sid", "idx", "before", piece.alias("piece")))).alias("t"))
+    return own.select("doc", F.concat(F.get("t", F.lit(0))["before"], F.array_join(F.transform("t", lambda x: x["piece"]), "")).alias("markup"))

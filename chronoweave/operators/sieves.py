@@ -301,6 +301,13 @@ def dependency_report(c: Corpus) -> DataFrame:
     return pairs.governed(c.events, c.deps).groupBy("reln", "cls1", "cls2", "tense1", "tense2").agg(F.count("*").alias("n"))
 
 
+def dependency_pairs(c: Corpus) -> DataFrame:
+    """doc, sid, id1, id2, reln with both events' words and attributes: what dependency_report() counts, one by one."""
+    both = pairs.governed(c.events, c.deps).withColumnRenamed("sid1", "sid")
+    names = [f"{n}{k}" for n in ("text", "pos", "tense", "aspect", "cls") for k in (1, 2) if f"{n}{k}" in both.columns]
+    return both.select("doc", "sid", "id1", "id2", "reln", *names)
+
+
 def before_word(c: Corpus, compat: bool = True) -> DataFrame:
     """A present event after the word before: the first follows it. compat asks for two tenses at once, which no event has."""
     tense = (F.col("tense2") == "PRESENT") & (F.col("tense2") == "PRESPART") if compat else F.col("tense2").isin("PRESENT", "PRESPART")

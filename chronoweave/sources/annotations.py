@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,3 +116,28 @@ def write_features_with_pairs(rows: DataFrame, path: str) -> None:
     """The feature file, and beside it the same rows with their ids, for reading by people."""
     write_features(rows, f"{path}/features")
     rows.select(F.concat_ws("\t", "doc", "id1", "id2", "label", F.array_join("features", "\t"))).write.text(f"{path}/debug")
+
+
+def tagged_by(tokens: DataFrame, command: list[str]) -> DataFrame:
+    """doc, sid, idx, token, tag: what an outside tagger makes of sentences (doc, sid, idx, token).
+
+    command reads a sentence a line, tokens with blanks between, and writes a line of tags for each; it runs once for each task, on every
+    executor. A line with another number of tags than tokens, or a command that fails, is an error.
+    """
+    import subprocess
+
+    lines = tokens.groupBy("doc", "sid").agg(F.array_sort(F.collect_list(F.struct("idx", "token"))).alias("t"))
+
+    def run(batches):
+        for batch in batches:
+            rows = [r for r in batch.to_pylist() if r["t"]]
+            if not rows:
+                continue
+            given = "".join(" ".join(x["token"] for x in r["t"]) + "\n" for r in rows)
+            tags = [line.split() for line in subprocess.run(command, input=given, capture_output=True, text=True, check=True).stdout.splitlines()]
+            if [len(r["t"]) for r in rows] != [len(x) for x in tags]:
+                raise ValueError(f"{command[0]} gave other numbers of tags than it got tokens")
+            yield pa.RecordBatch.from_pylist([{"doc": r["doc"], "sid": r["sid"], **x, "tag": tag} for r, own in zip(rows, tags, strict=True) for x, tag in zip(r["t"], own, strict=True)], schema=kind)
+
+    kind = pa.schema([("doc", pa.string()), ("sid", pa.int32()), ("idx", pa.int32()), ("token", pa.string()), ("tag", pa.string())])
+    return lines.mapInArrow(run, "doc string, sid int, idx int, token string, tag string")

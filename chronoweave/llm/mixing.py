@@ -33,26 +33,35 @@ def key(weight: Column, *identity: Column, seed: int = 42) -> Column:
     return F.least(((F.lit(1.0) - F.pow(u, F.lit(1.0) / weight)) * (1 << DIGIT_BITS * DIGITS)).cast("long"), F.lit((1 << DIGIT_BITS * DIGITS) - 1))
 
 
+def numbered(sizes: DataFrame) -> DataFrame:
+    """sizes with n, each source's number from 0 by code point, null last: ranges of sources are counted, then numbered from where each begins."""
+    order = [F.col("source").isNull(), F.col("source")]
+    ranged = common.written(sizes.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "mix-sources")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return ranged.join(starts, "_part").withColumn("n", F.col("_start") + place).drop("_part", "_start")
+
+
 def source_targets(sizes: DataFrame, share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """sizes: a row (source, source_size) for each source. Adds target, epochs and rest, the words beyond whole epochs.
 
     Sources weigh weights in turn by code point, null last. Targets are the level at which
-    min(most * size, level * weight) add up to share of all sizes: what sharing out each excess by
-    weight again and again ends in.
+    min(most * size, level * weight) add up to share of all sizes: sources beyond most times their size
+    stop there and the rest is shared out by weight again, until none is above. A round is one sum over all sources.
     """
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1, F.lit(len(weights))) + 1).cast("int"))
-    ranked = sizes.select("source", "source_size", w.alias("w"), (F.col("source_size") * most).alias("top"))
-    full = Window.orderBy(F.col("top") / F.col("w"), F.asc_nulls_last("source"))
-    ranked = ranked.select(
-        "*", F.row_number().over(full).alias("n"),
-        F.coalesce(F.sum("top").over(full.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("capped"),
-        F.sum("w").over(full.rowsBetween(0, Window.unboundedFollowing)).alias("open"),
-        (F.sum("source_size").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * share).alias("all"),
-    )
-    level = (F.col("all") - F.col("capped")) / F.col("open")
-    found = F.min(F.when((level <= F.col("top") / F.col("w") * (1 + 1e-12)), F.struct("n", level.alias("level")))).over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    target = F.least(F.col("top"), found["level"] * F.col("w"))
-    out = ranked.select("source", "source_size", target.alias("target"))
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("n"), F.lit(len(weights))) + 1).cast("int"))
+    ranked = common.written(numbered(sizes).select("source", "source_size", w.alias("w"), (F.col("source_size") * most).alias("top")), "mix-ranked")
+    total = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0))).head()[0] * share
+    level, stopped = 0.0, -1
+    while True:
+        # A source whose top by weight is at most the level has stopped; levels only rise.
+        over = F.col("top") / F.col("w") <= level * (1 + 1e-12) if stopped >= 0 else F.lit(False)
+        r = ranked.agg(F.coalesce(F.sum(F.when(over, F.col("top"))), F.lit(0.0)).alias("full"), F.sum(F.when(~over, F.col("w"))).alias("open"), F.count(F.when(over, 1)).alias("n")).head()
+        if r.n == stopped or r.open is None:
+            break
+        level, stopped = (total - r.full) / r.open, r.n
+    out = ranked.select("source", "source_size", F.least(F.col("top"), F.lit(float(level)) * F.col("w")).alias("target"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     return out.withColumn("epochs", epochs).withColumn("rest", F.greatest(F.round("target").cast("long") - F.col("epochs") * F.col("source_size"), F.lit(0)))
 
@@ -119,7 +128,10 @@ def mix(docs: DataFrame, seed: int = 42, **options) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: int = 42, **options) -> DataFrame:
-    """docs as the mix has them: each row as often as it is taken; the row at a budget's end is taken if at least half of it fits."""
+    """docs as the mix has them: each row as often as it is taken; the row at a budget's end is taken if at least half of it fits.
+
+    Null texts have no words and null sources are one; an empty table gives none; other columns, whatever their names, stay.
+    """
     size, weight, hashed, ordinal, name = common.fresh(docs, "size", "weight", "hash", "key", "of")
     rows = common.written(keyed(docs, seed), "mix-rows")
     plans, n = plan(rows, **options)

@@ -76,4 +76,4 @@ QUERIES = {
         op11_quality_rules, op12_collocations, op13_merkle_manifest,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_rank_aggregation": rank_aggregation.SQL, "op11_quality_rules": quality_rules.SQL, "op12_collocations": collocations.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_rank_aggregation": rank_aggregation.SQL, "op11_quality_rules": quality_rules.SQL, "op12_collocations": collocations.SQL, "op13_merkle_manifest": merkle.SQL}

@@ -17,7 +17,7 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.llm import common, tokens
@@ -25,6 +25,8 @@ from chronoweave.llm import common, tokens
 MAGIC = b"CWWAVE1\n"
 BLOCK_BITS = 1 << 19
 SHARD_TOKENS = 4 << 20
+#: Tasks that read files, at most; beyond so many files a task reads several.
+READ_TASKS = 20_000
 
 
 def to_file(ids: np.ndarray, doc_ids: list[int | None], doc_ends: np.ndarray) -> bytes:
@@ -230,34 +232,38 @@ def _writer(folder: str, path: str, shard_tokens: int):
     return run
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS) -> list[dict]:
+def write(docs: DataFrame, folder: str, tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Writes ids of docs (doc_id, text) in ascending doc_id order (null first) and returns the manifest, a row a file.
 
     A null text is empty, rows with the same doc_id stand in the order of their texts, and each
     document ends with the end id. Other columns are ignored. An empty table writes no file. The
-    manifest's start is the number of ids in the files before: one number a file is all that the
-    driver gathers.
+    manifest is a table in the folder; its start is the number of ids in the files before, from one sum for each range of
+    documents.
     """
+    spark = docs.sparkSession
     store, root = _filesystem(folder)
     store.create_dir(root, recursive=True)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    made = ordered.mapInArrow(_writer(folder, tokenizer or tokens.default_path(), shard_tokens), "part long, shard long, name string, n_tokens long, n_docs long")
-    manifest = [r.asDict() for r in sorted(made.collect(), key=lambda r: (r.part, r.shard))]
-    start = 0
-    for m in manifest:
-        m |= {"start": start}
-        start += m["n_tokens"]
-    with store.open_output_stream(f"{root}/manifest.json") as out:
-        out.write(json.dumps(manifest).encode())
-    return manifest
+    schema = "part long, shard long, name string, n_tokens long, n_docs long"
+    made = ordered.mapInArrow(_writer(folder, tokenizer or tokens.default_path(), shard_tokens), schema)
+    made.write.mode("overwrite").parquet(f"{folder}/files")
+    made = spark.read.schema(schema).parquet(f"{folder}/files")
+    ranges = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of documents
+    starts = made.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(ranges), F.lit(0)).alias("first"))
+    own = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("first") + F.coalesce(F.sum("n_tokens").over(own), F.lit(0))
+    made.join(starts, "part").withColumn("start", start).drop("first").write.mode("overwrite").parquet(f"{folder}/manifest")
+    return manifest(spark, folder)
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """part, shard, name, n_tokens, n_docs, start of the files in a folder."""
+    return spark.read.schema("part long, shard long, name string, n_tokens long, n_docs long, start long").parquet(f"{folder}/manifest")
 
 
 def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids) of every document, from the files of a folder."""
-    store, root = _filesystem(folder)
-    with store.open_input_stream(f"{root}/manifest.json") as f:
-        manifest = json.loads(f.read())
 
     def run(batches):
         for batch in batches:
@@ -272,8 +278,9 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays([*columns, *[pa.array(parts, pa.binary())] * with_ids], [*names, *["ids"] * with_ids])
 
-    files = spark.createDataFrame([(m["name"], m["start"]) for m in manifest], "name string, start long")
-    return files.repartition(max(1, len(manifest))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    files = manifest(spark, folder).select("name", "start")
+    dealt = files.repartition(max(1, min(READ_TASKS, files.count())))  # a file is a large piece of work
+    return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -1,12 +1,14 @@
 """Encoding whole texts with a public tokenizer file, word by word with a bounded cache.
 
-The vocabulary used here ends each word with its own token and drops white space, so that a text's
+The vocabulary used by default ends each word with its own token and drops white space, so that a text's
 ids are those of its pieces between white space. Pieces of plain Latin letters and signs are split
-and looked up in the BPE model directly; anything else goes through the whole tokenizer.
+and looked up in the BPE model directly; anything else goes through the whole tokenizer. A file that lowers, splits or
+looks up in another way is known by what it states, and encodes whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -16,6 +18,16 @@ DEFAULT_FILE = "word_bpe_49k.json"
 END_ID = 1
 CACHED_PIECES = 900_000
 
+# What a tokenizer file states that encodes piece by piece as below.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None, "truncation": None, "padding": None,
+}
+
 _PLAIN = re.compile("[\x21-\x7e\xa1-\xac\xae-\xff]+")
 #: The vocabulary's own splitting pattern, its letter and number classes spelt out for Latin-1.
 _LETTER, _NUMBER = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
@@ -44,6 +56,9 @@ class PieceEncoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        stated = json.loads(self.whole.to_str())
+        added = [t["content"] for t in stated["added_tokens"]]
+        self.by_pieces = all(stated.get(k) == v for k, v in KNOWN.items()) and stated["model"]["type"] == "BPE" and all(t.startswith("<|") for t in added)
         self.letters = byte_letters()
         self.cached = cached
         self.ids: dict[bytes, bytes] = {}
@@ -79,7 +94,7 @@ class PieceEncoder:
     def encode(self, text: bytes | None) -> bytes:
         if not text:
             return b""
-        if b"<|" in text:  # may hold a special token, which is found before letters are lowered
+        if not self.by_pieces or b"<|" in text:  # may hold a special token, which is found before letters are lowered
             return self._whole(text)
         pieces = text.lower().split()
         try:
@@ -91,7 +106,7 @@ class PieceEncoder:
     def count(self, text: bytes | None) -> int:
         if not text:
             return 0
-        if b"<|" in text:
+        if not self.by_pieces or b"<|" in text:
             return len(self._whole(text)) // 4
         pieces = text.lower().split()
         try:

@@ -70,6 +70,37 @@ def test_repeated_rows_and_empty_tables(spark):
     assert [(r.size, r.target, r.taken) for r in none] == [(0, 0.0, 0)] * 2
 
 
+def test_the_documents_taken_are_those_with_the_least_keys(spark):
+    """Against a sort of each source by key and a sum along it: whole epochs, then whole documents up to the budget, then what is left of it."""
+    rows = [(k, ("w " * (k * 7 % 50 + 1)) + "!" * (k % 5), ["big", "big", "small", None][k % 4]) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    keys = {r.doc_id: (r.source, r.size, r.key) for r in mixing.keyed(docs).collect()}
+    sizes = defaultdict(int)
+    for source, n, _ in keys.values():
+        sizes[source] += n
+    want = {}
+    for source, target in brute_targets(sizes).items():
+        own = sorted((k, d, n) for d, (s, n, k) in keys.items() if s == source)
+        epochs = int(target // sizes[source])
+        left = round(target) - epochs * sizes[source]
+        for _, d, n in own:
+            part = min(n, max(left, 0))
+            want[d], left = epochs * n + part, left - n
+    got = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    assert len(set(k for _, _, k in keys.values())) == 400 and got == want
+    copies = defaultdict(int)
+    for r in mixing.mixed(docs).collect():
+        copies[r.doc_id] += 1
+    assert all(abs(copies[d] * keys[d][1] - want[d]) <= keys[d][1] / 2 for d in want)  # the one at a budget's end is rounded
+
+
+def test_targets_of_many_sources(spark):
+    sizes = {f"s{k:04d}": (k * 37 % 100) ** 2 + 1 for k in range(1500)} | {None: 10**6}
+    got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    want = brute_targets(sizes)
+    assert len(got) == len(want) and all(r.target == pytest.approx(want[r.source], rel=1e-9) for r in got)
+
+
 def test_copies_follow_the_mix(spark):
     docs = spark.createDataFrame([(k, "w " * 10, f"s{k % 3}", "e") for k in range(60)], "doc_id long, text string, source string, epochs string")
     out = mixing.mixed(docs)

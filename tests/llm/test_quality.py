@@ -41,6 +41,44 @@ def test_flat_trees_equal_a_walk():
     assert np.allclose(margin, forest.margin(x)) and ((forest.score(x) >= 0.5) == y).mean() > 0.9
 
 
+def test_a_boosting_step_equals_an_exhaustive_search():
+    """The first tree's splits are those of greatest gain among all statistics and edges, level by level, and its leaves Newton steps."""
+    r = np.random.default_rng(8)
+    x = np.column_stack([r.normal(size=300).round(1), r.integers(0, 4, 300), r.exponential(size=300).round(2)])
+    y = ((x[:, 0] + x[:, 1] > 1) ^ (r.random(300) < 0.1)).astype(float)
+    bins, smooth, rate = 16, 1.0, 0.3
+    forest = quality.fit_forest(x, y, trees=1, depth=2, bins=bins, rate=rate, smooth=smooth)
+    p = (y.sum() + 1) / (len(y) + 2)
+    g, h = y - p, np.full(len(y), p * (1 - p))
+    assert forest.base == np.log(p / (1 - p))
+
+    def part(rows):
+        return g[rows].sum() ** 2 / (h[rows].sum() + smooth)
+
+    def best(rows):
+        found = (1e-6, None, None)
+        for f in range(3):
+            for limit in np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])):
+                low, high = rows & (x[:, f] <= limit), rows & (x[:, f] > limit)
+                if h[low].sum() >= 1 and h[high].sum() >= 1:
+                    found = max(found, (part(low) + part(high) - part(rows), f, limit), key=lambda t: t[0])
+        return found
+
+    def gain(rows, f, limit):
+        return part(rows & (x[:, f] <= limit)) + part(rows & (x[:, f] > limit)) - part(rows)
+
+    nodes = {0: np.ones(300, dtype=bool)}
+    for k in range(3):
+        top, f, _ = best(nodes[k])
+        own_f, own_limit = forest.feature[0][k], forest.limit[0][k]
+        if f is not None:
+            assert abs(gain(nodes[k], own_f, own_limit) - top) < 1e-9
+        nodes[2 * k + 1], nodes[2 * k + 2] = nodes[k] & (x[:, own_f] <= own_limit), nodes[k] & (x[:, own_f] > own_limit)
+    for k in range(4):
+        rows = nodes[3 + k]
+        assert forest.leaf[0][k] == np.float64(rate * g[rows].sum() / (h[rows].sum() + smooth)) or abs(forest.leaf[0][k] - rate * g[rows].sum() / (h[rows].sum() + smooth)) < 1e-12
+
+
 def test_labels_of_held_out_rows_are_not_read(spark):
     docs = spark.createDataFrame([(k, "good words here" if k % 2 else "### ###") for k in range(200)], "doc_id long, text string")
     held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 3 == 1]

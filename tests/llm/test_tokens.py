@@ -167,3 +167,29 @@ def test_counts_of_odd_tables(spark):
     assert token_counts.suffix_sums(token_counts.histogram(none)).count() == 0
     two = spark.createDataFrame([(1, None, 3), (1, None, 3), (2, "a", 3)], "doc_id long, text string, n_docs int")
     assert [(r.n_tokens, r.n_docs, r.docs_at_least) for r in token_counts.suffix_sums(token_counts.histogram(two)).orderBy("n_tokens").collect()] == [(1, 2, 3), (2, 1, 1)]
+
+
+def test_other_tokenizer_files_are_not_taken_for_the_known_one():
+    """A file that splits or lowers in another way gives the ids that its own library gives."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other, known = tokens.PieceEncoder(path), tokens.PieceEncoder(tokens.default_path())
+    assert known.by_pieces and not other.by_pieces
+    for text in ("Hello WORLD  don't 42", "", "Ünïcode\n\ttabs"):
+        want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(other.encode(text.encode()), dtype="<u4").tolist() == want and other.count(text.encode()) == len(want)
+
+
+def test_a_manifest_covers_all_files(spark):
+    folder = token_files.common.new_path(spark, "token-files")
+    docs = spark.createDataFrame([(k, "word " * (k % 7)) for k in range(500)], "doc_id long, text string")
+    rows = token_files.write(docs, folder, shard_tokens=50).orderBy("part", "shard").collect()
+    assert len(rows) > 20 and sum(r.n_docs for r in rows) == 500
+    at = 0
+    for r in rows:
+        assert r.start == at
+        at += r.n_tokens
+    got = token_files.read(spark, folder).orderBy("start").collect()
+    assert [r.doc_id for r in got] == list(range(500)) and got[-1].start + got[-1].n_tokens == at

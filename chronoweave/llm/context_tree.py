@@ -41,7 +41,7 @@ BATCH_ROWS = 256
 #: Words whose counts are broadcast, and the length of the longest of them: a bound of 12 MB.
 FREQUENT, FREQUENT_BYTES = 1 << 17, 64
 #: Distinct words that a task adds up before it hands them on.
-FLUSH = 1 << 19
+FLUSH = 1 << 21
 END = b"\xff"
 #: Logarithms are handed back as 24-bit numbers of steps of 1 / STEPS: no byte is less likely than 10 ** -256.
 STEPS = 1 << 16
@@ -177,25 +177,34 @@ class Positions:
 
     def __init__(self, texts: bytes, sizes: np.ndarray, depth: int):
         self.texts, self.depth, own, pair = texts, depth, _inside(texts, sizes), _before(texts, 2)
-        counted = np.zeros(1 << 16, dtype=np.int64)
+        counted, nears = np.zeros(1 << 16, dtype=np.int64), []
         chunks = range(0, len(own), self.CHUNK)
         for c in chunks:
-            counted += np.bincount(pair[c : c + self.CHUNK][own[c : c + self.CHUNK]], minlength=1 << 16)
+            nears.append(pair[c : c + self.CHUNK][own[c : c + self.CHUNK]])
+            counted += np.bincount(nears[-1], minlength=1 << 16)
         ends = np.cumsum(counted)
         free, self.order = (ends - counted).tolist(), np.empty(int(ends[-1]), dtype=np.uint32)
         found = np.flatnonzero(counted)
         self.pairs = list(zip(found.tolist(), (ends - counted)[found].tolist(), ends[found].tolist(), strict=True))
         for c in chunks:
-            at = np.flatnonzero(own[c : c + self.CHUNK])
-            near = pair[c : c + self.CHUNK][at]
-            order = np.argsort(near, kind="stable")
-            near, at = near[order], (at[order] + c).astype(np.uint32)
+            at, near = np.flatnonzero(own[c : c + self.CHUNK]), nears.pop(0)
+            both = np.sort(near.astype(np.uint64) << np.uint64(32) | (at + c).astype(np.uint64))  # pair and place in one number
+            near, at = (both >> np.uint64(32)).astype(np.uint32), both.astype(np.uint32)
             cuts = np.flatnonzero(np.append(True, near[1:] != near[:-1])) if len(near) else near
             for p, a, b in zip(near[cuts].tolist(), cuts.tolist(), np.append(cuts[1:], len(near)).tolist(), strict=True):
                 self.order[free[p] : free[p] + b - a] = at[a:b]
                 free[p] += b - a
         self._eight, self._letters = _before(texts, 8), np.frombuffer(texts, dtype=np.uint8)[BEFORE:]
 
+    def sorted_keys(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of order[a:b] in order, and where each stands; of so few that both fit, as one number."""
+        key, bits = self.keys(a, b), 64 - 8 * (self.depth - 1)
+        if b - a > 1 << bits:
+            order = np.argsort(key)
+            return key[order], order
+        both = np.sort(key << np.uint64(bits) | np.arange(b - a, dtype=np.uint64))
+        return both >> np.uint64(bits), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+
     def keys(self, a: int, b: int) -> np.ndarray:
         """The keys of order[a:b]: the bytes before the pair, the nearest first, then the byte itself."""
         at = self.order[a:b]
@@ -207,6 +216,11 @@ class Positions:
         return out
 
 
+def _width(values: np.ndarray) -> int:
+    """Bytes that the largest of integers takes."""
+    return max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+
+
 def _planes(values: np.ndarray, width: int) -> bytes:
     """The width low bytes of integers, a plane for each byte, compressed."""
     import zstandard
@@ -311,7 +325,7 @@ def grams(packs: DataFrame, split: set[bytes], depth: int) -> DataFrame:
                     count = np.diff(np.append(at, len(both))) - np.add.reduceat(both & np.uint64(1), at).astype(np.int64)
                     keys = key[at]
                     for context, u, v in cut(keys, pair.to_bytes(2, "big"), split, depth):
-                        rows.append((code_of(context), v - u, _planes(np.diff(keys[u:v], prepend=np.uint64(0)), depth - 1), _planes(count[u:v], 8 if count.max() >> 32 else 4)))
+                        rows.append((code_of(context), v - u, _planes(np.diff(keys[u:v], prepend=np.uint64(0)), depth - 1), _planes(count[u:v], _width(count[u:v]))))
                     if len(rows) >= 256:
                         yield out(shard.as_py(), rows)
                         rows = []
@@ -427,7 +441,8 @@ def leaves(table: DataFrame, depth: int) -> DataFrame:
         counts = np.concatenate([_values(c, n) for _, n, _, c in rows])
         union, place = np.unique(keys, return_inverse=True)
         at = np.cumsum([0, *[n for _, n, _, _ in rows]])
-        members = [_planes(np.diff(place[a:b], prepend=0), 4) for a, b in zip(at[:-1], at[1:], strict=True)]
+        steps = [np.diff(place[a:b], prepend=0) for a, b in zip(at[:-1], at[1:], strict=True)]
+        members = [_planes(x, _width(x)) for x in steps]
         return union, np.bincount(place, counts, len(union)).astype(np.int64), [r[0] for r in rows], [r[1] for r in rows], members
 
     def emit(held: list[tuple]) -> pa.RecordBatch:
@@ -440,7 +455,7 @@ def leaves(table: DataFrame, depth: int) -> DataFrame:
         nodes = pa.StructArray.from_arrays([pa.array(own[1].astype(np.int32)), pa.array(own[2]), pa.array(own[3]), pa.array(own[4])], fields=list(node_type.value_type))
         columns = [
             pa.array([h[0] for h in held], pa.int64()), pa.array([len(h[1]) for h in held], pa.int64()),
-            pa.array([_planes(np.diff(h[1], prepend=np.uint64(0)), depth - 1) for h in held], pa.binary()), pa.array([_planes(h[2], 8) for h in held], pa.binary()),
+            pa.array([_planes(np.diff(h[1], prepend=np.uint64(0)), depth - 1) for h in held], pa.binary()), pa.array([_planes(h[2], _width(h[2])) for h in held], pa.binary()),
             pa.array([h[3] for h in held], pa.list_(pa.int64())), pa.array([h[4] for h in held], pa.list_(pa.int64())), pa.array([h[5] for h in held], pa.list_(pa.binary())),
             pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), nodes),
         ]
@@ -575,12 +590,10 @@ def summed(packs: DataFrame, logs: DataFrame, frequent, depth: int) -> DataFrame
         own, logs, off = Positions(texts, sizes, depth), np.concatenate(values), 0
         out = np.zeros(len(texts) - BEFORE, dtype=np.float32)
         for _, a, b in own.pairs:
-            key = own.keys(a, b)
-            order = np.argsort(key)
-            key = key[order]
-            place = np.cumsum(np.append(False, key[1:] != key[:-1]))
-            out[own.order[a:b][order]] = logs[off + place]
-            off += int(place[-1]) + 1
+            key, order = own.sorted_keys(a, b)
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            out[own.order[a:b][order]] = np.repeat(logs[off : off + len(first)], np.diff(np.append(first, len(key))))
+            off += len(first)
         score = np.add.reduceat(out, np.cumsum(np.append(0, sizes[:-1] + BEFORE)), dtype=np.float64)
         words, n_words = split_words(texts, pack["sizes"])
         words = words.dictionary_encode()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave import scratch
+from chronoweave.functions.relations import inverted
 from chronoweave.operators import cascade, extract, timegrammar
 from chronoweave.operators.classify import EventModels
 from chronoweave.operators.learned import LearnedSieve
@@ -59,9 +60,7 @@ def relabelled(links: DataFrame, corpus: cascade.Corpus, sieves: list) -> DataFr
     made = cascade.proposals(corpus, sieves)
     if made is None:
         return links
-    best = cascade.first_wins(made).select("doc", F.col("id1").alias("a"), F.col("id2").alias("b"), F.col("relation").alias("new"))
-    from chronoweave.functions.relations import inverted
-
-    both = best.unionByName(best.select("doc", F.col("b").alias("a"), F.col("a").alias("b"), inverted(F.col("new")).alias("new")))
-    own = links.join(both, (links.doc == both.doc) & (F.col("id1") == F.col("a")) & (F.col("id2") == F.col("b")), "left").drop(both.doc)
-    return own.withColumn("relation", F.coalesce("new", "relation")).drop("a", "b", "new")
+    best = cascade.first_wins(made).select("doc", "id1", "id2", F.col("relation").alias("new"))
+    both = best.unionByName(best.select("doc", F.col("id2").alias("id1"), F.col("id1").alias("id2"), inverted(F.col("new")).alias("new")))
+    own = links.join(both, ["doc", "id1", "id2"], "left").withColumn("relation", F.coalesce("new", "relation"))
+    return own.select(*links.columns)

@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from chronoweave.plans import closing, corpus, features, reports, texts  # noqa: F401  they add their queries
+from chronoweave.plans import closing, corpus, features, reports, selections, texts  # noqa: F401  they add their queries
 from chronoweave.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

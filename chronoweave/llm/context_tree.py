@@ -32,8 +32,11 @@ DEPTH = 7
 BEFORE = 8
 #: Bytes of context that a leaf has at least, and at most.
 SHORTEST, LONGEST = 2, 6
-#: Bytes of text after a leaf's context beyond which it is split by one more byte.
-LEAF_BYTES = 1 << 23
+#: Bytes of text after a leaf's context beyond which it is split by one more byte, and contexts of a length that are split at most: of
+#: more bytes than both together, leaves get larger, as the driver and tasks know all contexts that are split.
+LEAF_BYTES, MOST_SPLIT = 1 << 23, 1 << 16
+#: Shards whose grams of a leaf meet in a task; those of more shards are bundled before, and answers are given to bundles.
+MOST_SHARDS = 1 << 12
 #: Bytes of text in a shard, and grams that are weighed at a time.
 SHARD_BYTES, BATCH_GRAMS = 10 << 20, 1 << 19
 #: Rows of an Arrow batch: shards, leaves and what they tell each other are large.
@@ -41,7 +44,7 @@ BATCH_ROWS = 256
 #: Words whose counts are broadcast, and the length of the longest of them: a bound of 12 MB.
 FREQUENT, FREQUENT_BYTES = 1 << 17, 64
 #: Distinct words that a task adds up before it hands them on.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 END = b"\xff"
 #: Logarithms are handed back as 24-bit numbers of steps of 1 / STEPS: no byte is less likely than 10 ** -256.
 STEPS = 1 << 16
@@ -265,7 +268,7 @@ def cut(keys: np.ndarray, context: bytes, split: set[bytes], depth: int, low: in
 
 
 def crowded(packs: DataFrame, depth: int, leaf_bytes: int) -> set[bytes]:
-    """The contexts that stand before more than leaf_bytes bytes: at most as many as all bytes over leaf_bytes, for each length."""
+    """The contexts that stand before more than leaf_bytes bytes: at most as many as all bytes over leaf_bytes, for each length, so MOST_SPLIT."""
     split: set[bytes] = set()
     for length in range(SHORTEST, min(LONGEST, depth - 1)):
         inside = np.array(sorted(int.from_bytes(c, "big") for c in split if len(c) == length - 1), dtype=np.uint64)
@@ -431,20 +434,70 @@ class Tree:
         return out
 
 
+def _merged(rows: list[tuple]) -> tuple:
+    """Rows (shard, n, keys, counts) of a leaf as one: its different grams, their counts, and for each shard its size and its grams' places among them."""
+    keys = np.concatenate([_ascending(k, n) for _, n, k, _ in rows])
+    counts = np.concatenate([_values(c, n) for _, n, _, c in rows])
+    union, place = np.unique(keys, return_inverse=True)
+    at = np.cumsum([0, *[n for _, n, _, _ in rows]])
+    steps = [np.diff(place[a:b], prepend=0) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return union, np.bincount(place, counts, len(union)).astype(np.int64), [r[0] for r in rows], [r[1] for r in rows], [_planes(x, _width(x)) for x in steps]
+
+
+def bundled(table: DataFrame, depth: int, shards: int) -> DataFrame:
+    """code, shard (a bundle), n, keys, counts, shards, sizes, members: grams() of many shards, MOST_SHARDS or so of them together.
+
+    A context that all shards know would otherwise bring a row from each of them to one task.
+    """
+    schema = "code long, shard long, n long, keys binary, counts binary, shards array<long>, sizes array<long>, members array<binary>"
+
+    def run(batches):
+        now, rows = None, []
+
+        def out() -> pa.RecordBatch:
+            keys, counts, own, sizes, members = _merged(rows)
+            columns = [[now[0]], [now[1]], [len(keys)], [_planes(np.diff(keys, prepend=np.uint64(0)), depth - 1)], [_planes(counts, _width(counts))], [own], [sizes], [members]]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["code", "shard", "n", "keys", "counts", "shards", "sizes", "members"])
+
+        for batch in batches:
+            for code, bundle, *row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if (code, bundle) != now and rows:
+                    yield out()
+                now = code, bundle
+                rows.append(tuple(row))
+        if rows:
+            yield out()
+
+    bundle = F.pmod(F.xxhash64("shard"), F.lit(-(-shards // MOST_SHARDS)))
+    dealt = table.withColumn("bundle", bundle).repartition("code", "bundle").sortWithinPartitions("code", "bundle", "shard")
+    return dealt.select("code", "bundle", "shard", "n", "keys", "counts").mapInArrow(run, schema)
+
+
+def unbundled(logs: DataFrame, bundles: DataFrame) -> DataFrame:
+    """shard, code, n, logs: answers() to bundles handed on to their shards."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(len(batch)):
+                row = batch.slice(k, 1).to_pylist()[0]
+                steps, rows = _values(row["logs"], row["of"]), []
+                for shard, n, members in zip(row["shards"], row["sizes"], row["members"], strict=True):
+                    rows.append((shard, row["code"], n, _planes(steps[np.cumsum(_values(members, n)).astype(np.int64)], 3)))
+                shard, code, n, out = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(code, pa.int64()), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["shard", "code", "n", "logs"])
+
+    told = logs.select("shard", "code", F.col("n").alias("of"), "logs")
+    both = bundles.select("shard", "code", "shards", "sizes", "members").join(told, ["shard", "code"])
+    return both.select("code", "of", "logs", "shards", "sizes", "members").mapInArrow(run, "shard long, code long, n long, logs binary")
+
+
 def leaves(table: DataFrame, depth: int) -> DataFrame:
     """One row a leaf: code, its different grams (n, keys, counts), the shards that have some of them (shards, sizes, members), and the nodes of its own context."""
     schema = "code long, n long, keys binary, counts binary, shards array<long>, sizes array<long>, members array<binary>, nodes array<struct<node: int, zeros: long, ones: long, weighed: double>>"
     node_type = pa.list_(pa.struct([("node", pa.int32()), ("zeros", pa.int64()), ("ones", pa.int64()), ("weighed", pa.float64())]))
 
-    def merged(rows: list[tuple]) -> tuple:
-        keys = np.concatenate([_ascending(k, n) for _, n, k, _ in rows])
-        counts = np.concatenate([_values(c, n) for _, n, _, c in rows])
-        union, place = np.unique(keys, return_inverse=True)
-        at = np.cumsum([0, *[n for _, n, _, _ in rows]])
-        steps = [np.diff(place[a:b], prepend=0) for a, b in zip(at[:-1], at[1:], strict=True)]
-        members = [_planes(x, _width(x)) for x in steps]
-        return union, np.bincount(place, counts, len(union)).astype(np.int64), [r[0] for r in rows], [r[1] for r in rows], members
-
     def emit(held: list[tuple]) -> pa.RecordBatch:
         leaf = np.repeat(np.arange(len(held)), [len(h[1]) for h in held])
         tree = Tree(leaf, np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), held[0][0] & 255, depth)
@@ -466,7 +519,7 @@ def leaves(table: DataFrame, depth: int) -> DataFrame:
         for batch in batches:
             for now, *row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if now != code and rows:
-                    held.append((code, *merged(rows)))
+                    held.append((code, *_merged(rows)))
                     rows = []
                     if sum(len(h[1]) for h in held) >= BATCH_GRAMS or (now ^ code) & 255:
                         yield emit(held)
@@ -474,7 +527,7 @@ def leaves(table: DataFrame, depth: int) -> DataFrame:
                 code = now
                 rows.append(tuple(row))
         if rows:
-            held.append((code, *merged(rows)))
+            held.append((code, *_merged(rows)))
         if held:
             yield emit(held)
 
@@ -646,16 +699,22 @@ def scores(docs: DataFrame, learns: Column, depth: int = DEPTH, shard_bytes: int
     words = common.written(word_counts(packs), "ctw-words")
     total = words.agg(F.sum("n").alias("n"), F.count("word").alias("distinct"), F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("documents")).first()
     documents, tokens, distinct = total.documents or 0, total.n or 0, total.distinct + bool(total.documents)
-    table = {bytes(r.word): float(np.log10(r.n + 0.5)) for r in frequent_words(words, most_frequent).collect()}
-    frequent = spark.sparkContext.broadcast(table)
+    commonest = {bytes(r.word): float(np.log10(r.n + 0.5)) for r in frequent_words(words, most_frequent).collect()}
+    frequent = spark.sparkContext.broadcast(commonest)
 
     with common.small_batches(spark, BATCH_ROWS):
-        split = crowded(packs, depth, leaf_bytes)
-        tree = common.written(leaves(grams(packs, split, depth), depth), "ctw-leaves")
+        bodies, shards = packs.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)), F.count("*")).head()
+        split = crowded(packs, depth, max(leaf_bytes, -(-bodies // MOST_SPLIT)))
+        table, bundles = grams(packs, split, depth), None
+        if shards > MOST_SHARDS:
+            bundles = common.written(bundled(table, depth, shards), "ctw-bundles")
+            table = bundles.select("code", "shard", "n", "keys", "counts")
+        tree = common.written(leaves(table, depth), "ctw-leaves")
         mixed = shallow(tree, max(map(len, split), default=SHORTEST - 1) + 1)
         common.release(spark)
-        parts = common.written(summed(packs, answers(tree, mixed, depth), frequent, depth), "ctw-scored")
-    common.drop(spark, packs, tree)
+        told = answers(tree, mixed, depth)
+        parts = common.written(summed(packs, told if bundles is None else unbundled(told, bundles), frequent, depth), "ctw-scored")
+    common.drop(spark, packs, tree, *([bundles] if bundles is not None else []))
 
     rare = parts.select("row", F.explode("rare").alias("word"))
     found = rare.join(words.where("word IS NOT NULL").withColumnRenamed("n", "c").hint("merge"), "word").groupBy("row").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("c") + 0.5)).alias("logs"))

@@ -105,6 +105,19 @@ def test_scores_equal_the_definition(spark, shard_bytes, leaf_bytes, frequent):
     check(context_tree.scores(docs, F.col("learns"), DEPTH, shard_bytes, leaf_bytes, frequent).collect(), Brute(TRAIN), texts)
 
 
+def test_a_context_that_all_shards_know_is_bundled(spark, monkeypatch):
+    """Some dozens of shards with one hot context, whose rows meet a few at a time: the scores are those that one table of them gives."""
+    docs, texts = both(spark, [*TRAIN, "the the the the cat the " * 40], ["the cat the", "the the unseen"])
+    score = lambda: {r.doc_id: r.score for r in context_tree.scores(docs, F.col("learns"), DEPTH, 40, 12, 3).collect()}
+    whole = score()
+    monkeypatch.setattr(context_tree, "MOST_SHARDS", 5)
+    assert score() == pytest.approx(whole, rel=1e-9)
+    monkeypatch.setattr(context_tree, "MOST_SPLIT", 40)  # fewer contexts are split, leaves are larger
+    assert score() == pytest.approx(whole, rel=1e-4)
+    brute = Brute([*TRAIN, "the the the the cat the " * 40])
+    assert whole == pytest.approx({k: brute.score(t) for k, t in texts.items()}, rel=1e-4)
+
+
 def test_probabilities_add_up_to_one(spark):
     train = ["abracadabra", "abc abd", "zz"]
     brute = Brute(train)

@@ -141,8 +141,10 @@ def _spans(worded: Column) -> Column:
         after, before = F.slice(worded, u + 1, F.lit(PASSAGE_WORDS + 1)), F.reverse(F.slice(worded, low + 1, u - low + 1))
         return F.array(F.struct(x["i"].alias("a"), shortest(after).alias("b")), F.struct(shortest(before).alias("a"), x["i"].alias("b")))
 
-    spans = F.flatten(F.transform(worded, both))
-    return F.array_distinct(F.filter(spans, lambda s: s["a"].isNotNull() & s["b"].isNotNull()))
+    spans = F.filter(F.flatten(F.transform(worded, both)), lambda s: s["a"].isNotNull() & s["b"].isNotNull())
+    # As one number each: numbers are told apart by a hash, structs by pairs.
+    numbers = F.array_distinct(F.transform(spans, lambda s: F.shiftleft(s["a"].cast("long"), 32).bitwiseOR(s["b"].cast("long"))))
+    return F.transform(numbers, lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("a"), x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("b")))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:

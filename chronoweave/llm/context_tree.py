@@ -38,7 +38,7 @@ LEAF_BYTES, MOST_SPLIT = 1 << 23, 1 << 16
 #: Shards whose grams of a leaf meet in a task; those of more shards are bundled before, and answers are given to bundles.
 MOST_SHARDS = 1 << 12
 #: Bytes of text in a shard, and grams that are weighed at a time.
-SHARD_BYTES, BATCH_GRAMS = 8 << 20, 1 << 19
+SHARD_BYTES, BATCH_GRAMS = 10 << 20, 1 << 19
 #: Rows of an Arrow batch: shards, leaves and what they tell each other are large.
 BATCH_ROWS = 256
 #: Words whose counts are broadcast, and the length of the longest of them: a bound of 12 MB.
@@ -176,7 +176,7 @@ def _before(texts: bytes, bytes_: int) -> np.ndarray:
 class Positions:
     """A shard's bytes by the two bytes before each: pairs (pair, from, to) of order, the bytes' places counted from the ninth of the shard."""
 
-    CHUNK = 1 << 21
+    CHUNK = 1 << 20
 
     def __init__(self, texts: bytes, sizes: np.ndarray, depth: int):
         self.texts, self.depth, own, pair = texts, depth, _inside(texts, sizes), _before(texts, 2)
@@ -333,9 +333,9 @@ def grams(packs: DataFrame, split: set[bytes], depth: int) -> DataFrame:
                         yield out(shard.as_py(), rows)
                         rows = []
                 del own, left
+                common.tidy()
                 if rows:
                     yield out(shard.as_py(), rows)
-        common.tidy()
 
     return packs.select("shard", "texts", "sizes", "learns").mapInArrow(run, "code long, shard long, n long, keys binary, counts binary")
 
@@ -669,12 +669,12 @@ def summed(packs: DataFrame, logs: DataFrame, frequent, depth: int) -> DataFrame
                 if code[k] < 0:
                     if pack is not None:
                         yield scored(pack, values)
+                        common.tidy()
                     pack, values = batch.slice(k, 1).to_pylist()[0], []
                 else:
                     values.append(_values(batch.column(3)[k].as_py(), n[k]).astype(np.float32) / -STEPS)
         if pack is not None:
             yield scored(pack, values)
-        common.tidy()
 
     own = packs.select("shard", F.lit(-1).cast("long").alias("code"), F.lit(0).cast("long").alias("n"), F.col("texts").alias("blob"), "sizes", "rows", "ids")
     none = {name: F.lit(None).cast(kind).alias(name) for name, kind in (("sizes", "array<int>"), ("rows", "array<long>"), ("ids", "array<long>"))}

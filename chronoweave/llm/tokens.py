@@ -47,6 +47,18 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT_FILE)
 
 
+class _Made(dict):
+    """A dictionary that makes the values it lacks: a text's pieces are looked up in one pass."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class PieceEncoder:
     """Texts (UTF-8 bytes) to ids, as little-endian unsigned 32-bit integers, without the end id."""
 
@@ -61,8 +73,7 @@ class PieceEncoder:
         self.by_pieces = all(stated.get(k) == v for k, v in KNOWN.items()) and stated["model"]["type"] == "BPE" and all(t.startswith("<|") for t in added)
         self.letters = byte_letters()
         self.cached = cached
-        self.ids: dict[bytes, bytes] = {}
-        self.counts: dict[bytes, int] = {}
+        self.ids, self.counts = _Made(self.piece), _Made(lambda p: len(self.piece(p)) // 4)
         self.words: dict[str, bytes] = {}
 
     def _whole(self, text: bytes) -> bytes:
@@ -73,47 +84,37 @@ class PieceEncoder:
         if found is None:
             if len(self.words) >= self.cached // 2:
                 self.words.clear()
-            written = "".join([self.letters[b] for b in word.encode()])
-            found = self.words[word] = np.array([t.id for t in self.model.tokenize(written)], dtype="<u4").tobytes()
+            written = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])  # printable ASCII stands for itself
+            found = self.words[word] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(written)])
         return found
 
     def piece(self, piece: bytes) -> bytes:
         """A piece without ASCII white space, A-Z already lower."""
+        if piece.isalpha():  # a-z alone: one word
+            return self._word(piece.decode())
         text = piece.decode("utf-8", "replace")
         if _PLAIN.fullmatch(text):
             return b"".join([self._word(w) for w in _SPLIT.findall(text.lower())])
         return self._whole(piece)
 
-    def _missing(self, pieces: list[bytes], known: dict, make) -> None:
-        if len(known) >= self.cached:
-            known.clear()
-        for p in pieces:
-            if p not in known:
-                known[p] = make(p)
+    def _known(self, made: _Made) -> _Made:
+        if len(made) >= self.cached:
+            made.clear()
+        return made
 
     def encode(self, text: bytes | None) -> bytes:
         if not text:
             return b""
         if not self.by_pieces or b"<|" in text:  # may hold a special token, which is found before letters are lowered
             return self._whole(text)
-        pieces = text.lower().split()
-        try:
-            return b"".join(map(self.ids.__getitem__, pieces))
-        except KeyError:
-            self._missing(pieces, self.ids, self.piece)
-            return b"".join(map(self.ids.__getitem__, pieces))
+        return b"".join(map(self._known(self.ids).__getitem__, text.lower().split()))
 
     def count(self, text: bytes | None) -> int:
         if not text:
             return 0
         if not self.by_pieces or b"<|" in text:
             return len(self._whole(text)) // 4
-        pieces = text.lower().split()
-        try:
-            return sum(map(self.counts.__getitem__, pieces))
-        except KeyError:
-            self._missing(pieces, self.counts, lambda p: len(self.piece(p)) // 4)
-            return sum(map(self.counts.__getitem__, pieces))
+        return sum(map(self._known(self.counts).__getitem__, text.lower().split()))
 
 
 _encoders: dict[str, PieceEncoder] = {}

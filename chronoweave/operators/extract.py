@@ -61,12 +61,16 @@ def joined_text(toks: DataFrame) -> DataFrame:
 WRITTEN = {"-LRB-": "(", "-RRB-": ")", "-LSB-": "[", "-RSB-": "]", "-LCB-": "{", "-RCB-": "}", "``": '"', "''": '"'}
 
 
-def _ink(token: Column) -> Column:
-    """Characters of a token as the text has them, without blanks."""
+def _written(token: Column) -> Column:
+    """A token as the text has it, without blanks."""
     written = token
     for name, text in WRITTEN.items():
         written = F.when(token == name, F.lit(text)).otherwise(written)
-    return F.length(F.regexp_replace(written, r"\s+", ""))
+    return F.regexp_replace(written, r"\s+", "")
+
+
+def _ink(token: Column) -> Column:
+    return F.length(_written(token))
 
 
 def _inked(toks: DataFrame, *keep: str) -> DataFrame:
@@ -81,7 +85,7 @@ def aligned(spans: DataFrame, own: DataFrame, foreign: DataFrame) -> DataFrame:
 
     Both are tables of doc, sid, idx, token. Tokenisers differ in where they cut, not in the characters that aren't blank: counted
     without blanks, places in both are the same. One sorted sweep a document finds the foreign tokens at each span's ends; a span
-    gets all that it touches. A document whose characters differ in number keeps no spans: misaligned() lists those.
+    gets all that it touches. A document whose characters differ keeps no spans: misaligned() lists those.
     """
     spans = spans.join(misaligned(own, foreign).select("doc"), "doc", "left_anti")
     ends = _inked(own, "sid", "idx")
@@ -108,9 +112,15 @@ def aligned(spans: DataFrame, own: DataFrame, foreign: DataFrame) -> DataFrame:
 
 
 def misaligned(own: DataFrame, foreign: DataFrame) -> DataFrame:
-    """doc, own, foreign: documents whose tokens have different numbers of characters (null: no tokens at all)."""
-    total = lambda toks, name: toks.groupBy("doc").agg(F.sum(_ink(F.col("token"))).alias(name))
-    return total(own, "own").join(total(foreign, "foreign"), "doc", "full").where(~F.col("own").eqNullSafe(F.col("foreign")))
+    """doc, own, foreign: documents whose tokens have different numbers of characters (null: no tokens at all), or other letters and digits."""
+
+    def total(toks: DataFrame, name: str) -> DataFrame:
+        letters = F.regexp_replace(_written(F.col("token")), r"[^0-9A-Za-z\u00C0-\u024F]", "")
+        rows = toks.groupBy("doc").agg(F.sum(_ink(F.col("token"))).alias(name), F.array_sort(F.collect_list(F.struct("sid", "idx", letters.alias("l")))).alias("t"))
+        return rows.select("doc", name, F.xxhash64(F.array_join(F.transform("t", lambda x: x["l"]), "")).alias(f"{name}_letters"))  # a document's tokens
+
+    both = total(own, "own").join(total(foreign, "foreign"), "doc", "full")
+    return both.where(~F.col("own").eqNullSafe(F.col("foreign")) | ~F.col("own_letters").eqNullSafe(F.col("foreign_letters"))).select("doc", "own", "foreign")
 
 
 def tagged_timexes(sents: DataFrame, dcts: DataFrame) -> DataFrame:

@@ -107,7 +107,8 @@ def _weekday(day: Column, number: Column, by: Column) -> Column:
 
 def _calendar_day(year: Column, month: Column, day: Column) -> Column:
     """YYYY-MM-DD, or null where the month has no such day."""
-    real = F.make_date(year.try_cast("int"), month.try_cast("int"), F.lit(1))
+    of_year = month.try_cast("int")
+    real = F.make_date(year.try_cast("int"), F.when(of_year.between(1, 12), of_year), F.lit(1))
     n = day.try_cast("int")
     return F.when((n >= 1) & (n <= F.dayofmonth(F.last_day(real))), F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(n.cast("string"), 2, "0")))
 

@@ -82,7 +82,7 @@ def p14_trimmed_to_known_ids(spark, sf_dir):
 @query(f"WITH {_PLACED}, o AS (SELECT doc, id1, id2, row_number() OVER (PARTITION BY doc ORDER BY md5(id1 || id2)) AS ordinal FROM two) SELECT o.doc, o.id1, o.id2, o.ordinal, coalesce(own.relation, 'UNKNOWN') AS label FROM o LEFT JOIN own ON own.doc = o.doc AND own.id1 = o.id1 AND own.id2 = o.id2")
 def g15_aligned_to_an_order(spark, sf_dir):
     c, rows = _linked(spark, sf_dir)
-    order = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc").orderBy(F.md5(F.concat("id1", "id2"))))).select("doc", "id1", "id2", "ordinal")
+    order = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc").orderBy(F.md5(F.concat("id1", "id2")))).cast("long")).select("doc", "id1", "id2", "ordinal")
     return evaluate.aligned(rows.where("truth IS NOT NULL").select("doc", "id1", "id2", F.col("truth").alias("label")), order)
 
 
@@ -106,12 +106,12 @@ def s11_expanded_labels(spark, sf_dir):
 
 
 @query(f"""WITH {CORPUS}, t AS (SELECT *, ['DATE', 'DURATION', 'SET', 'TIME'][1 + k % 4] AS kind, CASE WHEN k % 3 = 0 THEN 'PAST_REF' ELSE value END AS v FROM (SELECT *, substr(id, 2)::BIGINT // 5 AS k FROM tx))
-SELECT doc, id, CASE WHEN kind IN ('DURATION', 'SET') OR v = 'PAST_REF' THEN NULL WHEN length(v) = 7 THEN strptime(v || '-01', '%Y-%m-%d') ELSE strptime(v, '%Y-%m-%d') END AS low FROM t""")
+SELECT doc, id, CASE WHEN kind IN ('DURATION', 'SET') OR v = 'PAST_REF' THEN NULL WHEN length(v) = 7 THEN v || '-01 00:00:00' ELSE v || ' 00:00:00' END AS low FROM t""")
 def t07_ranges_by_type(spark, sf_dir):
     k = F.floor(F.substring("id", 2, 20).cast("long") / 5)
     kind = F.element_at(F.array(*map(F.lit, ["DATE", "DURATION", "SET", "TIME"])), (k % 4 + 1).cast("int"))
     rows = corpus(spark, sf_dir).timexes.withColumns({"type": kind, "value": F.when(k % 3 == 0, "PAST_REF").otherwise(F.col("value"))})
-    return tx.ranged(rows).select("doc", "id", F.col("low").cast("timestamp_ntz").alias("low"))
+    return tx.ranged(rows).select("doc", "id", F.date_format("low", "yyyy-MM-dd HH:mm:ss").alias("low"))
 
 
 _PHRASES = ["a year ago", "Last Year", "two years ago", "the latest quarter", "the quarter", "yesterday"]
